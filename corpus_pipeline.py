@@ -1,8 +1,66 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: stages from documents to packed sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), judges all of its input, and returns a
+DataFrame that is written as Parquet and read again as the next one's `docs`.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from sparkway.llm import decontaminate, jaccard, packing, quality_fm, sentences
+from sparkway.llm.common import drop_scratch, materialize, scratch_root, table
+
+#: Near-duplicates: words in a shingle, and the similarity as a fraction.
+SHINGLE, SIMILAR = 5, (80, 100)
+SCOPE = "pipeline"
+#: Stages can't be written as SQL: trained scores, hashed joins and a tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    drop_scratch(spark, SCOPE)
+    return quality_fm.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near-duplicates, once. Rows without an id stay."""
+    drop_scratch(spark, SCOPE)
+    groups = materialize(jaccard.join(docs, SHINGLE, *SIMILAR, scope=SCOPE), SCOPE)
+    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts sentences of passages that occur earlier."""
+    drop_scratch(spark, SCOPE)
+    return sentences.dedup(docs, SCOPE).select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the words of benchmark windows."""
+    drop_scratch(spark, SCOPE)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    drop_scratch(spark, SCOPE)
+    return packing.best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"), scope=SCOPE)
+
+
+STAGES = [("quality_classifier", keep_quality), ("ngram_jaccard_join", drop_near_copies), ("substring_dedup", drop_repeated_passages), ("benchmark_decontamination", drop_benchmark), ("best_fit_packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{scratch_root(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

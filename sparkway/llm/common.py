@@ -59,6 +59,17 @@ def join_sized(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
     return left.join(F.broadcast(right) if few else right.hint("merge"), keys, how)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added where a table already has them (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 

@@ -22,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import fresh
 from .fmindex import FMIndex
 from .textvec import ALNUM, byte_keys, chunks, span_hash, words
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 GROUP_BYTES = 16 << 20
-STATE = "hits binary, items array<long>, n_words long, starts binary, ends binary"
+#: What a pass adds to, after a table's own columns.
+STATE = ("_hits", "_items", "_words", "_starts", "_ends")
 
 
 class Windows:
@@ -99,7 +102,6 @@ def occurrences(sym: np.ndarray, first: np.ndarray, windows: Windows) -> tuple[n
 def scan(rows: DataFrame, items: list[tuple[int, str]], width: int, last: bool) -> DataFrame:
     """One pass: adds this group's hits to the state columns. Column 0 is the text."""
     windows = Windows(items, width)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     keys = byte_keys(lower=True)
 
     def run(batches):
@@ -136,7 +138,7 @@ def scan(rows: DataFrame, items: list[tuple[int, str]], width: int, last: bool)
             blank = [b""] * len(count)
             yield pa.RecordBatch.from_arrays([*batch.columns[:state], pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(count, pa.int64()), pa.array(starts if last else blank, pa.binary()), pa.array(ends if last else blank, pa.binary())], names=batch.schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -144,8 +146,9 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + int(total) // GROUP_BYTES
-    rows = docs.select("text", *(c for c in docs.columns if c != "text"))
-    rows = rows.withColumns({"_hits": F.lit(b"").cast("binary"), "_items": F.expr("cast(array() as array<bigint>)"), "_words": F.lit(0).cast("long"), "_starts": F.lit(b"").cast("binary"), "_ends": F.lit(b"").cast("binary")})
+    rows = docs.select("text", *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    blank = F.lit(b"").cast("binary")
+    rows = rows.withColumns(dict(zip(fresh(docs.columns, *STATE), (blank, F.expr("cast(array() as array<bigint>)"), F.lit(0).cast("long"), blank, blank), strict=True)))
     for g in range(groups):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).distinct().collect()
         rows = scan(rows, sorted((r["item_id"], r["text"]) for r in part), width, last=g == groups - 1)
@@ -185,5 +188,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
                 text.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *batch.columns[1:state]], names=batch.schema.names[:state])
 
-    out = found.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:state])).select(*docs.columns)
+    out = found.mapInArrow(cut, T.StructType(found.schema.fields[:state])).select(*(F.col(f"`{c}`") for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

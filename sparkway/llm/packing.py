@@ -177,12 +177,12 @@ def places(plan: list[tuple[list[int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "lo", "first", "offset"]).sort_values(["length", "lo"], ignore_index=True)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, scope: str = "default") -> DataFrame:
     """Adds sequence_id and offset to a materialized table of pieces (columns of `pieces`)."""
     spark = cut.sparkSession
     salts = max(8, partitions(spark))
     cut = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    by_salt = materialize(cut.groupBy("length", "_salt").agg(F.count("*").alias("n")))
+    by_salt = materialize(cut.groupBy("length", "_salt").agg(F.count("*").alias("n")), scope)
     counts = np.zeros(capacity + 1, np.int64)
     for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         counts[r["length"]] = r["n"]
@@ -205,4 +205,4 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, scope: str = "default") -> DataFrame:
     """Cut, count, plan and place every document; one row per piece."""
-    return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id), scope), capacity)
+    return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id), scope), capacity, scope)
