@@ -12,7 +12,10 @@ packed as often as they occur. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -25,38 +28,90 @@ from pyspark.sql.window import Window
 from .common import materialize, partitions, worker_cache
 
 CAPACITY = 4096
-WORDS_KEPT = 200_000
+#: Chunks in a generation of the encoder's memory.
+WORDS_KEPT = 250_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def chunk_encoder(path: str):
-    """Maps a white-space-free chunk to its ids as little-endian bytes; one per worker, bounded."""
-    cache = worker_cache()
-    if ("encoder", path) not in cache:
-        from tokenizers import Tokenizer
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Bytes that byte-level models write as other characters: those that don't print, in order, from U+0100.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
-        tokenizer = Tokenizer.from_file(path)
 
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= WORDS_KEPT:
-                    self.clear()
-                ids = tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
-                out = np.asarray(ids, "<u4").tobytes()
-                if len(chunk) <= 64:
-                    self[chunk] = out
-                return out
+class ChunkEncoder:
+    """Ids of whole texts as little-endian bytes, by way of the ids of their white-space-free chunks.
+
+    The tokenizer drops white space and joins nothing across it, so chunks are
+    encoded alone and remembered. A chunk of letters up to U+00FF with a tail of
+    stops is the two encoded apart, in lower case and by its bytes, which is what
+    the tokenizer's own steps make of it before its model sees it. Two
+    generations of at most `WORDS_KEPT` chunks are held.
+    """
 
-        cache["encoder", path] = Chunks()
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Afterwards the young generation has all of `chunks`."""
+        known, old, plain, tokenize = self.young, self.old, LETTERS.fullmatch, self.model.tokenize
+        rest = []
+        for c in chunks:
+            if c in known:
+                continue
+            ids = old.get(c)
+            if ids is None:
+                core = c.rstrip(".,;:!?")
+                if not plain(core):
+                    rest.append(c)
+                    continue
+                low, tail = core.lower(), c[len(core) :]
+                ids = known.get(low) or old.get(low)
+                if ids is None:
+                    seen = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS)
+                    ids = known[low] = array("I", [t.id for t in tokenize(seen)]).tobytes()
+                if tail:
+                    stops = known.get(tail)
+                    if stops is None:
+                        stops = known[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+                    ids += stops
+            known[c] = ids
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[c] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [""] for t in texts]
+        if len(self.young) > WORDS_KEPT:
+            self.old, self.young = self.young, {"": b""}
+        self.learn(set().union(*split))
+        return [b"".join(map(self.young.__getitem__, words)) for words in split]
+
+
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One per worker."""
+    cache = worker_cache()
+    if ("encoder", path) not in cache:
+        cache["encoder", path] = ChunkEncoder(path)
     return cache["encoder", path]
 
 
-def encode(text: str | None, encoder) -> bytes:
-    """Ids of a whole text. The tokenizer drops white space and never joins what it parts, so chunks are encoded alone."""
-    if not text:
-        return b""
-    return b"".join(map(encoder.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+def groups(texts: pa.Array, size: int = 1 << 20):
+    """Lists of whole texts, of about `size` characters each."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t.as_py())
+        n += len(held[-1] or "")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -67,8 +122,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         encoder = chunk_encoder(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py(), encoder) + end
+            encoded = (ids for texts in groups(batch.column(1)) for ids in encoder.encode(texts))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * min(n, start + capacity)]
