@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, packing, quality_fm, quality_rules, sentences, toxicity, urlfilter
+from . import decontaminate, jaccard, language, longmatch, packing, quality_fm, quality_rules, sentences, toxicity, urlfilter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_long_match_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longmatch.remove(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
