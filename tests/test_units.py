@@ -146,3 +146,18 @@ def test_free_distance(spark):
 
     d = spark.range(1).select(haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0]
     assert d == pytest.approx(math.pi / 180 * 6_371_000.0)
+
+
+def test_edge_points(spark):
+    e = spark.createDataFrame([("a", "b", "LINESTRING (1 2, 3 4.5)"), ("a", "b", None), ("a", "b", "POINT (1 2)")], "u string, v string, geometry string")
+    n = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 1.0)], "node string, x double, y double")
+    got = [[(p.x, p.y) for p in r.pts] for r in M.edge_points(e, n).collect()]
+    assert sorted(got) == sorted([[(1.0, 2.0), (3.0, 4.5)], [(0.0, 0.0), (1.0, 1.0)], [(0.0, 0.0), (1.0, 1.0)]])
+
+
+def test_sql_functions(spark):
+    from sparkway.functions.sql import register
+
+    register(spark)
+    r = spark.sql("select travel_time_s(1000D, 36D), set_jaccard(array('a'), array('a', 'b')), gate_open(200D, 150D, 10D, 3D), speed_class(20D)").first()
+    assert (r[0], r[1], r[2], r[3]) == (pytest.approx(100.0), 0.5, True, "moderate")
