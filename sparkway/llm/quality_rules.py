@@ -92,14 +92,15 @@ def judge(docs: DataFrame, fence: float = FENCE, least_group: int = LEAST_GROUP,
     rows = materialize(measured(counted(docs.select("doc_id", "text", "lang", "source")).drop("text")), scope)
     scored = rows.where(F.col("n_words") > 0)
     group = materialize(fences(scored, ["lang", "source"], fence).where(F.col("_n") >= least_group), scope).drop("_n")
-    whole = fences(scored, [], fence).first() or {}  # one row of numbers; without documents with words all are null
+    # One row of numbers; without documents that have words there are none.
+    whole = {} if scored.isEmpty() else fences(scored, [], fence).first().asDict()
     group = group.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     few = group.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(group) if few else group, on, "left")
     verdict = F.lit(True)
     for m, (_, side) in MEASURES.items():
-        edge = F.coalesce(F.col(f"_f_{m}"), F.lit(whole[f"_f_{m}"]).cast("double"))
+        edge = F.coalesce(F.col(f"_f_{m}"), F.lit(whole.get(f"_f_{m}")).cast("double"))
         verdict = verdict & F.coalesce(F.col(m) <= edge if side > 0 else F.col(m) >= edge, F.lit(True))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict).alias("kept"))
