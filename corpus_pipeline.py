@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts sentences of passages that occur earlier."""
     drop_scratch(spark, SCOPE)
-    return sentences.dedup(docs, SCOPE).select(*docs.columns)
+    return sentences.dedup(docs).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ lower-cased, punctuation and spacing left out) and joined globally: the first
 occurrence, by (doc_id, place), stays; sentences that any other occurrence
 covers are removed.
 
-First occurrences are found by partial aggregates, so a passage that a third of
-the documents share costs one row a task; the join back is a shuffled one whose
-hot keys adaptive execution splits. Spans of one document are gathered in one
-row, bounded by its own text.
+Of a span that a batch of documents holds several times only the first goes on;
+the others are settled there and then, so a passage that a third of the
+documents share costs one row a batch. The firsts meet under their hash in one
+shuffle. Spans of one document are gathered in one row, bounded by its own text.
 
 Null texts stay null. Rows with a null doc_id are kept as they are. Repeated
 rows of a doc_id are the same document, so they don't remove each other; copies
@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import fresh, materialize
+from .common import fresh
 from .textvec import ALNUM, byte_class, byte_keys, chunks, mix, span_hash, words
 
 LONGEST, LEAST_SENTENCES, LEAST_WORDS = 16, 3, 16
@@ -83,22 +84,38 @@ def spans(body: np.ndarray, offs: np.ndarray, keys: np.ndarray):
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
+    """Batch-first spans (own = false), and those that the batch itself shows to be repeats (own = true, under a hash of their own)."""
+
     def run(batches):
         keys = byte_keys(lower=True)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, parts = batch.column(0).to_numpy(zero_copy_only=False), []
             for lo, hi, body, offs in chunks(batch.column(1)):
                 row, a, b, h = spans(body, offs, keys)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][row].astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["h", "doc_id", "a", "b"])
-
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h long, doc_id long, a int, b int")
-
-
-def repeated(docs: DataFrame, scope: str = "default") -> DataFrame:
+                parts.append((h, ids[lo:hi][row].astype(np.int64), a, b))
+            if not parts:
+                continue
+            h, doc, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((b, a, doc, h))
+            k = h[order]
+            first = np.ones(len(k), bool)
+            first[1:] = k[1:] != k[:-1]
+            head = np.repeat(order[first], np.diff(np.append(np.flatnonzero(first), len(k))))
+            later = (doc[head] != doc[order]) | (a[head] != a[order])
+            lead, rest = order[first], order[~first & later]
+            take = np.concatenate([lead, rest])
+            out = h[take]
+            out[len(lead) :] = mix(doc[rest].astype(np.uint64) ^ mix(a[rest].astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(doc[take]), pa.array(a[take].astype(np.int32)), pa.array(b[take].astype(np.int32)), pa.array(np.arange(len(take)) >= len(lead))], names=["h", "doc_id", "a", "b", "own"])
+
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h long, doc_id long, a int, b int, own boolean")
+
+
+def repeated(docs: DataFrame) -> DataFrame:
     """doc_id and its spans [a, b) of sentences that occur earlier, as one array."""
-    every = materialize(span_rows(docs), scope)
-    first = every.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l")).where("f < l").select("h", F.col("f.doc_id").alias("fd"), F.col("f.a").alias("fa"))
-    later = every.join(first, "h").where((F.col("doc_id") != F.col("fd")) | (F.col("a") != F.col("fa")))
+    rows = span_rows(docs).repartition("h")
+    first = F.min(F.when(~F.col("own"), F.col("doc_id"))).over(Window.partitionBy("h"))
+    later = rows.withColumn("first", first).where("own or doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
@@ -122,9 +139,9 @@ def cut(text: bytes, covered: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), n, int(gone.sum())
 
 
-def dedup(docs: DataFrame, scope: str = "default") -> DataFrame:
+def dedup(docs: DataFrame) -> DataFrame:
     """`docs` with cleaned texts (n_chars, if there, follows), and n_sentences and n_removed."""
-    found = repeated(docs, scope)
+    found = repeated(docs)
     spare, spans_, n_all, n_gone = fresh(docs.columns, "_id", "_spans", "n_sentences", "n_removed")
     left = docs.select("text", *(F.col(f"`{c}`") for c in docs.columns if c != "text")).withColumn(spare, F.col("doc_id").cast("long"))
     both = left.join(found.select(F.col("doc_id").alias(spare), F.col("spans").alias(spans_)), spare, "left").drop(spare)
