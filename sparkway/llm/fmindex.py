@@ -1,4 +1,9 @@
-"""An FM-index over integer symbols: BWT in a wavelet matrix, backward search, sampled suffix positions."""
+"""Indexes by the Burrows-Wheeler transform.
+
+FMIndex: BWT in a wavelet matrix, backward search, sampled suffix positions.
+RunIndex: run-compressed BWT with sampled run ends, which give the longest match
+of every suffix with the one before it in order.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +11,38 @@ import numpy as np
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix order of non-negative integers by prefix doubling; a text's end sorts first."""
+    """Suffix order of non-negative integers by prefix doubling; a text's end sorts first.
+
+    The first sort takes as many symbols as fit into 62 bits. Later ones take
+    only suffixes that still share their rank with another.
+    """
     n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
-    step, order = 1, np.zeros(0, np.int64)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] if step < n else 0
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[1], 1 + np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = new
-        if rank.max() == n:
-            return order
+    bits = max(1, int(s.max(initial=0) + 1).bit_length())
+    step = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(min(step, n)):
+        key[: n - k] |= (s[k:].astype(np.int64) + 1) << (bits * (step - 1 - k))
+    sa = np.argsort(key, kind="stable")
+    k = key[sa]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[sa] = start
+    act = sa[~(new & np.append(new[1:], True))]
+    while len(act):
+        far = act + step
+        key = rank[act] * (n + 1) + np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0)
+        o = np.argsort(key, kind="stable")
+        act, k = act[o], key[o]
+        base, i = rank[act], np.arange(len(act))
+        group = np.maximum.accumulate(np.where(np.concatenate([[True], base[1:] != base[:-1]]), i, 0))
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        sub = np.maximum.accumulate(np.where(new, i, 0))
+        sa[base + i - group] = act
+        rank[act] = base + sub - group
+        act = act[~(new & np.append(new[1:], True))]
         step *= 2
+    return sa
 
 
 class WaveletMatrix:
@@ -94,3 +115,50 @@ class FMIndex:
             walked[todo] += 1
             todo = todo[~self.kept[row[todo]]]
         return self.sample[self.at[row]] + walked
+
+
+class RunIndex:
+    """Run-compressed BWT of a text of distinct separators and bytes.
+
+    Kept are, for each run, its symbol, its first row, and the text positions
+    at its two ends. Where two rows next to each other have the same symbol in
+    front, their matches are one shorter than those a position earlier; so
+    matches are compared at run ends only, and streamed from there.
+    """
+
+    def __init__(self, text: np.ndarray) -> None:
+        sa = suffix_array(text)
+        bwt = np.where(sa > 0, text[sa - 1], -1)  # in front of the first position stands nothing
+        new = np.ones(len(sa), bool)
+        new[1:] = bwt[1:] != bwt[:-1]
+        row = np.flatnonzero(new)
+        self.n, self.symbol, self.row = len(sa), bwt[row], row
+        self.head = sa[row]
+        self.tail = sa[np.append(row[1:], len(sa)) - 1]
+
+    def matching(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each position: length of the match with the suffix before it in order, and where that one is (-1: none)."""
+        i, j = self.head[1:], self.tail[:-1]
+        # The first row of all has no suffix before it.
+        at, other = np.append(i, self.head[0]), np.append(j, -1)
+        longest = np.append(common_prefix(text, i, j), 0)
+        mark = np.full(self.n, -1, np.int64)
+        mark[at] = np.arange(len(at))
+        source = np.maximum.accumulate(np.where(mark >= 0, np.arange(self.n), 0))
+        k = mark[source]
+        step = np.arange(self.n) - source
+        return np.maximum(longest[k] - step, 0), np.where(other[k] >= 0, other[k] + step, -1)
+
+
+def common_prefix(text: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of common prefixes of suffixes i and j (j of -1: none)."""
+    n = len(text)
+    padded = np.concatenate([text, [-1, -2]])
+    out = np.zeros(len(i), np.int64)
+    live = np.flatnonzero(j >= 0)
+    while len(live):
+        a, b = np.minimum(i[live] + out[live], n), np.minimum(j[live] + out[live], n)
+        same = (padded[a] == padded[b]) & (a < n) & (b < n)
+        live = live[same]
+        out[live] += 1
+    return out

@@ -8,10 +8,13 @@ bytes they span:
 
 1. Rows with equal fingerprints hold equal windows. All but a batch's first are
    settled where they are read; the firsts meet under their anchor, once.
-2. Anchors with different fingerprints are compared window by window, over the
-   bytes of each distinct row, in order of (doc_id, start). Anchors with more
-   than `HOT` rows have their windows aggregated by hash instead, so that no
-   task holds a large group.
+2. The bytes of distinct rows under anchors with several fingerprints are
+   indexed, some thousand rows at a time and whole anchors only, in order of
+   (doc_id, start): a run-compressed BWT with sampled run ends streams the match
+   of every position with the suffix before it in order. Windows linked by
+   matches of `LENGTH` are equal; all but the first of each class are repeats.
+   Anchors with more than `HOT` rows, which would make one index too large, have
+   their windows aggregated by hash instead.
 3. Covered ranges are merged per document and cut.
 
 Null texts are empty. Rows with a null doc_id are left whole and match nothing.
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize
-from .textvec import POWERS, byte_keys, chunks, mix
+from .fmindex import RunIndex
+from .textvec import POWERS, buffers, byte_keys, chunks, mix
 
 LENGTH, GRAM = 100, 32
-HOT = 50_000
+#: Rows of one anchor that an index may hold, and rows from which an index is built.
+HOT, SHARD = 20_000, 8_000
 _U = np.uint64
 RANGES = "doc_id long, a long, b long"
 
@@ -166,14 +171,31 @@ def compare(parts: DataFrame, length: int) -> DataFrame:
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        h, n = window_hashes(table.column("bytes").chunk(0), byte_keys(False), length)
-        anchor, doc, p0 = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "p"))
-        row = np.repeat(np.arange(len(n)), n)
-        p = p0[row] + np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        _, first, back = np.unique(mix(h ^ mix(anchor.view(np.uint64))[row]), return_index=True, return_inverse=True)
-        lead = first[back]
-        later = (doc[row] != doc[row[lead]]) | (p != p[lead])
-        return ranges_batch(doc[row][later], p[later], p[later] + length)
+        body, offs = buffers(table.column("bytes").chunk(0).cast(pa.large_binary()).view(pa.large_string()))
+        n, size = len(offs) - 1, np.diff(offs)
+        doc, p0 = (table.column(c).to_numpy() for c in ("doc_id", "p"))
+        # A separator of its own after each row's bytes.
+        row = np.repeat(np.arange(n), size)
+        text = np.empty(len(body) + n, np.int32)
+        start = offs[:-1] + np.arange(n)
+        text[np.arange(len(body)) + row] = body.astype(np.int32) + n
+        text[start + size] = np.arange(n)
+        longest, other = RunIndex(text).matching(text)
+        linked = longest >= length
+        root = np.where(linked, other, np.arange(len(text)))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+        least = np.arange(len(text))
+        at = np.flatnonzero(linked)
+        np.minimum.at(least, root[at], at)
+        lead, own = least[root[np.concatenate([at, np.unique(root[at])])]], np.concatenate([at, np.unique(root[at])])
+        r, q = (np.searchsorted(start, x, "right") - 1 for x in (own, lead))
+        p, first = p0[r] + own - start[r], p0[q] + lead - start[q]
+        later = (doc[r] != doc[q]) | (p != first)
+        return ranges_batch(doc[r][later], p[later], p[later] + length)
 
     def run(batches):
         held, rows = [], 0
@@ -182,7 +204,7 @@ def compare(parts: DataFrame, length: int) -> DataFrame:
                 continue
             held.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
-            if rows >= 20_000:
+            if rows >= SHARD:
                 table = pa.concat_tables(held)
                 anchor = table.column("anchor").to_numpy()
                 cut = int(np.searchsorted(anchor, anchor[-1]))  # the last group may go on
