@@ -6,19 +6,27 @@ F ranges (fragments); each document's set falls into one segment a fragment.
 Candidates. Two sets with Jaccard >= t differ in at most d = floor((1-t)/t * n)
 n-grams, n being either size. Cut into more than d fragments, counting only the
 document's non-empty ones, some non-empty segment is the same in both, so pairs
-meet in the bucket (F, fragment, segment hash). F depends on a class of sizes;
+meet in the bucket (F, fragment, segment hash). This holds for any part of the
+n-grams too, so those that a bounded sample of documents shows to be frequent
+(shared lines and passages) are left out of segments; the sample bears on speed
+alone. F depends on a class of sizes;
 documents near a class's upper edge also carry the next class's segments. A
-document with too few non-empty segments for the argument (rare) also carries
-the n-grams of its prefix, so that two such documents meet as well.
-
-Verification. Sets of candidate documents are cut into vertical parts; overlaps
-are counted part by part, and summed per pair.
-
-Large buckets. No bucket emits all its pairs. In each round a bucket pairs a few
-hubs with its members; links are merged into components; hubs leave, and so
-does a bucket whose members are in one component. The number of hubs grows each
-round, so the loop ends after every pair of different components was tested:
-no link between components is lost.
+document with too few non-empty segments for the argument also carries the
+n-grams of its prefix, frequent ones last, so that two such documents meet as
+well.
+
+Verification. Each set has a parity sketch of `BITS` bits: an n-gram flips one.
+Sketches of sets that differ in d n-grams differ in at most d bits, so pairs
+whose sketches differ in more are out; first by these, then by sketches of eight
+bits an n-gram. Sets of the others are cut into vertical parts; overlaps are
+counted part by part, and summed per pair.
+
+Large buckets. A bucket first pairs a few hubs with its members; each document is
+labelled by its least linked one; hubs leave, and so does a bucket whose members
+have one label. What is left is compared within the bucket by sketches, and
+only pairs of different labels that pass come out of that join, and of a
+pair's common buckets only those not preceded by one of both documents' first
+`FIRST`. Documents with one label are linked, so no component is lost.
 
 Equal sets are first collapsed into one representative (map-side in each batch,
 then by fingerprint), so groups of copies cost one row a batch.
@@ -36,12 +44,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_sized, materialize
+from .common import BROADCAST_ROWS, join_sized, materialize
 from .components import connected
 from .textvec import NOT_SPACE, byte_keys, chunks, mix, runs_of, span_hash, words
 
 #: Vertical parts in which overlaps are counted.
 PARTS = 4
+#: Bits of the parity sketch.
+BITS = 1024
+#: Buckets of a document that are looked at to find a pair's first common one.
+FIRST = 8
+#: Hubs of a bucket in each round before the rest is compared.
+HUBS = (2,)
+#: Documents that show which n-grams are frequent, about, and the share of them that makes one so.
+SAMPLE_ROWS, FREQUENT = 4000, 0.003
 _U = np.uint64
 
 
@@ -75,8 +91,9 @@ def fingerprint(g: np.ndarray) -> tuple[int, int]:
 class Cuts:
     """Fragments by size, for a threshold of num/den."""
 
-    def __init__(self, num: int, den: int) -> None:
+    def __init__(self, num: int, den: int, frequent: np.ndarray | None = None) -> None:
         self.num, self.den = num, den
+        self.frequent = np.zeros(0, np.uint64) if frequent is None else np.sort(frequent)
 
     def differ(self, n: int) -> int:
         """Most n-grams in which a set of n and a similar one differ."""
@@ -96,44 +113,103 @@ class Cuts:
         top = self.den * n // self.num
         return [x for x in ([own] if self.level(top) == own else [own, own + 1]) if self.differ((1 << x) - 1) > 0] if self.differ(n) or self.level(top) != own else []
 
+    def rare(self, g: np.ndarray) -> np.ndarray:
+        """Flags of n-grams that aren't known as frequent."""
+        if not len(self.frequent):
+            return np.ones(len(g), bool)
+        i = np.minimum(np.searchsorted(self.frequent, g), len(self.frequent) - 1)
+        return self.frequent[i] != g
+
     def signatures(self, g: np.ndarray) -> np.ndarray:
         n, out = len(g), []
-        for level in self.levels(n):
+        levels = self.levels(n)
+        if not levels:
+            return np.zeros(0, np.uint64)
+        ok = self.rare(g)
+        r = g[ok]
+        inner = mix(r ^ _U(0x9FB21C651E98DF25))
+        for level in levels:
             f = self.fragments(level)
-            frag = ((g >> _U(32)) * _U(f)) >> _U(32)
-            at = np.concatenate([[0], np.flatnonzero(frag[1:] != frag[:-1]) + 1])
-            seg = np.add.reduceat(mix(g ^ _U(0x9FB21C651E98DF25)), at)
-            out.append(mix(seg ^ mix((frag[at] << _U(8)) + _U(level))))
-            d = self.differ(n)
-            if len(at) <= d:  # too few segments: the prefix as well
+            frag = ((r >> _U(32)) * _U(f)) >> _U(32)
+            at = np.concatenate([[0], np.flatnonzero(frag[1:] != frag[:-1]) + 1]) if len(r) else np.zeros(0, np.int64)
+            if len(at):
+                out.append(mix(np.add.reduceat(inner, at) ^ mix((frag[at] << _U(8)) + _U(level))))
+            if len(at) <= self.differ(n):  # too few segments: the prefix as well
                 least = -(-self.num * n // self.den)
-                out.append(mix(g[: n - least + 1] ^ _U(0xD6E8FEB86659FD93 + level)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                out.append(mix(np.concatenate([r, g[~ok]])[: n - least + 1] ^ _U(0xD6E8FEB86659FD93 + level)))
+        return np.concatenate(out)
+
+
+def frequent_grams(docs: DataFrame, k: int, sample: int = SAMPLE_ROWS, share: float = FREQUENT) -> np.ndarray:
+    """Hashes of n-grams in at least `share` of the distinct sets among about `sample` documents, so at most mean size / share."""
+    total = docs.count()
+    if total < 50:
+        return np.zeros(0, np.uint64)
+    some = docs.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < min(1.0, sample / total) * 1_000_000).select("text").limit(4 * sample)
+
+    def run(batches):
+        for batch in batches:
+            seen, out = set(), []
+            for g in gram_sets(batch.column(0), k):
+                fp = fingerprint(g)
+                if fp not in seen:
+                    seen.add(fp)
+                    out.append(g)
+            h, n = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    least = max(4, int(share * min(sample, total)))
+    found = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").collect()
+    return np.array([r["h"] for r in found], np.int64).view(np.uint64)
+
+
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
+
+
+def sketch(g: np.ndarray) -> np.ndarray:
+    """Parities of the counts of n-grams in BITS slots, as words of 64 bits."""
+    slot = np.bincount((mix(g ^ _U(0x8CB92BA72F3D8DD7)) >> _U(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(slot.astype(np.uint8)).view(np.int64)
+
+
+def differ_in(a: str, b: str) -> str:
+    """SQL for the number of bits in which two sketches differ."""
+    return " + ".join(f"bit_count({a}.{s} ^ {b}.{s})" for s in SKETCH)
 
 
 def base_rows(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and the set's fingerprint of every document."""
+    """doc_id, n_shingles, the set's fingerprint and sketch of every document."""
 
     def run(batches):
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, bits = [], [], [], []
             for g in gram_sets(batch.column(1), k):
                 p, q = fingerprint(g)
                 n.append(len(g))
                 a.append(p)
                 b.append(q)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "n_shingles", "fp1", "fp2"])
+                bits.append(sketch(g))
+            words_ = np.stack(bits).T if bits else np.zeros((len(SKETCH), 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in words_)], names=["doc_id", "n_shingles", "fp1", "fp2", *SKETCH])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def bucket_rows(docs: DataFrame, k: int, cuts: Cuts) -> DataFrame:
     """(signature, fingerprint, size) of each distinct set in a batch."""
 
+    def rows(sig, fp1, fp2, size, reps):
+        col = lambda v, t: pa.array(np.repeat(np.array(v, t), reps))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64) if sig else np.zeros(0, np.int64)), col(fp1, np.int64), col(fp2, np.int64), col(size, np.int32)], names=["sig", "fp1", "fp2", "n"])
+
     def run(batches):
         for batch in batches:
-            sig, fp1, fp2, size, reps, seen = [], [], [], [], [], set()
+            seen: set[tuple[int, int]] = set()
+            sig, fp1, fp2, size, reps, held = [], [], [], [], [], 0
             for g in gram_sets(batch.column(0), k):
+                if held >= 100_000:
+                    yield rows(sig, fp1, fp2, size, reps)
+                    sig, fp1, fp2, size, reps, held = [], [], [], [], [], 0
                 fp = fingerprint(g)
                 if not len(g) or fp in seen:
                     continue
@@ -144,8 +220,8 @@ def bucket_rows(docs: DataFrame, k: int, cuts: Cuts) -> DataFrame:
                 fp2.append(fp[1])
                 size.append(len(g))
                 reps.append(len(s))
-            col = lambda v, t: pa.array(np.repeat(np.array(v, t), reps))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64) if sig else np.zeros(0, np.int64)), col(fp1, np.int64), col(fp2, np.int64), col(size, np.int32)], names=["sig", "fp1", "fp2", "n"])
+                held += len(s)
+            yield rows(sig, fp1, fp2, size, reps)
 
     return docs.select("text").mapInArrow(run, "sig long, fp1 long, fp2 long, n int")
 
@@ -168,6 +244,40 @@ def parts_of(docs: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, grams binary")
 
 
+def fine_sketches(docs: DataFrame, k: int) -> DataFrame:
+    """Parity sketches of eight bits an n-gram and more, a power of two long."""
+
+    def run(batches):
+        for batch in batches:
+            bits = []
+            for g in gram_sets(batch.column(1), k):
+                size = 1 << (8 * max(len(g), 8) - 1).bit_length()
+                slot = np.bincount((mix(g ^ _U(0x8CB92BA72F3D8DD7)) & _U(size - 1)).astype(np.int64), minlength=size) & 1
+                bits.append(np.packbits(slot.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["doc_id", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits binary")
+
+
+def fine(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b, na, nb), those whose sketches differ in no more bits than similar sets may."""
+    both = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("bits").alias("ga")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("bits").alias("gb")), "b")
+
+    def test(batches):
+        for batch in batches:
+            most = (batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()) * (den - num) // (den + num)
+            keep = []
+            for x, y, d in zip(batch.column(4), batch.column(5), most.tolist(), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                while len(p) != len(q):  # the longer, folded, is the sketch of the shorter's length
+                    p, q = (p, q) if len(p) > len(q) else (q, p)
+                    p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+                keep.append(int(np.bitwise_count(p ^ q).sum()) <= d)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(test, "a long, b long, na int, nb int").distinct()
+
+
 def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b, na, nb), those whose overlaps, summed over the parts, reach the threshold."""
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), "part", F.col("grams").alias("ga")), "a")
@@ -176,44 +286,63 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def overlap(batches):
         for batch in batches:
             n = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "common"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(6), pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "part", "common"])
 
-    counted = both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(overlap, "a long, b long, na int, nb int, common long")
-    total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    counted = both.select("a", "b", "na", "nb", "ga", "gb", "part").mapInArrow(overlap, "a long, b long, na int, nb int, part int, common long")
+    # A part counts once even if a document's row is repeated.
+    total = counted.groupBy("a", "b", "na", "nb", "part").agg(F.max("common").alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return total.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def ends(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that occur in pairs (a written table)."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+
+
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, scope: str = "default") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    cuts = Cuts(num, den)
     base = materialize(base_rows(docs, k), scope)
     docs = docs.where(F.col("doc_id").isNotNull())
-    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
+    cuts = Cuts(num, den, frequent_grams(docs, k))
+    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), *(F.first(s).alias(s) for s in SKETCH))
     # Buckets that more than one distinct set meets in.
-    met = bucket_rows(docs, k, cuts).repartition("sig").groupBy("sig", "fp1", "fp2").agg(F.max("n").alias("n"))
     by_sig = Window.partitionBy("sig")
+    met = bucket_rows(docs, k, cuts).repartition("sig").groupBy("sig", "fp1", "fp2").agg(F.max("n").alias("n"))
     met = met.withColumn("_m", F.count("*").over(by_sig)).where("_m > 1").drop("_m")
-    buckets = materialize(met.join(reps, ["fp1", "fp2"]).select("sig", F.col("rep").alias("a"), "n"), scope)
-    candidates = materialize(buckets.select(F.col("a").alias("doc_id")).distinct(), scope)
-    sets = materialize(parts_of(join_sized(docs, candidates, ["doc_id"], "left_semi"), k).dropDuplicates(["doc_id", "part"]), scope)
-    links, tested, round_ = None, buckets.withColumn("comp", F.col("a")), 0
-    while True:
-        hubs = 4**round_
-        order = Window.partitionBy("sig").orderBy("n", "a")
-        ranked = tested.withColumn("_k", F.row_number().over(order))
-        hub = ranked.where(F.col("_k") <= hubs).select("sig", F.col("a").alias("ha"), F.col("n").alias("hn"), F.col("_k").alias("hk"), F.col("comp").alias("hc"))
-        pairs = hub.join(ranked, "sig").where((F.col("hk") < F.col("_k")) & (F.col("hc") != F.col("comp")) & (num * F.col("n") <= den * F.col("hn")))
-        pairs = pairs.select(F.col("ha").alias("a"), F.col("hn").alias("na"), F.col("a").alias("b"), F.col("n").alias("nb")).distinct()
+    tested = materialize(met.join(reps.select("fp1", "fp2", F.col("rep").alias("a")), ["fp1", "fp2"]).select("sig", "a", "n", F.col("a").alias("comp")), scope)
+    nodes = materialize(reps.join(tested.select(F.col("a").alias("rep")).distinct(), "rep").select(F.col("rep").alias("a"), *SKETCH), scope)
+    near = f"({differ_in('x', 'y')}) * {den + num} <= (x.n + y.n) * {den - num} and x.comp != y.comp and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
+    links = None
+    for hubs in (*HUBS, None):
+        if hubs:
+            ranked = tested.withColumn("_k", F.row_number().over(Window.partitionBy("sig").orderBy("n", "a")))
+            x, y = ranked.where(F.col("_k") <= hubs).select("sig", *(F.col(c).alias(f"{c}_x") for c in ("a", "n", "comp", "_k"))), ranked.select("sig", *(F.col(c).alias(f"{c}_y") for c in ("a", "n", "comp", "_k")))
+            pairs = x.join(y, "sig").where(f"_k_x < _k_y and comp_x != comp_y and n_x * {den} >= n_y * {num}").select(*(f"{c}_{t}" for c in ("a", "n", "comp") for t in "xy")).distinct()
+            pairs = join_sized(pairs, nodes.select(F.col("a").alias("a_x"), F.struct(*SKETCH).alias("sx")), ["a_x"], "inner")
+            pairs = join_sized(pairs, nodes.select(F.col("a").alias("a_y"), F.struct(*SKETCH).alias("sy")), ["a_y"], "inner")
+            pairs = pairs.where(f"({differ_in('sx', 'sy')}) * {den + num} <= (n_x + n_y) * {den - num}").select(F.col("a_x").alias("a"), F.col("a_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"))
+        else:
+            early = tested.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, FIRST).alias("early"))
+            full = join_sized(tested, materialize(nodes.join(early, "a"), scope), ["a"], "inner")
+            pairs = full.alias("x").join(full.alias("y"), F.expr(f"x.sig = y.sig and x.a < y.a and {near} and coalesce(array_min(array_intersect(x.early, y.early)), x.sig) >= x.sig")).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+        pairs = materialize(pairs, scope)
+        pairs = materialize(fine(pairs, fine_sketches(ends(docs, pairs), k), num, den), scope)
+        sets = parts_of(ends(docs, pairs), k)
         new = materialize(similar(pairs, sets, num, den), scope)
         links = new if links is None else links.unionByName(new)
-        comps = materialize(connected(links, scope), scope)
-        # Hubs are done with; buckets whose rest is one component too.
-        rest = ranked.where(F.col("_k") > hubs).select("sig", "a", "n").join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+        if not hubs:
+            break
+        # Hubs are done with; buckets whose rest has one label too.
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp"))
+        rest = ranked.where(F.col("_k") > hubs).select("sig", "a", "n").join(label, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
         rest = rest.withColumns({"_lo": F.min("comp").over(by_sig), "_hi": F.max("comp").over(by_sig)}).where("_lo < _hi").drop("_lo", "_hi")
         tested = materialize(rest, scope)
-        round_ += 1
         if tested.isEmpty():
             break
+    comps = connected(links, scope)
     found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
-    out = base.join(found, ["fp1", "fp2"], "left")
+    out = base.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
