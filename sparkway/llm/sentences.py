@@ -1,16 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
 A text is parted into sentences (ended by . ! ? before white space, or by a line
-break); a sentence of more than `LONGEST` words counts as several, so that spans
-stay short. From every sentence a span runs over at least `LEAST_SENTENCES`
-sentences and `LEAST_WORDS` words. Spans are hashed by their words (A-Z
-lower-cased, punctuation and spacing left out) and joined globally: the first
-occurrence, by (doc_id, place), stays; sentences that any other occurrence
-covers are removed.
+break), and these into pieces at content-defined places: where the hash of the
+two words around is a least one within `REACH` places. Whether a place is an edge
+hangs on the few words around it only, so equal passages have equal edges
+whatever stands before them, with or without stops. From every edge a span runs
+over at least `LEAST_PIECES` pieces and `LEAST_WORDS` words. Spans are hashed by
+their words (A-Z lower-cased, punctuation and spacing left out) and joined
+globally: the first occurrence, by (doc_id, place), stays; pieces that any other
+occurrence covers are removed. n_removed counts the sentences that lose words.
 
 Of a span that a batch of documents holds several times only the first goes on;
-the others are settled there and then, so a passage that a third of the
-documents share costs one row a batch. The firsts meet under their hash in one
+the others are settled there and then, as runs of pieces, so a passage that a third
+of the documents share costs one row a batch. The firsts meet under their hash in one
 shuffle. Spans of one document are gathered in one row, bounded by its own text.
 
 Null texts stay null. Rows with a null doc_id are kept as they are. Repeated
@@ -29,14 +31,28 @@ from pyspark.sql.window import Window
 from .common import fresh
 from .textvec import ALNUM, byte_class, byte_keys, chunks, mix, span_hash, words
 
-LONGEST, LEAST_SENTENCES, LEAST_WORDS = 16, 3, 16
+REACH, LEAST_PIECES, LEAST_WORDS = 3, 3, 16
 STOP, SPACE = byte_class((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F)), byte_class((0x20, 0x20), (0x09, 0x0D))
 _U = np.uint64
 
 
-def sentences(body: np.ndarray, offs: np.ndarray):
-    """Word hashes, first words of sentences (one more at the end), and the first sentence of each row (one more)."""
+def content_edges(h: np.ndarray, row: np.ndarray, hard: np.ndarray) -> np.ndarray:
+    """Flags of words before which a sentence is cut by content, none within `REACH` places of a hard edge or a row's end."""
+    c = np.zeros(len(h), np.uint64)
+    c[1:] = mix(h[:-1] * _U(0x9E3779B97F4A7C15) + h[1:])
+    ok = ~hard
+    for k in range(1, REACH + 1):
+        inside = row[k:] == row[:-k]
+        ok[k:] &= inside & ~hard[:-k] & (c[k:] <= c[:-k])
+        ok[:-k] &= inside & ~hard[k:] & (c[:-k] <= c[k:])
+        ok[-k:] = False
+    return ok
+
+
+def sentences(body: np.ndarray, offs: np.ndarray, keys: np.ndarray):
+    """Words (start, end, hash); first words of pieces (one more at the end) and their sentences' numbers; the first piece of each row (one more)."""
     s, e, first = words(body, offs, ALNUM)
+    h = span_hash(body, s, e, keys)
     n = len(body)
     last = np.zeros(n, bool)
     if n:
@@ -47,33 +63,27 @@ def sentences(body: np.ndarray, offs: np.ndarray):
     begin = np.zeros(len(s), bool)
     begin[1:] = stops[s[1:]] > stops[e[:-1]]
     begin[first[:-1][first[:-1] < len(s)]] = True
-    at = np.flatnonzero(begin)
-    size = np.diff(np.append(at, len(s)))
-    extra = (size - 1) // LONGEST
-    at = np.repeat(at, extra + 1)
-    place = np.arange(len(at)) - np.repeat(np.concatenate([[0], np.cumsum(extra + 1)[:-1]]), extra + 1) if len(size) else at
-    at = at + place * LONGEST
-    return s, e, np.append(at, len(s)), np.searchsorted(at, first)
+    at = np.flatnonzero(begin | content_edges(h, np.repeat(np.arange(len(offs) - 1), np.diff(first)), begin))
+    return s, e, h, np.append(at, len(s)), np.cumsum(begin)[at], np.searchsorted(at, first)
 
 
 def spans(body: np.ndarray, offs: np.ndarray, keys: np.ndarray):
-    """(row, first sentence, end sentence, hash) of every span; sentences counted from the row's first."""
-    s, e, at, rows = sentences(body, offs)
-    h = span_hash(body, s, e, keys)
+    """(row, first piece, end piece, hash) of every span; pieces counted from the row's first."""
+    _, _, h, at, _, rows = sentences(body, offs, keys)
     n = len(at) - 1
     none = np.zeros(0, np.int64)
     if not n:
         return none, none, none, np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     i = np.arange(n)
-    # Forward: the nearest end with enough sentences and words. Ends that none reaches get the shortest span backward.
-    end = np.maximum(i + LEAST_SENTENCES, np.searchsorted(at, at[:-1] + LEAST_WORDS))
+    # Forward: the nearest end with enough pieces and words. Ends that none reaches get the shortest span backward.
+    end = np.maximum(i + LEAST_PIECES, np.searchsorted(at, at[:-1] + LEAST_WORDS))
     ok = end <= rows[row + 1]
     a, b = i[ok], end[ok]
     reached = np.zeros(n + 1, bool)
     reached[b] = True
     j = np.flatnonzero(~reached[1:]) + 1
-    start = np.minimum(j - LEAST_SENTENCES, np.searchsorted(at, at[j] - LEAST_WORDS, "right") - 1)
+    start = np.minimum(j - LEAST_PIECES, np.searchsorted(at, at[j] - LEAST_WORDS, "right") - 1)
     good = (start >= 0) & (start >= rows[row[j - 1]])
     a, b = np.concatenate([a, start[good]]), np.concatenate([b, j[good]])
     up = np.multiply.accumulate(np.full(len(h) + 1, 0xC6BC279692B5C323 | 1, np.uint64))
@@ -83,6 +93,19 @@ def spans(body: np.ndarray, offs: np.ndarray, keys: np.ndarray):
     return row[a], a - rows[row[a]], b - rows[row[a]], mix((acc[wb] - acc[wa]) * down[wa] + (wb - wa).astype(np.uint64))
 
 
+def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """The spans of each document, those that overlap or touch as one."""
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    step = np.cumsum(new) * (int(b.max(initial=0)) + 1)
+    top = np.maximum.accumulate(b + step)
+    new[1:] |= (a + step)[1:] > top[:-1]
+    at = np.flatnonzero(new)
+    return doc[at], a[at], (top - step)[np.append(at[1:], len(doc)) - 1] if len(at) else b
+
+
 def span_rows(docs: DataFrame) -> DataFrame:
     """Batch-first spans (own = false), and those that the batch itself shows to be repeats (own = true, under a hash of their own)."""
 
@@ -103,40 +126,40 @@ def span_rows(docs: DataFrame) -> DataFrame:
             head = np.repeat(order[first], np.diff(np.append(np.flatnonzero(first), len(k))))
             later = (doc[head] != doc[order]) | (a[head] != a[order])
             lead, rest = order[first], order[~first & later]
-            take = np.concatenate([lead, rest])
-            out = h[take]
-            out[len(lead) :] = mix(doc[rest].astype(np.uint64) ^ mix(a[rest].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(doc[take]), pa.array(a[take].astype(np.int32)), pa.array(b[take].astype(np.int32)), pa.array(np.arange(len(take)) >= len(lead))], names=["h", "doc_id", "a", "b", "own"])
+            d, lo, hi = merged(doc[rest], a[rest], b[rest])
+            out = np.concatenate([h[lead], mix(d.astype(np.uint64) ^ mix(lo.astype(np.uint64)))])
+            doc, a, b = (np.concatenate([x[lead], y]) for x, y in ((doc, d), (a, lo), (b, hi)))
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.arange(len(out)) >= len(lead))], names=["h", "doc_id", "a", "b", "own"])
 
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h long, doc_id long, a int, b int, own boolean")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id and its spans [a, b) of sentences that occur earlier, as one array."""
+    """doc_id and its spans [a, b) of pieces that occur earlier, as one array."""
     rows = span_rows(docs).repartition("h")
     first = F.min(F.when(~F.col("own"), F.col("doc_id"))).over(Window.partitionBy("h"))
     later = rows.withColumn("first", first).where("own or doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def cut(text: bytes, covered: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """The text without the covered sentences; its number of sentences, and how many went."""
+def cut(text: bytes, covered: list[tuple[int, int]], keys: np.ndarray) -> tuple[bytes, int, int]:
+    """The text without the covered pieces; its number of sentences, and how many lost words."""
     body = np.frombuffer(text, np.uint8)
-    s, e, at, rows = sentences(body, np.array([0, len(body)]))
-    n = len(at) - 1
-    edge = np.zeros(n + 1, np.int64)
+    s, _, _, at, of, _ = sentences(body, np.array([0, len(body)]), keys)
+    n = int(of[-1]) if len(of) else 0
+    edge = np.zeros(len(at), np.int64)
     for a, b in covered:
         edge[a] += 1
         edge[b] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     if not gone.any():
         return text, n, 0
-    # A sentence holds the bytes from its first word to the next sentence's.
+    # A piece holds the bytes from its first word to the next piece's.
     begin = np.append(s[at[:-1]], len(body))
     kept, head = [text[: begin[0]]] if not gone[0] else [], True
     for i in np.flatnonzero(~gone):
         kept.append(text[begin[i] : begin[i + 1]])
-    return b"".join(kept), n, int(gone.sum())
+    return b"".join(kept), n, len(np.unique(of[gone]))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -148,6 +171,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     schema = both.drop(spans_).schema.add(n_all, "long").add(n_gone, "long")
 
     def run(batches):
+        keys = byte_keys(lower=True)
         for batch in batches:
             texts, n, gone = [], [], []
             for t, c in zip(batch.column(0), batch.column(batch.num_columns - 1), strict=True):
@@ -155,7 +179,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 if t is None:
                     out, k, m = None, 0, 0
                 else:
-                    out, k, m = cut(t.encode(), [(x["a"], x["b"]) for x in c.as_py() or []])
+                    out, k, m = cut(t.encode(), [(x["a"], x["b"]) for x in c.as_py() or []], keys)
                     out = out.decode()
                 texts.append(out)
                 n.append(k)

@@ -236,6 +236,25 @@ def test_repeats_inside_a_document(spark):
     assert got[1][0] == f"{PASSAGE}\nMiddle words.\n" and got[1][2] == 8
 
 
+@pytest.mark.parametrize("stop", [". ", "", ".*** "])
+def test_repeated_windows_go_whatever_leads_in(spark, stop):
+    """Passages set in mid-sentence after different lead-ins: most words in a 51-word window that occurs earlier go, and no others."""
+    rng = np.random.default_rng(8)
+    fresh_words = lambda n: [f"n{x}" for x in rng.integers(0, 1 << 60, n)]
+    passages = [[f"{w}{stop}".strip() if stop and i % 23 == 22 else w for i, w in enumerate(fresh_words(n))] for n in (51, 60, 90, 200)]
+    held = [(p, lead) for lead in (0, 1, 2, 3, 7, 20, 41) for p in passages]
+    texts = {d: " ".join([*fresh_words(lead), *p, *fresh_words(30)]) for d, (p, lead) in enumerate(held)}
+    got = as_map(sentences.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)), 3)
+    seen = set()
+    for d, text in texts.items():
+        w = brute.ALNUM.findall(text)
+        windows = [tuple(w[i : i + 51]) for i in range(len(w) - 50)]
+        covered = {x for g in windows if g in seen for x in g}
+        left = set(brute.ALNUM.findall(got[d][0]))
+        assert set(w) - left <= covered and 2 * len(covered & left) <= len(covered)
+        seen |= set(windows)
+
+
 def test_sentences_odd_rows(odd, none):
     out = sentences.dedup(odd)
     got = {r.doc_id: r for r in out.collect()}
