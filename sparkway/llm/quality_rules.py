@@ -3,7 +3,11 @@
 Base counts are exact over whole texts. In place of fixed cutoffs, each
 (lang, source) group has its own fences, read from mergeable KLL sketches of the
 group's documents: far beyond the quartiles, by a multiple of the spread. A
-sketch has a fixed size, so a hot group costs partial aggregates only.
+group of n documents has the weight n / (n + PRIOR) against its language, whose
+fences come of the merged sketches of its groups, and a language likewise against
+the corpus; so a group of any size bears on its own fences, and a document more
+never moves them by a jump. A sketch has a fixed size, so a hot group costs partial
+aggregates only.
 
 Null text has no words and fails the base rule. Null lang or source form groups
 of their own. Repeated rows count and are judged as often as they occur. An
@@ -21,8 +25,8 @@ SPACES = "\t\n\x0b\x0c\r"
 #: name -> (least spread, side): a document is rejected beyond quartile +/- FENCE * max(spread, least).
 MEASURES = {"symbol_rate": (0.02, 1), "dup_line_rate": (0.10, 1), "repeat_rate": (0.10, 1), "mean_word": (1.0, 1), "mean_word_low": (1.0, -1)}
 FENCE = 3.0
-#: Groups below this many documents are judged by the whole corpus's fences.
-LEAST_GROUP = 50
+#: Documents for which the fences of the next larger group count in a blend.
+PRIOR = 10
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,9 +79,20 @@ def measured(counts: DataFrame) -> DataFrame:
     })
 
 
-def fences(rows: DataFrame, keys: list[str], fence: float = FENCE) -> DataFrame:
-    """Upper (or lower) fence of each measure in each group, from KLL sketches."""
-    sketched = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.kll_sketch_agg_double(m).alias(m) for m in ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_word")))
+SKETCHED = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_word")
+
+
+def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The number of documents in each group, and a KLL sketch of each measure."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.kll_sketch_agg_double(m).alias(m) for m in SKETCHED))
+
+
+def merged(sketched: DataFrame, keys: list[str]) -> DataFrame:
+    return sketched.groupBy(*keys).agg(F.sum("_n").alias("_n"), *(F.kll_merge_agg_double(m).alias(m) for m in SKETCHED))
+
+
+def fences(sketched: DataFrame, keys: list[str], fence: float = FENCE) -> DataFrame:
+    """Upper (or lower) fence of each measure in each group, from its sketches."""
     cols = []
     for name, (least, side) in MEASURES.items():
         m = name.removesuffix("_low")
@@ -87,20 +102,35 @@ def fences(rows: DataFrame, keys: list[str], fence: float = FENCE) -> DataFrame:
     return sketched.select(*keys, "_n", *cols)
 
 
-def judge(docs: DataFrame, fence: float = FENCE, least_group: int = LEAST_GROUP, scope: str = "default") -> DataFrame:
+def blended(own: DataFrame, wider, prior: float) -> DataFrame:
+    """`own` with each fence moved towards wider(name), the more the fewer documents it comes of."""
+    w = F.col("_n") / (F.col("_n") + F.lit(float(prior)))
+    return own.withColumns({f"_f_{m}": w * F.col(f"_f_{m}") + (1 - w) * wider(f"_f_{m}") for m in MEASURES})
+
+
+def group_fences(rows: DataFrame, fence: float = FENCE, prior: float = PRIOR, scope: str = "default") -> DataFrame:
+    """Fences of each (lang, source), blended with those of its language, and these with the corpus's."""
+    sketched = materialize(sketches(rows, ["lang", "source"]), scope)
+    # One row of numbers; without documents that have words there are none.
+    whole = {} if sketched.isEmpty() else fences(merged(sketched, []), [], fence).first().asDict()
+    lang = blended(fences(merged(sketched, ["lang"]), ["lang"], fence), lambda f: F.lit(whole.get(f)).cast("double"), prior)
+    lang = materialize(lang.select(F.col("lang").alias("_of"), *(F.col(f"_f_{m}").alias(f"_l_{m}") for m in MEASURES)), scope)
+    few = lang.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    both = fences(sketched, ["lang", "source"], fence).join(F.broadcast(lang) if few else lang, F.col("lang").eqNullSafe(F.col("_of")))
+    return blended(both, lambda f: F.col(f.replace("_f_", "_l_", 1)), prior).select("lang", "source", *(f"_f_{m}" for m in MEASURES))
+
+
+def judge(docs: DataFrame, fence: float = FENCE, prior: float = PRIOR, scope: str = "default") -> DataFrame:
     """doc_id, the counts, base_failed and kept."""
     rows = materialize(measured(counted(docs.select("doc_id", "text", "lang", "source")).drop("text")), scope)
     scored = rows.where(F.col("n_words") > 0)
-    group = materialize(fences(scored, ["lang", "source"], fence).where(F.col("_n") >= least_group), scope).drop("_n")
-    # One row of numbers; without documents that have words there are none.
-    whole = {} if scored.isEmpty() else fences(scored, [], fence).first().asDict()
-    group = group.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    group = materialize(group_fences(scored, fence, prior, scope), scope).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     few = group.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(group) if few else group, on, "left")
     verdict = F.lit(True)
     for m, (_, side) in MEASURES.items():
-        edge = F.coalesce(F.col(f"_f_{m}"), F.lit(whole.get(f"_f_{m}")).cast("double"))
+        edge = F.col(f"_f_{m}")
         verdict = verdict & F.coalesce(F.col(m) <= edge if side > 0 else F.col(m) >= edge, F.lit(True))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict).alias("kept"))

@@ -160,6 +160,29 @@ def test_quality_rules_reject_outliers(spark, odd, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_quality_fences_of_groups_at_every_size(spark):
+    """A small group's own documents bear on its fences, and one document more moves no fence by a jump."""
+    cols = quality_rules.SKETCHED
+
+    def limit(n):
+        rows = [("en", "hot", 0.001 * (i % 10), 0.0, 0.0, 5.0) for i in range(3000)] + [("en", "own", 0.3 + 0.001 * (i % 10), 0.0, 0.0, 5.0) for i in range(n)]
+        f = quality_rules.group_fences(spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} double" for c in cols)))
+        return {r.source: r._f_symbol_rate for r in f.collect()}
+
+    at = {n: limit(n) for n in (1, 20, 49, 50, 51)}
+    assert at[1]["own"] > at[1]["hot"] and at[20]["own"] > at[1]["own"] + 0.05 and at[49]["own"] > 0.2
+    assert abs(at[50]["own"] - at[49]["own"]) < 0.01 and abs(at[51]["own"] - at[50]["own"]) < 0.01
+
+
+def test_quality_verdicts_in_a_small_group(spark):
+    """Forty documents with a symbol a few words, as their source writes, beside a hot source that writes none."""
+    text = lambda i, mark, n=80: " ".join(f"w{(i * 7 + k * 13) % 997}" + (mark if k % 4 == 0 else "") for k in range(n))
+    rows = [(i, text(i, ""), "en", "hot") for i in range(400)] + [(1000 + i, text(i, "$"), "en", "own") for i in range(40)] + [(2000, text(3, "$$$$$$$$"), "en", "own"), (2001, text(3, "$"), "en", "hot")]
+    kept = as_map(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "kept"), 1)
+    assert not kept[2000][0] and not kept[2001][0]
+    assert all(kept[d][0] for d in kept if d < 2000)
+
+
 def test_pieces_are_the_tokenizers(docs, texts):
     tokenizer = Tokenizer.from_file(BPE)
     got = {(r.doc_id, r.piece): r for r in packing.pieces(docs, BPE).collect()}
