@@ -10,9 +10,10 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkway.llm import decontaminate, jaccard, packing, quality_fm, sentences
-from sparkway.llm.common import drop_scratch, materialize, scratch_root, table
+from sparkway.llm.common import drop_scratch, fresh, materialize, scratch_root, table
 
 #: Near-duplicates: words in a shingle, and the similarity as a fraction.
 SHINGLE, SIMILAR = 5, (80, 100)
@@ -28,11 +29,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates, once. Rows without an id stay."""
+    """Keeps one row of each group of near-duplicates: of the smallest doc_id, and of its rows the first by key. Rows without an id, and without words, stay.
+
+    Rows are judged one by one under a key of their own, whatever other rows have their doc_id.
+    """
     drop_scratch(spark, SCOPE)
-    groups = materialize(jaccard.join(docs, SHINGLE, *SIMILAR, scope=SCOPE), SCOPE)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    row, doc = fresh(docs.columns, "_row", "_doc")
+    # Written once, so that a row has the same key in each read.
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), SCOPE)
+    named = keyed.where("doc_id is not null")
+    groups = jaccard.join(named.select(F.col(row).alias("doc_id"), "text"), SHINGLE, *SIMILAR, scope=SCOPE).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    joined = groups.join(named.select(row, F.col("doc_id").alias(doc)), row)
+    first = joined.groupBy("component_id").agg(F.min(F.struct(doc, row)).alias("_first"))
+    stay = first.select(F.col(f"_first.{row}").alias(row))
+    gone = materialize(groups.select(row).join(stay, row, "left_anti"), SCOPE)
+    return keyed.join(gone, row, "left_anti").drop(row)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

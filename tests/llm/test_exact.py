@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sparkway.llm import components, decontaminate, fmindex, jaccard, longmatch, packing, quality_rules, sentences
 
 from . import brute
@@ -54,6 +55,17 @@ def test_jaccard_join_odd_rows(odd, none):
     assert jaccard.join(none).count() == 0
 
 
+def test_near_copies_are_dropped_row_by_row(spark):
+    """Repeated rows of the one that stays go; a doc_id's other text stays; rows without id or words stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (3, f"{a} more"), (4, b), (4, f"{a} more"), (5, c), (5, c), (5, c), (None, a), (None, a), (6, ""), (6, ""), (7, None)]
+    df = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string").repartition(5)
+    out = corpus_pipeline.drop_near_copies(spark, df, "")
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == df.columns
+    assert got == sorted([(1, a), (4, b), (5, c), (None, a), (None, a), (6, ""), (6, ""), (7, None)], key=str)
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (103, 102)]
     got = as_map(components.connected(spark.createDataFrame(edges, "a long, b long")), 1)
