@@ -107,13 +107,15 @@ def planned(spark, sf_dir, w, scenarios=("static", "predicted", "observed"), **o
     return materialize(R.routes(od(spark, sf_dir).crossJoin(F.broadcast(s)), w, **options))
 
 
-TEXT = F.array_join(F.transform("edge_path", lambda e: F.concat(e["u"], F.lit("-"), e["v"], F.lit("#"), e["key"].cast("string"))), ",")
+def path_text():
+    """`edge_path` as text; a function, since expressions with lambdas need a session."""
+    return F.array_join(F.transform("edge_path", lambda e: F.concat(e["u"], F.lit("-"), e["v"], F.lit("#"), e["key"].cast("string"))), ",")
 
 
 @query(E + OD + WALK + " SELECT od.od, s.scenario, round(b.cost, 4) AS cost, b.cost IS NOT NULL AS is_reached, coalesce(array_to_string(b.path, ','), '') AS path, coalesce(len(b.path), 0) AS n_edges FROM od CROSS JOIN sc s LEFT JOIN best b ON b.scenario = s.scenario AND b.src = od.source AND b.node = od.target")
 def dijkstra_routes(spark, sf_dir):
     r = planned(spark, sf_dir, all_weights(spark, sf_dir))
-    return rounded(r.select("od", "scenario", "cost", "is_reached", TEXT.alias("path"), F.size("edge_path").alias("n_edges")), "cost")
+    return rounded(r.select("od", "scenario", "cost", "is_reached", path_text().alias("path"), F.size("edge_path").alias("n_edges")), "cost")
 
 
 @query(E + OD + WALK + " SELECT od.od, round(b.cost, 4) AS cost, b.cost IS NOT NULL AS is_reached FROM od LEFT JOIN best b ON b.scenario = 'static' AND b.src = od.source AND b.node = od.target")
