@@ -201,3 +201,39 @@ def cardinality(df: DataFrame, a: str, b: str) -> DataFrame:
     one = df.groupBy(a).agg(F.count_distinct(b).alias("k")).agg(F.count("*").alias("left_keys"), F.count_if(F.col("k") > 1).alias("left_with_many"), F.max("k").alias("left_most"))
     two = df.groupBy(b).agg(F.count_distinct(a).alias("k")).agg(F.count("*").alias("right_keys"), F.count_if(F.col("k") > 1).alias("right_with_many"), F.max("k").alias("right_most"))
     return one.join(F.broadcast(two))
+
+
+def missing_slots(sensor: DataFrame) -> DataFrame:
+    """Per segment: hours seen, the usual step (the least of the most frequent), and slots of that step that are missing."""
+    w = Window.partitionBy("seg").orderBy("hr")
+    d = sensor.withColumn("_step", ((epoch("hr") - epoch(F.lag("hr").over(w))) / HOUR_S).cast("long"))
+    one = d.groupBy("seg").agg(F.count("*").alias("n"), F.mode("_step", True).alias("step_h"), ((F.max(epoch("hr")) - F.min(epoch("hr"))) / HOUR_S).alias("_span"))
+    return one.select("seg", "n", "step_h", (F.round(F.col("_span") / F.col("step_h")) + 1 - F.col("n")).cast("long").alias("missing"))
+
+
+def running_stats(df: DataFrame, key: str, value: str, kind: str) -> DataFrame:
+    """Per key: count, sum, sum of squares, zeros, extremes; the kinds seen, and the usual one (the least of the most frequent)."""
+    v = F.col(value)
+    kinds = F.array_join(F.array_sort(F.collect_set(kind)), ",")
+    return df.groupBy(key).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.sum(v * v).alias("squares"), F.count_if(v == 0).alias("zeros"), F.min(value).alias("least"), F.max(value).alias("most"), kinds.alias("kinds"), F.mode(kind, True).alias("usual"))
+
+
+def coverage_by_class(sensor: DataFrame, name: str) -> DataFrame:
+    """Observed cells of each class of segments against its segments times all hours."""
+    slots = sensor.agg(((F.max(epoch("hr")) - F.min(epoch("hr"))) / HOUR_S + 1).cast("long").alias("_slots"))
+    one = sensor.groupBy(name).agg(F.count("*").alias("observed"), F.count_distinct("seg").alias("_segs")).join(F.broadcast(slots))
+    expected = F.col("_segs") * F.col("_slots")
+    return one.select(name, "observed", expected.alias("expected"), (100.0 * F.col("observed") / expected).alias("coverage_pct"))
+
+
+def filled(counts: DataFrame, key: str, hour: str, value: str) -> DataFrame:
+    """Every hour from the first to the last for each key, 0 where there is no row. For keys that are few: the grid has a row for each of their hours."""
+    span = counts.agg(F.min(hour).alias("_lo"), F.max(hour).alias("_hi"))
+    spine = counts.select(key).distinct().join(F.broadcast(span)).select(key, F.explode(F.expr("sequence(_lo, _hi, interval 1 hour)")).alias(hour))
+    return spine.join(counts, [key, hour], "left").select(key, hour, F.coalesce(value, F.lit(0)).alias(value))
+
+
+def coordinate_checks(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    y, x = F.col(lat), F.col(lon)
+    odd = lambda test: F.count_if(test(y) | test(x))
+    return df.agg(F.count("*").alias("n"), F.count_if(y.between(-90, 90) & x.between(-180, 180)).alias("in_bounds"), F.count_if(y > 0).alias("positive"), odd(lambda c: F.abs(c) == float("inf")).alias("infinite"), odd(F.isnan).alias("nan"))

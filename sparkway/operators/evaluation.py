@@ -55,3 +55,15 @@ def robustness(df: DataFrame, by: str | Column, baseline: str, travel: str) -> D
 
 def mapping_summary(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("policy").agg(F.count("*").alias("n"), F.count_distinct("u", "v", "key").alias("edges"))
+
+
+def period_summary(x: DataFrame, period: str) -> DataFrame:
+    """Routes by period: means, median saving, wins, predictions within 5 s of the best, mean overlap with the best route."""
+    saving = F.col("static_s") - F.col("predicted_s")
+    share = lambda c: 100.0 * F.count_if(c) / F.count("*")
+    return x.groupBy(period).agg(F.count("*").alias("n"), F.avg("static_s").alias("mean_static"), F.avg("predicted_s").alias("mean_predicted"), F.percentile(saving, 0.5).alias("median_saving"), share(saving > 1e-6).alias("win_pct"), share(F.abs(F.col("predicted_s") - F.col("observed_s")) <= 5).alias("within_5s_pct"), F.avg("overlap").alias("mean_overlap"))
+
+
+def percent_in(text: str) -> Column:
+    """The first number before a percent sign, or null."""
+    return F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")

@@ -132,3 +132,22 @@ def at_positions(df: DataFrame, order: str, positions: list[int]) -> DataFrame:
     """Rows at positions (from 0) of the distinct values of `order`."""
     ranked = df.select(order).distinct().withColumn("position", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("position").isin(positions))
     return df.join(F.broadcast(ranked), order)
+
+
+def closed_range(df: DataFrame, time: str, low: str, high: str) -> DataFrame:
+    """Rows with a time from `low` to `high`, both included."""
+    kind = df.schema[time].dataType
+    return df.where(F.col(time).between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
+
+
+def drop_suffixes(df: DataFrame, suffixes: list[str]) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.endswith(tuple(suffixes))))
+
+
+def finite_or_null(c: Column) -> Column:
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def first_known(value: str, order: Column) -> Column:
+    """Aggregate: the first value in order that isn't null."""
+    return F.min_by(value, F.when(F.col(value).isNotNull(), order))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kinematics as K
 from ..scratch import materialize
 
 MAX_EDGES = 2_000_000
@@ -124,6 +125,14 @@ def graphs(weights: DataFrame, nodes: DataFrame | None = None, limit: int = MAX_
     return {k: Graph(v, at) for k, v in rows.items()}
 
 
+def guide_speed(weights: DataFrame, nodes: DataFrame) -> float:
+    """km/h of straight line that the best edge gains: the least speed at which the remaining line is never more than the remaining cost."""
+    a, b = (nodes.select(F.col("node").alias(c), F.col("lat").alias(f"_y{c}"), F.col("lon").alias(f"_x{c}")) for c in "uv")
+    metres = K.haversine(*(F.col(c) for c in ("_yu", "_xu", "_yv", "_xv")))
+    top = usable(weights).join(a, "u").join(b, "v").agg(F.max(metres / F.col("weight") * 3.6)).first()[0]
+    return max(3.6, (top or 0.0) * (1 + 1e-9))
+
+
 def routes(requests: DataFrame, weights: DataFrame, nodes: DataFrame | None = None, free_kmh: float | None = None) -> DataFrame:
     """Adds cost, visited, is_reached, node_path, edge_path to requests (scenario, source, target, ...)."""
     known = graphs(weights, nodes)

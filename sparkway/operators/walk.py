@@ -34,6 +34,11 @@ def candidates(states: DataFrame, weights: DataFrame, most: int = 2, score=None)
     return j.where(F.col("rank") <= most).withColumn("kind", kind).drop("_fwd")
 
 
+def random_order(state: str):
+    """A score that orders a state's edges at random, but alike in every run."""
+    return F.md5(F.concat(F.col(state).cast("string"), F.lit(">"), F.col("v"), F.lit("#"), F.col("key").cast("string")).cast("binary"))
+
+
 def with_remaining(edges: DataFrame, nodes: DataFrame, free_kmh: float = 25.0) -> DataFrame:
     """Adds ahead_s: straight-line seconds from v to target (both joined with node, lat, lon)."""
     a, b = nodes.select(F.col("node").alias("v"), F.col("lat").alias("_y1"), F.col("lon").alias("_x1")), nodes.select(F.col("node").alias("target"), F.col("lat").alias("_y2"), F.col("lon").alias("_x2"))
@@ -41,20 +46,33 @@ def with_remaining(edges: DataFrame, nodes: DataFrame, free_kmh: float = 25.0) -
     return j.withColumn("ahead_s", K.remaining_time(F.col("_y1"), F.col("_x1"), F.col("_y2"), F.col("_x2"), free_kmh)).drop("_y1", "_x1", "_y2", "_x2")
 
 
-def lookahead_two(edges: DataFrame, weights: DataFrame, fanout: int = 4) -> DataFrame:
-    """Adds look_s: weight plus the cheapest of v's best `fanout` edges on, none at the target; no way on costs NO_WAY_ON."""
-    nxt = weights.withColumn("_k", F.row_number().over(Window.partitionBy("u").orderBy("weight", "v", "key"))).where(F.col("_k") <= fanout)
-    nxt = nxt.select(F.col("u").alias("v"), F.col("v").alias("_w"), F.col("weight").alias("_n"))
-    best = edges.join(nxt, "v", "left").where(F.col("_w").isNull() | (F.col("_w") != F.col("at"))).groupBy("id", "v", "key").agg(F.min("_n").alias("_n"))
-    return edges.join(best, ["id", "v", "key"], "left").withColumn("look_s", F.col("weight") + F.when(F.col("v") == F.col("target"), 0.0).otherwise(F.coalesce("_n", F.lit(NO_WAY_ON)))).drop("_n")
+def lookahead_two(edges: DataFrame, weights: DataFrame, nodes: DataFrame, fanout: int = 4, free_kmh: float = 25.0) -> DataFrame:
+    """Adds look_s to edges (id, at, target, v, key, weight): weight plus the least of v's best `fanout` edges on and the rest of the way from there.
+
+    Edges back to `at` don't count; at the target nothing is added. A node with no edge out costs DEAD_END, one with none to go on NO_WAY_ON.
+    """
+    nxt = weights.select(F.col("u").alias("v"), F.col("v").alias("_w"), F.col("key").alias("_key"), F.col("weight").alias("_n"))
+    on = edges.select("id", "at", "target", "v", "key").join(nxt, "v")
+    open_ = on.where("_w != at and _w != v").withColumn("_k", F.row_number().over(Window.partitionBy("id", "v", "key").orderBy("_n", "_w", "_key"))).where(F.col("_k") <= fanout)
+    ahead = with_remaining(open_.select("id", F.col("v").alias("_v"), "key", "target", F.col("_w").alias("v"), "_n"), nodes, free_kmh)
+    rest = F.when(F.col("v") == F.col("target"), 0.0).otherwise(F.coalesce("ahead_s", F.lit(0.0)))
+    best = ahead.groupBy("id", F.col("_v").alias("v"), "key").agg(F.min(F.col("_n") + rest).alias("_n"))
+    out = weights.select(F.col("u").alias("v")).distinct().withColumn("_out", F.lit(True))
+    more = F.when(F.col("v") == F.col("target"), 0.0).when(F.col("_out").isNull(), DEAD_END).otherwise(F.coalesce("_n", F.lit(NO_WAY_ON)))
+    return edges.join(best, ["id", "v", "key"], "left").join(out, "v", "left").withColumn("look_s", F.col("weight") + more).drop("_n", "_out")
+
 
+def greedy_walk(requests: DataFrame, weights: DataFrame, nodes: DataFrame | None = None, alpha: float = 1.0) -> DataFrame:
+    """All requests (id, source, target, max_hops) step together, a join a hop, until each has arrived, has no way on or has made its `max_hops`.
 
-def greedy_walk(requests: DataFrame, weights: DataFrame, hops: int, nodes: DataFrame | None = None, alpha: float = 1.0) -> DataFrame:
-    """All requests (id, source, target) step together, a join a hop: the cheapest edge on, plus alpha times the rest of the way if `nodes` are given."""
-    state = requests.select("id", "source", "target", F.col("source").alias("at"), F.lit(None).cast("string").alias("prev"), F.array("source").alias("path"), F.lit(0.0).alias("cost"))
+    The cheapest edge on, plus alpha times the rest of the way if `nodes` are given.
+    """
+    state = requests.select("id", "source", "target", "max_hops", F.col("source").alias("at"), F.lit(None).cast("string").alias("prev"), F.array("source").alias("path"), F.lit(0.0).alias("cost"), F.lit(False).alias("stuck"))
     e = weights.select(F.col("u").alias("at"), "v", "key", "weight")
-    for hop in range(hops):
-        j = state.where("at <> target").join(e, "at")
+    going = "at <> target and not stuck and size(path) - 1 < max_hops"
+    hop = 0
+    while hop % 4 or not state.where(going).isEmpty():
+        j = state.where(going).join(e, "at")
         base = F.col("weight")
         if nodes is not None:
             j = with_remaining(j, nodes)
@@ -63,8 +81,9 @@ def greedy_walk(requests: DataFrame, weights: DataFrame, hops: int, nodes: DataF
         pick = j.groupBy("id").agg(F.min(F.struct(score.alias("s"), "v", "key", "weight")).alias("_b"))
         moved = state.join(pick, "id", "left")
         go = F.col("_b").isNotNull()
-        state = moved.select("id", "source", "target", F.when(go, F.col("_b.v")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("at")).otherwise(F.col("prev")).alias("prev"), F.when(go, F.concat("path", F.array("_b.v"))).otherwise(F.col("path")).alias("path"), (F.col("cost") + F.coalesce("_b.weight", F.lit(0.0))).alias("cost"))
-        if hop % 4 == 3:
+        state = moved.select("id", "source", "target", "max_hops", F.when(go, F.col("_b.v")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("at")).otherwise(F.col("prev")).alias("prev"), F.when(go, F.concat("path", F.array("_b.v"))).otherwise(F.col("path")).alias("path"), (F.col("cost") + F.coalesce("_b.weight", F.lit(0.0))).alias("cost"), (~go & F.expr(going) | F.col("stuck")).alias("stuck"))
+        hop += 1
+        if hop % 4 == 0:
             state = materialize(state)
     return state.select("id", "source", "target", "path", "cost", (F.size("path") - 1).alias("hops"), (F.col("at") == F.col("target")).alias("arrived"))
 
@@ -83,16 +102,16 @@ class Walker:
         return self.g.guess(node, target, self.metres)
 
     def look(self, node: str, target: str, depth: int, seen: frozenset) -> float:
-        """Least cost of up to `depth` further edges, by the four cheapest at each node."""
+        """Least cost of up to `depth` further edges and the rest of the way, by the four cheapest at each node that lead to nodes not seen."""
         if node == target:
             return 0.0
         if depth == 0:
             return self.ahead(node, target)
-        out = sorted(self.g.out.get(node, ()), key=lambda e: (e[2], e[0], e[1]))[:4]
+        out = self.g.out.get(node, ())
         if not out:
             return DEAD_END
-        ways = [w + self.look(v, target, depth - 1, seen | {v}) for v, _, w in out if v not in seen]
-        return min(ways, default=NO_WAY_ON)
+        onward = sorted((e for e in out if e[0] not in seen), key=lambda e: (e[2], e[0], e[1]))[:4]
+        return min((w + self.look(v, target, depth - 1, seen | {v}) for v, _, w in onward), default=NO_WAY_ON)
 
     def score(self, how: str, at: str, edge: tuple, target: str, visits: dict) -> float:
         v, _, w = edge

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import kinematics as K
@@ -15,6 +13,7 @@ from ..operators import forecast as L
 from ..operators import matching as M
 from ..operators import statistics as T
 from ..streaming import hourly as S
+from ..scratch import folder
 from . import road_queries as Q
 from .audit_queries import H, sensor
 from .registry import query, rnd, rounded, table
@@ -164,14 +163,14 @@ def near_point_pairs(spark, sf_dir):
 LEG = "greatest(0, least(1, coalesce(((p.x - l.ax) * (l.bx - l.ax) + (p.y - l.ay) * (l.by_ - l.ay)) / nullif((l.bx - l.ax) ** 2 + (l.by_ - l.ay) ** 2, 0), 0)))"
 
 
-@query(POINTS + f", l AS (SELECT vec_id AS line, CAST(embedding[3] AS DOUBLE) AS ax, CAST(embedding[4] AS DOUBLE) AS ay, CAST(embedding[5] AS DOUBLE) AS bx, CAST(embedding[6] AS DOUBLE) AS by_ FROM embeddings WHERE vec_id < 40), d AS (SELECT p.vec_id AS id, l.line, sqrt((p.x - l.ax - {LEG} * (l.bx - l.ax)) ** 2 + (p.y - l.ay - {LEG} * (l.by_ - l.ay)) ** 2) AS distance FROM p, l) SELECT id, line, round(distance, 6) AS distance FROM d WHERE distance <= 0.03")
+@query(POINTS + f", l AS (SELECT vec_id AS line, CAST(embedding[3] AS DOUBLE) AS ax, CAST(embedding[4] AS DOUBLE) AS ay, CAST(embedding[5] AS DOUBLE) AS bx, CAST(embedding[6] AS DOUBLE) AS by_ FROM embeddings), d AS (SELECT p.vec_id AS id, l.line, sqrt((p.x - l.ax - {LEG} * (l.bx - l.ax)) ** 2 + (p.y - l.ay - {LEG} * (l.by_ - l.ay)) ** 2) AS distance FROM p, l) SELECT id, line, round(distance, 6) AS distance FROM d WHERE distance <= 0.03")
 def near_lines(spark, sf_dir):
     e, at = table(spark, sf_dir, "embeddings"), lambda i: F.col("embedding")[i].cast("double")
-    lines = e.where("vec_id < 40").select(F.col("vec_id").alias("line"), F.array(F.struct(at(2).alias("x"), at(3).alias("y")), F.struct(at(4).alias("x"), at(5).alias("y"))).alias("pts"))
+    lines = e.select(F.col("vec_id").alias("line"), F.array(F.struct(at(2).alias("x"), at(3).alias("y")), F.struct(at(4).alias("x"), at(5).alias("y"))).alias("pts"))
     return rounded(M.near_lines(e.select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y")), lines, 0.03), "distance", places=6)
 
 
-@query("SELECT a.n_nationkey * 100 + b.n_nationkey AS od, round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(0.01 * (b.n_nationkey - a.n_nationkey)) / 2), 2) + cos(radians(20 + 0.01 * a.n_nationkey)) * cos(radians(20 + 0.01 * b.n_nationkey)) * pow(sin(radians(0.01 * (7 * b.n_nationkey % 25 - 7 * a.n_nationkey % 25)) / 2), 2))), 3) AS metres FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND (7 * a.n_nationkey + b.n_nationkey) % 5 = 0")
+@query("SELECT a.n_nationkey * 100 + b.n_nationkey AS od, round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(0.01 * (b.n_nationkey - a.n_nationkey)) / 2), 2) + cos(radians(20 + 0.01 * a.n_nationkey)) * cos(radians(20 + 0.01 * b.n_nationkey)) * pow(sin(radians(0.01 * (7 * b.n_nationkey % 25 - 7 * a.n_nationkey % 25)) / 2), 2))), 3) AS metres FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
 def od_distances(spark, sf_dir):
     n = Q.nodes(spark, sf_dir)
     a, b = n.select(F.col("node").alias("source"), F.col("lat").alias("y1"), F.col("lon").alias("x1")), n.select(F.col("node").alias("target"), F.col("lat").alias("y2"), F.col("lon").alias("x2"))
@@ -208,16 +207,15 @@ def leakage_audit(spark, sf_dir):
     return L.leakage(d.where("split = 'test'"), "target", "speed", L.FEATURES)
 
 
-@query()
+@query(H + " SELECT seg, hr, round(speed, 4) AS speed, n FROM h")
 def stream_hourly_means(spark, sf_dir):
-    """The stream run to its end over the events file; hours behind the watermark are out."""
-    folder = tempfile.mkdtemp(prefix="sparkway-stream-")
-    source = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    source.coalesce(1).write.mode("overwrite").parquet(f"file://{folder}/in")
-    stream = spark.readStream.schema(S.SCHEMA).parquet(f"file://{folder}/in")
-    q = S.hourly_means(stream).writeStream.format("parquet").option("path", f"file://{folder}/out").option("checkpointLocation", f"file://{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rounded(spark.read.schema("seg long, hr timestamp, speed double, n long").parquet(f"file://{folder}/out"), "speed")
+    """The stream run to its end over the events table; the last complete result."""
+    source, out = folder(spark), folder(spark)
+    table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(3, "ts").write.parquet(source)
+    stream = spark.readStream.schema(S.SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    whole = S.hourly_means(stream).writeStream.outputMode("complete").foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(out))
+    whole.option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema("seg long, hr timestamp, speed double, n long").parquet(out).withColumn("hr", F.col("hr").cast("timestamp_ntz")), "speed")
 
 
 @query(H + " SELECT seg, hr, round(speed, 4) AS speed, n FROM h")

@@ -76,7 +76,8 @@ QUALITY = "SELECT seg, avg(speed) AS mean_speed, stddev_samp(speed) AS std_speed
 
 @query(RATED + f" SELECT seg, n, round(mean_speed, 4) AS mean_speed, round(std_speed, 4) AS std_speed, round(min_speed, 4) AS min_speed, round(max_speed, 4) AS max_speed, round(mean_ratio, 4) AS mean_ratio, round(congested_pct, 4) AS congested_pct FROM ({QUALITY})")
 def segment_quality(spark, sf_dir):
-    return rounded(A.segment_quality(A.ratios(sensor(spark, sf_dir))), "mean_speed", "std_speed", "min_speed", "max_speed", "mean_ratio", "congested_pct")
+    q = rounded(A.segment_quality(A.ratios(sensor(spark, sf_dir))), "mean_speed", "std_speed", "min_speed", "max_speed", "mean_ratio", "congested_pct")
+    return q.select("seg", "n", "mean_speed", "std_speed", "min_speed", "max_speed", "mean_ratio", "congested_pct")
 
 
 @query(RATED + f", q AS ({QUALITY}) SELECT count(*) AS segments, count(*) FILTER (coalesce(std_speed, 0) <= 0.1) AS near_constant, count(*) FILTER (congested_pct = 0) AS never_congested, count(*) FILTER (congested_pct > 50) AS mostly_congested FROM q")

@@ -33,7 +33,8 @@ def _roll(k: int) -> str:
 
 @query(BY_TYPE + " SELECT seg, hr, " + ", ".join(f"round(CASE WHEN count(speed) {_roll(k)} >= {k} THEN avg(speed) {_roll(k)} END, 4) AS mean_{k}" for k in (3, 6, 24)) + ", " + ", ".join(f"round(coalesce(CASE WHEN count(speed) {_roll(k)} >= {k} THEN stddev_samp(speed) {_roll(k)} END, 0), 4) AS std_{k}" for k in (6, 24)) + " FROM h")
 def rolling_features(spark, sf_dir):
-    return rounded(X.rolling(typed(spark, sf_dir)).drop("speed", "n"), "mean_3", "mean_6", "mean_24", "std_6", "std_24")
+    r = rounded(X.rolling(typed(spark, sf_dir)), "mean_3", "mean_6", "mean_24", "std_6", "std_24")
+    return r.select("seg", "hr", "mean_3", "mean_6", "mean_24", "std_6", "std_24")
 
 
 CAL = "CAST(hour(hr) AS INTEGER) AS hour, CAST(isodow(hr) - 1 AS INTEGER) AS day_of_week, isodow(hr) >= 6 AS is_weekend, (hour(hr) BETWEEN 9 AND 11 OR hour(hr) BETWEEN 17 AND 19) AS is_peak"
@@ -114,10 +115,10 @@ def unpivot_means(spark, sf_dir):
     return rounded(long.groupBy("measure", "l_returnflag").agg(F.avg("v").alias("mean_value")), "mean_value")
 
 
-@query("WITH t AS (SELECT DISTINCT o_orderdate AS t FROM orders WHERE o_orderkey % 7 = 0), q AS (SELECT DISTINCT l_shipdate AS q FROM lineitem), d AS (SELECT q, t, row_number() OVER (PARTITION BY q ORDER BY abs(epoch(t) - epoch(q)), t) AS r FROM q, t) SELECT q AS l_shipdate, t AS nearest FROM d WHERE r = 1")
+@query("WITH t AS (SELECT DISTINCT o_orderdate AS t FROM orders), q AS (SELECT DISTINCT l_shipdate AS q FROM lineitem), d AS (SELECT q, t, row_number() OVER (PARTITION BY q ORDER BY abs(epoch(t) - epoch(q)), t) AS r FROM q, t) SELECT q AS l_shipdate, t AS nearest FROM d WHERE r = 1")
 def nearest_timestamp(spark, sf_dir):
     q = table(spark, sf_dir, "lineitem").select("l_shipdate").distinct()
-    return X.nearest_in_time(q, table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"), "l_shipdate", "o_orderdate").select("l_shipdate", "nearest")
+    return X.nearest_in_time(q, table(spark, sf_dir, "orders"), "l_shipdate", "o_orderdate").select("l_shipdate", "nearest")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1")

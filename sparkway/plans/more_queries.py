@@ -67,13 +67,15 @@ def lookahead_depths(spark, sf_dir):
     return rounded(out.join(best, "od").groupBy("depth").agg(F.count("*").alias("n"), F.count_if("arrived").alias("arrived"), F.avg(F.when(F.col("arrived"), gap)).alias("mean_gap_s")), "mean_gap_s")
 
 
-@query(Q.E + Q.OD + Q.WALK + ", l AS (SELECT od.od, unnest(b.path) AS leg FROM od JOIN best b ON b.scenario = 'predicted' AND b.src = od.source AND b.node = od.target) SELECT od, round(avg(p.speed), 4) AS predicted_kmh, round(avg(o.speed), 4) AS observed_kmh, round(100 * (avg(p.speed) - avg(o.speed)) / avg(o.speed), 4) AS error_pct FROM l JOIN w p ON p.scenario = 'predicted' AND p.u || '-' || p.v || '#' || p.key = leg JOIN w o ON o.scenario = 'observed' AND o.u = p.u AND o.v = p.v AND o.key = p.key GROUP BY 1")
+@query(Q.E + Q.OD + Q.WALK + ", l AS (SELECT od.od, unnest(b.path) AS leg FROM od JOIN best b ON b.scenario = 'predicted' AND b.src = od.source AND b.node = od.target) SELECT od, round(avg(p.speed), 4) AS predicted_kmh, round(avg(o.speed), 4) AS observed_kmh, round(100 * (avg(p.speed) - avg(o.speed)) / avg(o.speed), 4) AS error_pct, round(100 * (avg(p.speed) - avg(o.speed)) / avg(p.speed), 4) AS drop_pct FROM l JOIN w p ON p.scenario = 'predicted' AND p.u || '-' || p.v || '#' || p.key = leg JOIN w o ON o.scenario = 'observed' AND o.u = p.u AND o.v = p.v AND o.key = p.key GROUP BY 1")
 def corridor_speeds(spark, sf_dir):
     w = Q.all_weights(spark, sf_dir)
     legs = Q.planned(spark, sf_dir, w, ("predicted",)).where("is_reached").select("od", F.explode("edge_path").alias("e")).select("od", "e.*")
     p, o = (w.where(f"scenario = '{s}'").select("u", "v", "key", F.col("speed").alias(s)) for s in ("predicted", "observed"))
     c = legs.join(p, ["u", "v", "key"]).join(o, ["u", "v", "key"]).groupBy("od").agg(F.avg("predicted").alias("predicted_kmh"), F.avg("observed").alias("observed_kmh"))
-    return rounded(c.withColumn("error_pct", 100 * F.try_divide(F.col("predicted_kmh") - F.col("observed_kmh"), "observed_kmh")), "predicted_kmh", "observed_kmh", "error_pct")
+    gap = F.col("predicted_kmh") - F.col("observed_kmh")
+    c = c.withColumn("error_pct", 100 * F.try_divide(gap, "observed_kmh")).withColumn("drop_pct", 100 * F.try_divide(gap, "predicted_kmh"))
+    return rounded(c, "predicted_kmh", "observed_kmh", "error_pct", "drop_pct")
 
 
 @query(Q.E + Q.OD + Q.WALK + Q.REPLAY + ", g AS (SELECT *, saving_s >= 10 AND saving_pct >= 3 AS hit FROM jr) SELECT count(*) AS n, count(*) FILTER (hit) AS rerouted, count(*) FILTER (hit AND saving_s > 0) AS beneficial, round(avg(CASE WHEN hit THEN saving_s ELSE 0 END), 4) AS mean_saving, round(avg(saving_s) FILTER (hit), 4) AS mean_saving_hit, round(avg(no_reroute_s), 4) AS mean_no_reroute, round(avg(no_reroute_s - CASE WHEN hit THEN saving_s ELSE 0 END), 4) AS mean_dynamic FROM g")

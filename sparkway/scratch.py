@@ -11,7 +11,11 @@ _written: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/sparkway-scratch").rstrip("/")
+    """The folder of spark.checkpoint.dir; a folder of this machine only where that is unset and Spark runs on this machine alone."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/sparkway-scratch").rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -19,9 +23,23 @@ def materialize(df: DataFrame) -> DataFrame:
     path, schema = f"{root(df.sparkSession)}/sparkway-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     _written.append(path)
+    # The driver deletes it when it ends, if nothing did before.
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder among the scratch tables, deleted when the driver ends."""
+    path = f"{root(spark)}/sparkway-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
+    return path
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete the tables written so far; only when nothing reads them any more."""
     fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()

@@ -158,3 +158,27 @@ def write_json_summary(df: DataFrame, path: str) -> None:
 def export_run(df: DataFrame, path: str, run_id: str) -> None:
     """Appends a run's rows as a partition."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, in any store that Spark reaches."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_graphml(edges: DataFrame, path: str) -> None:
+    """Edges (u, v, key, attributes) as one GraphML file, for networks of a size that one file suits."""
+    attributes = [c for c in edges.columns if c not in ("u", "v", "key")]
+    text = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    data = [F.concat(F.lit(f'<data key="d{i}">'), text(c), F.lit("</data>")) for i, c in enumerate(attributes)]
+    edge = F.concat(F.lit('<edge source="'), text("u"), F.lit('" target="'), text("v"), F.lit('" id="'), text("key"), F.lit('">'), *data, F.lit("</edge>"))
+    node = F.concat(F.lit('<node id="'), text("id"), F.lit('"/>'))
+    nodes = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
+    head = "".join(f'<key id="d{i}" for="edge" attr.name="{c}" attr.type="string"/>' for i, c in enumerate(attributes))
+    lines = nodes.select(F.lit(1).alias("o"), node.alias("value")).union(edges.select(F.lit(2), edge))
+    ends = edges.sparkSession.createDataFrame([(0, f'<graphml>{head}<graph edgedefault="directed">'), (3, "</graph></graphml>")], "o int, value string")
+    lines.union(ends).coalesce(1).sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -46,15 +46,51 @@ def vehicles(messages: DataFrame) -> DataFrame:
 
 
 def latest_table(stream: DataFrame, path: str, checkpoint: str):
-    """Last value per segment: each micro-batch is reduced and replaces the batch table it is newer than."""
+    """Last value per segment: each micro-batch is reduced and merged by key with the table so far, as the next version of it.
+
+    A version is written whole under its epoch, so a repeated epoch gives the same table.
+    """
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        newest = batch.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("speed"), F.max("ts").alias("ts"))
-        newest.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark = batch.sparkSession
+        rows = batch.select("user_id", "ts", "event_id", F.col("value").alias("speed"))
+        before = _versions(spark, path, epoch)
+        if before:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/v{before[-1]}"))
+        newest = rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "speed")).alias("_m")).select("user_id", "_m.*")
+        newest.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        for old in before[:-1]:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> list[int]:
+    """Complete versions of the table, oldest first."""
+    fs_ = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = fs_.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_.Path(path)):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(fs_.Path(path))]
+    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(fs_.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(n for n in done if below is None or n < below)
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version: user_id, ts, event_id, speed."""
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+
+
+def last_states(states: DataFrame, path: str, checkpoint: str):
+    """Updated states of each micro-batch, under its epoch."""
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+
+    return states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
 def event_log(stream: DataFrame, path: str, checkpoint: str):
     """Append-only log of events, exactly once."""
     return stream.select("event_id", "ts", F.col("user_id").alias("source"), F.col("event_type").alias("type"), "props").writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sparkway.plans import analysis_queries, audit_queries, feature_queries, more_queries, registry, road_queries  # noqa: F401
+from sparkway.plans import analysis_queries, audit_queries, feature_queries, inventory_queries, more_queries, registry, road_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,10 +25,10 @@ def cells(rows, columns, names):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
-    columns = sorted(df.columns)
+    columns = df.columns
     got = duck.execute(registry.ORACLES[name])
     names = [d[0] for d in got.description]
-    assert sorted(names) == columns
+    assert names == columns
     want = cells(got.fetchall(), columns, names)
     assert cells([tuple(r) for r in df.collect()], columns, df.columns) == want
 
