@@ -11,8 +11,10 @@ from sparkway.operators import walk as W
 from sparkway.operators import weights as G
 from sparkway.operators.routing import Graph
 
-DIAMOND = [("A", "B", 0, 5.0), ("A", "C", 0, 2.0), ("C", "D", 0, 2.0), ("B", "D", 0, 5.0)]
-THREE = [("A", "B", 0, 5.0), ("A", "C", 0, 2.0), ("A", "X", 0, 10.0), ("B", "D", 0, 5.0), ("C", "D", 0, 2.0), ("X", "D", 0, 10.0)]
+# From p to t: by q and r 1 + 2.5 + 3 = 6.5, by q alone 1 + 7 = 8, by r alone 4 + 3 = 7; nothing leaves t.
+LADDER = [("p", "q", 0, 1.0), ("p", "r", 0, 4.0), ("q", "r", 0, 2.5), ("q", "t", 0, 7.0), ("r", "t", 0, 3.0)]
+# Four ways on from k, the cheapest over m: 1.5 + 6 to z; over n it is 2 + 1.
+FAN = [("k", "m", 0, 1.5), ("k", "n", 0, 2.0), ("k", "o", 0, 8.0), ("k", "o", 1, 9.0), ("m", "z", 0, 6.0), ("n", "z", 0, 1.0), ("o", "z", 0, 0.5)]
 BYPASS = [("A", "B"), ("B", "C"), ("C", "D"), ("B", "E"), ("E", "D")]
 
 
@@ -24,9 +26,9 @@ def route(rows, a, b, **kw):
     return Graph(rows).route(a, b, **kw)
 
 
-def test_diamond():
-    r = route(DIAMOND, "A", "D")
-    assert r["node_path"] == ["A", "C", "D"] and r["cost"] == 4.0 and r["is_reached"]
+def test_ladder():
+    r = route(LADDER, "p", "t")
+    assert r["node_path"] == ["p", "q", "r", "t"] and r["cost"] == 6.5 and r["is_reached"]
 
 
 def test_same_node_and_unreachable():
@@ -47,10 +49,10 @@ def test_kinematics(spark):
 
 
 def test_relaxation_and_search_agree(spark):
-    w = weights(spark, DIAMOND)
+    w = weights(spark, LADDER)
     best = {(r.source, r.node): r.cost for r in R.relax(w, w.select("scenario", F.col("u").alias("source")).distinct()).collect()}
-    assert best["A", "D"] == 4.0 and best["A", "A"] == 0.0 and ("D", "A") not in best
-    ask = spark.createDataFrame([("s", "A", "D"), ("s", "D", "A"), ("s", "A", "A")], "scenario string, source string, target string")
+    assert best["p", "t"] == 6.5 and best["p", "r"] == 3.5 and best["p", "p"] == 0.0 and ("t", "p") not in best
+    ask = spark.createDataFrame([("s", "p", "t"), ("s", "t", "p"), ("s", "p", "p")], "scenario string, source string, target string")
     a = sorted((r.source, r.target, r.cost, r.node_path) for r in R.routes(ask, w).collect() if r.is_reached)
     b = sorted((r.source, r.target, r.cost, r.node_path) for r in R.by_relaxation(ask, w).collect() if r.is_reached)
     assert a == b and len(a) == 2
@@ -97,11 +99,11 @@ def states(spark, at, prev=None):
 
 
 def test_candidates(spark):
-    w = weights(spark, THREE).withColumn("speed", F.lit(36.0))
-    r = W.candidates(states(spark, "A"), w).collect()
-    assert {x.v for x in r} == {"B", "C"} and r[0].n_out == 3 and r[0].n_eligible == 3
-    assert [(x.v, x.kind) for x in W.candidates(states(spark, "B"), w).collect()] == [("D", "forced")]
-    assert [x.kind for x in W.candidates(states(spark, "D"), w).collect()] == ["dead_end"]
+    w = weights(spark, FAN).withColumn("speed", F.lit(36.0))
+    r = W.candidates(states(spark, "k"), w).collect()
+    assert {x.v for x in r} == {"m", "n"} and r[0].n_out == 4 and r[0].n_eligible == 4
+    assert [(x.v, x.kind) for x in W.candidates(states(spark, "o"), w).collect()] == [("z", "forced")]
+    assert [x.kind for x in W.candidates(states(spark, "z"), w).collect()] == ["dead_end"]
 
 
 def test_no_turning_back(spark):
@@ -110,7 +112,8 @@ def test_no_turning_back(spark):
 
 
 def test_greedy_and_lookahead():
-    assert W.Walker(Graph(THREE), "greedy").decide("A", None, "D", {})[0] == ("C", 0, 2.0)
+    assert W.Walker(Graph(FAN), "greedy").decide("k", None, "z", {})[0] == ("m", 0, 1.5)
+    assert W.Walker(Graph(FAN), "lookahead").decide("k", None, "z", {})[0] == ("n", 0, 2.0)
     g = Graph([("A", "B", 0, 1.0), ("B", "D", 0, 50.0), ("A", "C", 0, 3.0), ("C", "D", 0, 3.0)])
     assert W.Walker(g, "lookahead").decide("A", None, "D", {})[0][0] == "C"
     assert W.Walker(g, "greedy").decide("A", None, "D", {})[0][0] == "B"
@@ -118,6 +121,43 @@ def test_greedy_and_lookahead():
     assert slow.decide("A", None, "D", {})[0][0] == "C"
 
 
+def test_looking_past_seen_nodes():
+    """Nodes seen are left out before the cheapest four are taken; the leaf counts the rest of the way; dead ends cost most."""
+    back = [("b", "a", k, 0.1 * (k + 1)) for k in range(4)]
+    g = Graph([("a", "b", 0, 1.0), *back, ("b", "c", 0, 5.0)], {"b": (20.0, 85.0), "c": (20.0, 85.0), "e": (20.001, 85.0)})
+    w = W.Walker(g, "lookahead", free_kmh=36.0)
+    assert w.look("b", "e", 1, frozenset("ab")) == pytest.approx(5.0 + w.ahead("c", "e")) and w.ahead("c", "e") == pytest.approx(11.12, abs=0.01)
+    assert w.look("c", "e", 1, frozenset("abc")) == W.DEAD_END
+    assert w.look("b", "e", 1, frozenset("abc")) == W.NO_WAY_ON
+
+
+def test_lookahead_as_joins(spark):
+    w = weights(spark, FAN).drop("scenario")
+    nodes = spark.createDataFrame([(n, 20.0, 85.0) for n in "kmnoz"], "node string, lat double, lon double")
+    e = w.where("u = 'k'").select(F.lit(1).alias("id"), F.col("u").alias("at"), F.lit("z").alias("target"), "v", "key", "weight")
+    got = {(r.v, r.key): r.look_s for r in W.lookahead_two(e, w, nodes).collect()}
+    walker = W.Walker(Graph(FAN), "lookahead")
+    assert got == {(v, k): walker.score("lookahead", "k", (v, k, c), "z", {}) for u, v, k, c in FAN if u == "k"}
+    assert got == {("m", 0): 7.5, ("n", 0): 3.0, ("o", 0): 8.5, ("o", 1): 9.5}
+
+
+def test_greedy_walks_to_their_bound(spark):
+    w = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", 0, 1.0) for i in range(30)] + [("x", "y", 0, 1.0), ("y", "x", 0, 1.0)], "u string, v string, key int, weight double")
+    ask = spark.createDataFrame([(1, "n00", "n30", 50), (2, "n00", "n30", 7), (3, "x", "n30", 9), (4, "n30", "n00", 50), (5, "x", "x", 50)], "id int, source string, target string, max_hops int")
+    got = {r.id: (r.hops, r.arrived, r.cost) for r in W.greedy_walk(ask, w).collect()}
+    assert got == {1: (30, True, 30.0), 2: (7, False, 7.0), 3: (9, False, 9.0), 4: (0, False, 0.0), 5: (0, True, 0.0)}
+
+
+def test_guide_speed_keeps_costs_least(spark):
+    at = {"a": (20.0, 85.0), "b": (20.01, 85.0), "c": (20.02, 85.0), "d": (20.0, 85.02)}
+    edges = [("a", "b", 0, 100.0), ("b", "c", 0, 100.0), ("a", "d", 0, 150.0), ("d", "c", 0, 10.0)]
+    speed = R.guide_speed(spark.createDataFrame(edges, "u string, v string, key int, weight double"), spark.createDataFrame([(n, *p) for n, p in at.items()], "node string, lat double, lon double"))
+    g = Graph(edges, at)
+    assert g.route("a", "c", speed)["cost"] == g.route("a", "c")["cost"] == 160.0
+    line = Graph([(f"{i}", f"{i + 1}", 0, 10.0) for i in range(9)] + [(f"{i + 1}", f"{i}", 0, 10.0) for i in range(9)], {f"{i}": (20.0 + 0.001 * i, 85.0) for i in range(10)})
+    assert line.route("4", "9", 3.6 * line.guess("0", "1", 1.0) / 10.0 * (1 + 1e-9))["visited"] < line.route("4", "9")["visited"]
+
+
 def test_destination_aware():
     g = Graph([("A", "B", 0, 2.0), ("A", "C", 0, 4.0), ("C", "D", 0, 1.0)], {"A": (20.0, 85.0), "B": (20.5, 85.0), "C": (20.001, 85.001), "D": (20.001, 85.002)})
     assert W.Walker(g, "destination_aware").decide("A", None, "D", {})[0][0] == "C"
@@ -126,8 +166,8 @@ def test_destination_aware():
 def test_journeys():
     j = W.Walker(Graph([("A", "B", 0, 1.0), ("B", "A", 0, 1.0), ("A", "C", 0, 10.0), ("C", "D", 0, 1.0)]), "greedy", max_visits=1).journey("A", "D")
     assert j["arrived"]
-    j = W.Walker(Graph(THREE), "destination_aware").journey("A", "D")
-    assert (j["path"], j["travel_s"], j["recoveries"], j["arrived"]) == (["A", "C", "D"], 4.0, 0, True)
+    j = W.Walker(Graph(FAN), "lookahead").journey("k", "z")
+    assert (j["path"], j["travel_s"], j["recoveries"], j["arrived"]) == (["k", "n", "z"], 3.0, 0, True)
     assert not W.Walker(Graph([("A", "E", 0, 1.0), ("A", "B", 0, 2.0), ("B", "D", 0, 2.0)]), "greedy").journey("A", "D")["arrived"]
 
 
