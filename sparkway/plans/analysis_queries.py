@@ -13,7 +13,7 @@ from ..operators import forecast as L
 from ..operators import matching as M
 from ..operators import statistics as T
 from ..streaming import hourly as S
-from ..scratch import folder
+from ..scratch import folder, materialize
 from . import road_queries as Q
 from .audit_queries import H, sensor
 from .registry import query, rnd, rounded, table
@@ -64,6 +64,25 @@ def paired_test_statistics(spark, sf_dir):
     return rounded(rounded(rounded(p, "cohens_d", "skewness", "kurtosis", places=5), "t"), "w_plus", "w_minus", places=1)
 
 
+#: Comparison -> the orders it is made over.
+COMPARISONS = {"all": "true", "finished": "o_orderstatus = 'F'", **{f"class_{k}": f"o_orderpriority LIKE '{k}%'" for k in range(1, 6)}}
+
+
+def _compared(name: str, where: str) -> str:
+    of = PAIRED.replace("SELECT o_orderkey, o_orderdate", "SELECT o_orderstatus, o_orderkey, o_orderdate").replace("AS d FROM o)", f"AS d FROM o WHERE {where})")
+    return f"SELECT * FROM ({of} SELECT '{name}' AS comparison, n, round(mean, 3) AS mean, round(median, 3) AS median, round(std, 3) AS std, round(mean / std, 5) AS cohens_d, round(mean / (std / sqrt(n)), 4) AS t, n_moved, round(w_plus, 1) AS w_plus, round(w_minus, 1) AS w_minus FROM m, s)"
+
+
+@query(" UNION ALL ".join(_compared(*c) for c in COMPARISONS.items()))
+def paired_comparisons(spark, sf_dir):
+    """Seven comparisons of the same kind, each over its own part of the orders."""
+    d, out = materialize(prices(spark, sf_dir).select("o_orderstatus", "o_orderpriority", "baseline_s", "travel_s")), None
+    for name, where in COMPARISONS.items():
+        one = T.paired(d.where(where), "baseline_s", "travel_s").select(F.lit(name).alias("comparison"), "n", "mean", "median", "std", "cohens_d", "t", "n_moved", "w_plus", "w_minus")
+        out = one if out is None else out.unionByName(one)
+    return rounded(rounded(rounded(rounded(out, "mean", "median", "std", places=3), "cohens_d", places=5), "t"), "w_plus", "w_minus", places=1)
+
+
 @query()
 def paired_test_verdicts(spark, sf_dir):
     """p-values come from one row of statistics."""

@@ -48,10 +48,18 @@ def speeds(spark, sf_dir):
     return ev.groupBy(F.when(F.hour("ts") % 2 == 1, "observed").otherwise("predicted").alias("scenario"), F.col("user_id").alias("seg")).agg(F.avg("value").alias("speed"))
 
 
-def all_weights(spark, sf_dir):
-    """static, predicted and observed."""
+def more_speeds(spark, sf_dir):
+    """The last reading of a segment, and its mean over all hours."""
+    ev = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("seg"))
+    last = ev.agg(F.max_by("value", F.struct("ts", "event_id")).alias("speed")).withColumn("scenario", F.lit("persistence"))
+    return last.unionByName(ev.agg(F.avg("value").alias("speed")).withColumn("scenario", F.lit("historical")))
+
+
+def all_weights(spark, sf_dir, more: bool = False):
+    """static, predicted and observed; with `more` persistence and historical as well."""
     e = edges(spark, sf_dir)
-    w = G.scenario_weights(speeds(spark, sf_dir), mapping(spark, sf_dir, e), e)
+    v = speeds(spark, sf_dir)
+    w = G.scenario_weights(v.unionByName(more_speeds(spark, sf_dir)) if more else v, mapping(spark, sf_dir, e), e)
     s = G.static_weights(e).select(F.lit("static").alias("scenario"), "u", "v", "key", "length_m", F.col("static_speed").alias("speed"), F.col("static_weight").alias("weight"), F.lit(False).alias("is_dynamic"))
     return materialize(w.unionByName(s))
 
@@ -180,6 +188,21 @@ def strategy_summary(spark, sf_dir):
     return rounded(s, *(c for c in s.columns if c not in ("strategy", "n")))
 
 
+STRATEGIES = ["static", "persistence", "historical", "predicted", "observed"]
+E5 = E.replace("FROM events GROUP BY 1, 2),\nds AS", "FROM events GROUP BY 1, 2 UNION ALL SELECT 'persistence', user_id, arg_max(value, (ts, event_id)) FROM events GROUP BY 2 UNION ALL SELECT 'historical', user_id, avg(value) FROM events GROUP BY 2),\nds AS").replace("unnest(['static', 'predicted', 'observed'])", f"unnest({STRATEGIES})")
+
+
+@query(E5 + OD + WALK + ", x AS (SELECT od.od, r.scenario AS strategy, r.obs AS t, s.obs AS b, o.obs AS o FROM od JOIN best r ON r.src = od.source AND r.node = od.target JOIN best s ON s.scenario = 'static' AND s.src = od.source AND s.node = od.target JOIN best o ON o.scenario = 'observed' AND o.src = od.source AND o.node = od.target) SELECT strategy, count(*) AS n, round(avg(t), 4) AS mean_s, round(quantile_cont(t, 0.5), 4) AS median_s, round(avg(b - t), 4) AS mean_saving, round(100.0 * count(*) FILTER (b - t > 1e-6) / count(*), 4) AS win_pct, round(100.0 * count(*) FILTER (b - t < -1e-6) / count(*), 4) AS loss_pct, round(avg(greatest(t - o, 0)), 4) AS mean_regret, round(100 * avg((t - o) / o), 4) AS gap_pct FROM x GROUP BY 1")
+def five_strategies(spark, sf_dir):
+    """Routes planned on five kinds of weights, each costed on what was observed."""
+    w = all_weights(spark, sf_dir, more=True)
+    r = R.path_cost(planned(spark, sf_dir, w, STRATEGIES).where("is_reached"), w.where("scenario = 'observed'"), ["od", "scenario"], "travel_s")
+    side = lambda name, c: r.where(F.col("scenario") == name).select("od", F.col("travel_s").alias(c))
+    long = r.select("od", F.col("scenario").alias("strategy"), "travel_s").join(side("static", "baseline_s"), "od").join(side("observed", "oracle_s"), "od")
+    s = V.strategy_summary(long).select("strategy", "n", "mean_s", "median_s", "mean_saving", "win_pct", "loss_pct", "mean_regret", "gap_pct")
+    return rounded(s, *(c for c in s.columns if c not in ("strategy", "n")))
+
+
 SPEED = " SELECT od.od, round(3.6 * sum(w.length_m) / sum(w.weight), 4) AS static_kmh, round(3.6 * sum(w.length_m) / sum(o.weight), 4) AS observed_kmh, CAST(count(*) AS BIGINT) AS n_edges FROM od JOIN best b ON b.scenario = 'static' AND b.src = od.source AND b.node = od.target, unnest(b.path) AS p(leg) JOIN w ON w.scenario = 'static' AND w.u || '-' || w.v || '#' || w.key = leg JOIN w o ON o.scenario = 'observed' AND o.u = w.u AND o.v = w.v AND o.key = w.key GROUP BY 1"
 
 
