@@ -6,8 +6,10 @@ The lexicon is a short seed list joined by what a bounded labelled sample shows
 to be used in toxic texts; it, the trees and the calibration are fitted on
 different folds of that sample. Scoring needs no shuffle.
 
-Null and empty texts have zero features and get the score of those. Repeated
-rows get equal scores. Without labels of both classes every score is the share
+Null and empty texts have zero features and get the score of those. Very long
+texts are read whole, in a run of their own. Repeated rows get equal scores. An
+empty table gives no rows. Columns other than doc_id and text are not read, whatever
+their names. Without labels of both classes every score is the share
 of label 1 seen, or 0 if none was.
 """
 
@@ -187,16 +189,35 @@ class Forest:
         return out
 
 
-def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of the non-decreasing fit, each block at its mean input; ties in `raw` are one block."""
-    order = np.argsort(raw, kind="stable")
-    blocks: list[list[float]] = []
-    for v, t in zip(raw[order], y[order], strict=True):
-        blocks.append([t, 1, v]) if not blocks or blocks[-1][2] / blocks[-1][1] != v else blocks.__setitem__(-1, [blocks[-1][0] + t, blocks[-1][1] + 1, blocks[-1][2] + v])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-            a = blocks.pop()
-            blocks[-1] = [p + q for p, q in zip(blocks[-1], a, strict=True)]
-    return np.array([b[2] / b[1] for b in blocks]), np.array([(b[0] + 0.02) / (b[1] + 0.2) if b[1] < 20 else b[0] / b[1] for b in blocks])
+def isotonic(raw: np.ndarray, y: np.ndarray, prior: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots of a non-decreasing fit, each block at its mean input; ties in `raw` are one block.
+
+    Shares are drawn a little towards the overall one, as by `prior` rows more in each
+    block; blocks that this puts out of order are pooled as well.
+    """
+    values, back = np.unique(raw, return_inverse=True)
+    sums, counts = np.bincount(back, y), np.bincount(back).astype(float)
+    mean = float(y.mean())
+
+    def pooled(level) -> None:
+        """Merges the last blocks while they are out of order by `level`."""
+        while len(blocks) > 1 and level(blocks[-2]) >= level(blocks[-1]):
+            last = blocks.pop()
+            blocks[-1] = blocks[-1] + last
+
+    blocks: list[np.ndarray] = []
+    for v, s, n in zip(values, sums, counts, strict=True):
+        blocks.append(np.array([s, n, v * n]))
+        pooled(lambda x: x[0] / x[1])
+    plain, blocks = blocks, []
+
+    def drawn(x: np.ndarray) -> float:
+        return (x[0] + prior * mean) / (x[1] + prior)
+
+    for x in plain:
+        blocks.append(x)
+        pooled(drawn)
+    return np.array([x[2] / x[1] for x in blocks]), np.array([drawn(x) for x in blocks])
 
 
 class Model:
@@ -210,7 +231,11 @@ class Model:
         return features(column, self.seeds, self.you, self.lexicon)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.full(len(x), self.constant) if self.constant is not None else np.clip(np.interp(self.forest.raw(x), self.at, self.to), 0, 1)
+        """Calibrated; a hundredth comes of the raw score, so that it still orders what calibration makes equal."""
+        if self.constant is not None:
+            return np.full(len(x), self.constant)
+        raw = self.forest.raw(x)
+        return np.clip(0.99 * np.interp(raw, self.at, self.to) + 0.01 / (1 + np.exp(-raw)), 0, 1)
 
 
 def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lookup:
