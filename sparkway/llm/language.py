@@ -5,8 +5,9 @@ n-grams predicts each bit. Decoding weighs every bit's logistic loss by the
 bit's accuracy in training and takes the nearest codeword; a small lead over
 the second is flagged. Fitted on a bounded sample, scored without a shuffle.
 
-Null texts and texts without letters are `und` with score 0. Repeated rows get
-equal answers. If no language can be learned, every answer is `und`.
+Null texts and texts without letters are `und` with score 0. Very long texts are
+counted whole. Repeated rows get equal answers. Columns other than doc_id, text and,
+for training, lang are not read. An empty table gives no rows. If no language can be learned, every answer is `und`.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .common import crc_mod
 from .textvec import byte_class, chunks
 
 SLOTS = 1 << 12
-#: Documents a language in the training sample, about.
-SAMPLE_ROWS = 800
+#: Rows whose counts are held at once, as SLOTS numbers each.
+RUN_ROWS = 256
+#: Documents a language in the training sample, about, and in all, at most some.
+SAMPLE_ROWS, SAMPLE_ALL = 800, 20_000
 UNKNOWN = "und"
 
 LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A))
@@ -41,7 +44,7 @@ def fold_table() -> np.ndarray:
 def counts(column: pa.Array):
     """Yields (rows, n-gram counts by slot, has-letter flags) for runs of rows."""
     fold = fold_table()
-    for lo, hi, body, offs in chunks(column, 1 << 19):
+    for lo, hi, body, offs in chunks(column, rows=RUN_ROWS):
         n, size = hi - lo, np.diff(offs)
         c = fold[body]
         row = np.repeat(np.arange(n), size)
@@ -98,8 +101,24 @@ class Coder:
         return loss.argmin(1), p.max(1), top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 20, rate: float = 0.5, l2: float = 1e-5) -> Coder:
-    """x: scaled rows; y: class numbers. All bits at once, AdaGrad over shuffled batches; classes weigh alike."""
+class Rows:
+    """Scaled rows of counts, kept sparse; dense only as many at a time as asked for."""
+
+    def __init__(self, slots: list[np.ndarray], n: list[np.ndarray]) -> None:
+        self.slots, self.n = slots, n
+
+    def __len__(self) -> int:
+        return len(self.slots)
+
+    def dense(self, which) -> np.ndarray:
+        x = np.zeros((len(which), SLOTS), np.float32)
+        for i, k in enumerate(which):
+            x[i, self.slots[k]] = self.n[k]
+        return scaled(x)
+
+
+def fit(x: Rows, y: np.ndarray, names: list[str], epochs: int = 20, rate: float = 0.5, l2: float = 1e-5) -> Coder:
+    """y: class numbers. All bits at once, AdaGrad over shuffled batches; classes weigh alike."""
     m = Coder(names)
     if len(names) < 2:
         return m
@@ -111,33 +130,38 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 20, rate:
         order = rng.permutation(len(y))
         for at in range(0, len(order), 128):
             k = order[at : at + 128]
-            err = -target[k] / (1 + np.exp(np.clip(target[k] * (x[k] @ m.w + m.b), -30, 30))) * weight[k]
-            dw, db = x[k].T @ err / len(k) + l2 * m.w, err.mean(0)
+            part = x.dense(k)
+            err = -target[k] / (1 + np.exp(np.clip(target[k] * (part @ m.w + m.b), -30, 30))) * weight[k]
+            dw, db = part.T @ err / len(k) + l2 * m.w, err.mean(0)
             gw += dw * dw
             gb += db * db
             m.w -= rate * dw / np.sqrt(gw)
             m.b -= rate * db / np.sqrt(gb)
-    right = ((x @ m.w + m.b) * target > 0).mean(0)
-    m.trust = np.maximum(2 * right - 1, 0.05).astype(np.float32)
+    right = np.zeros(target.shape[1])
+    for at in range(0, len(y), 512):
+        k = np.arange(at, min(at + 512, len(y)))
+        right += ((x.dense(k) @ m.w + m.b) * target[k] > 0).sum(0)
+    m.trust = np.maximum(2 * right / len(y) - 1, 0.05).astype(np.float32)
     return m
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Coder:
     def featurise(batches):
         for batch in batches:
-            parts = [x.astype(np.int32) for _, x, _ in counts(batch.column(1))]
-            out = [r[np.flatnonzero(r)].tobytes() for p in parts for r in p]
-            at = [np.flatnonzero(r).astype(np.int16).tobytes() for p in parts for r in p]
+            out, at = [], []
+            for _, x, _ in counts(batch.column(1)):
+                for r in x:
+                    k = np.flatnonzero(r)
+                    at.append(k.astype(np.int16).tobytes())
+                    out.append(r[k].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(out, pa.binary())], names=["lang", "slots", "n"])
 
-    sample, names = sampling.by_language(docs, rows)
+    sample, names = sampling.by_language(docs, rows, SAMPLE_ALL)
     got = sample.mapInArrow(featurise, "lang string, slots binary, n binary").collect()  # a row has at most SLOTS entries
     got.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["n"])))
     names = sorted({r["lang"] for r in got})
-    x = np.zeros((len(got), SLOTS), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["slots"], np.int16)] = np.frombuffer(r["n"], np.int32)
-    return fit(scaled(x), np.array([names.index(r["lang"]) for r in got], int), names)
+    x = Rows([np.frombuffer(r["slots"], np.int16) for r in got], [np.frombuffer(r["n"], np.int32) for r in got])
+    return fit(x, np.array([names.index(r["lang"]) for r in got], int), names)
 
 
 def identify(docs: DataFrame, coder: Coder | None = None, rows: int = SAMPLE_ROWS, lead: float = 0.2) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+#: Bytes that are worked on at once: some ten arrays of eight bytes a byte stand beside them.
+CHUNK = 1 << 18
 _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
@@ -62,12 +63,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of whole rows of about `size` bytes, a longer row alone."""
+def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of at most `rows` whole rows of about `size` bytes, a longer row alone."""
     body, offs = buffers(column)
     row, n = 0, len(offs) - 1
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offs, offs[row] + size, "right")) - 1)
+        end = min(max(row + 1, int(np.searchsorted(offs, offs[row] + size, "right")) - 1), row + rows)
         yield row, end, body[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
         row = end
 
