@@ -9,8 +9,8 @@ the corpus; so a group of any size bears on its own fences, and a document more
 never moves them by a jump. A sketch has a fixed size, so a hot group costs partial
 aggregates only.
 
-Null text has no words and fails the base rule. Null lang or source form groups
-of their own. Repeated rows count and are judged as often as they occur. An
+Null text has no words and fails the base rule. Very long texts are counted whole.
+Null lang or source form groups of their own. Other columns are not read. Repeated rows count and are judged as often as they occur. An
 empty table gives no rows.
 """
 
@@ -29,12 +29,13 @@ FENCE = 3.0
 PRIOR = 10
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+def counted(docs: DataFrame, text: str = "text", window_hash: str = "xxhash64({0}, {1}, {2})") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to the other columns.
 
     Repeated 3-word windows are found by sorting, in each row, 64-bit keys that
     hold the window's hash above its position; neighbours with equal hashes are
-    compared word by word, so a chance collision is never counted.
+    compared word by word, and where neither is equal all windows with that hash are,
+    so a chance collision neither adds nor hides a repeat. `window_hash` is SQL of three words.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     flat = t
@@ -49,7 +50,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_bits": F.length(F.bin(F.col("n_words"))),
     }).drop("_lines", "_t")
-    key = "transform(sequence(1, cast(n_words as int) - 2), i -> shiftleft(xxhash64(_w[i - 1], _w[i], _w[i + 1]), _bits) | i)"
+    key = f"transform(sequence(1, cast(n_words as int) - 2), i -> shiftleft({window_hash.format('_w[i - 1]', '_w[i]', '_w[i + 1]')}, _bits) | i)"
     three = two.withColumn("_k", F.expr(f"case when n_words > 3 then sort_array({key}) else cast(array() as array<bigint>) end"))
     near = "(shiftright(x, _bits) = shiftright(_k[{j}], _bits))"
     four = three.withColumn("_p", F.expr(f"filter(_k, (x, j) -> (j > 0 and {near.format(j='greatest(j - 1, 0)')}) or (j < n_words - 3 and {near.format(j='least(j + 1, cast(n_words as int) - 3)')}))"))
@@ -60,7 +61,8 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 
     five = four.withColumn("_q", F.expr(f"transform(_p, x -> {low})")).drop("_k", "_p")
     ok = same("greatest(j - 1, 0)"), same("least(j + 1, size(_q) - 1)")
-    six = five.withColumn("_r", F.expr(f"sort_array(filter(_q, (x, j) -> (j > 0 and {ok[0]}) or (j < size(_q) - 1 and {ok[1]})))")).drop("_q", "_w")
+    far = "exists(_q, y -> y != x and " + " and ".join(f"_w[y + {d}] = _w[x + {d}]" for d in (-1, 0, 1)) + ")"
+    six = five.withColumn("_r", F.expr(f"sort_array(filter(_q, (x, j) -> (j > 0 and {ok[0]}) or (j < size(_q) - 1 and {ok[1]}) or {far}))")).drop("_q", "_w")
     return six.withColumn("n_repeat_words", F.expr("aggregate(transform(_r, (x, j) -> if(j + 1 < size(_r), least(3, _r[least(j + 1, size(_r) - 1)] - x), 3)), 0L, (s, v) -> s + v)")).drop("_r", "_bits")
 
 

@@ -161,6 +161,13 @@ def test_quality_counts_of_odd_words(spark):
     assert quality_rules.judge(df).where("base_failed and not kept").count() == len(texts)
 
 
+def test_quality_counts_when_all_hashes_collide(spark):
+    texts = dict(enumerate(["a b c x a b c y b c a b c", "a a a a b b b a a a", "q w e r t", "a b c a b c"]))
+    df = spark.createDataFrame([(d, t, None, None) for d, t in texts.items()], "doc_id long, text string, lang string, source string")
+    got = as_map(quality_rules.counted(df, window_hash="if({0} = {1}, 1L, 1L)").select("doc_id", "n_repeat_words"), 1)
+    assert got == {d: brute.quality_counts(t)[4:] for d, t in texts.items()}
+
+
 def test_quality_rules_reject_outliers(spark, odd, none):
     rows = [(i, " ".join(f"w{(i * 7 + k * 13) % 997}" for k in range(80 + i)), "en", "s") for i in range(100)]
     rows += [(1000, " ".join(f"w{k}$$$" for k in range(90)), "en", "s")]
