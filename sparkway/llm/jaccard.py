@@ -1,39 +1,39 @@
 """Exact Jaccard similarity join on word n-grams by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes. It is cut into
-F ranges (fragments); each document's set falls into one segment a fragment.
-
-Candidates. Two sets with Jaccard >= t differ in at most d = floor((1-t)/t * n)
-n-grams, n being either size. Cut into more than d fragments, counting only the
-document's non-empty ones, some non-empty segment is the same in both, so pairs
-meet in the bucket (F, fragment, segment hash). This holds for any part of the
-n-grams too, so those that a bounded sample of documents shows to be frequent
-(shared lines and passages) are left out of segments; the sample bears on speed
-alone. F depends on a class of sizes;
-documents near a class's upper edge also carry the next class's segments. A
-document with too few non-empty segments for the argument also carries the
-n-grams of its prefix, frequent ones last, so that two such documents meet as
-well.
-
-Verification. Each set has a parity sketch of `BITS` bits: an n-gram flips one.
-Sketches of sets that differ in d n-grams differ in at most d bits, so pairs
-whose sketches differ in more are out; first by these, then by sketches of eight
-bits an n-gram. Sets of the others are cut into vertical parts; overlaps are
-counted part by part, and summed per pair.
-
-Large buckets. A bucket first pairs a few hubs with its members; each document is
-labelled by its least linked one; hubs leave, and so does a bucket whose members
-have one label. What is left is compared within the bucket by sketches, and
-only pairs of different labels that pass come out of that join, and of a
-pair's common buckets only those not preceded by one of both documents' first
-`FIRST`. Documents with one label are linked, so no component is lost.
-
-Equal sets are first collapsed into one representative (map-side in each batch,
-then by fingerprint), so groups of copies cost one row a batch.
+The global order of n-grams puts those that many sets hold last, and goes by
+64-bit hash otherwise. Every set is cut along it, and overlaps are counted in each
+fragment by itself:
+
+Candidates come from the fragment that stands first in the order: the n - ceil(t n)
++ 1 first n-grams of a set. Two sets of n-grams with Jaccard >= t share at least
+one of them, so their overlap counted there is not zero. Rows (n-gram, set) meet
+in one shuffle; n-grams met once go out at once, and so do pairs whose sizes, or
+whose places of the n-gram in both orders, leave too few n-grams for a match: at the
+first one that two sets share, what stands before it in either is not shared.
+
+Verification. Each set has a parity sketch of two bits an n-gram and more: an n-gram
+flips one, so sketches differ in no more bits than sets do in n-grams, and pairs
+whose sketches differ in more are out. The sets of the others are cut into
+vertical parts by hash range; overlaps are counted part by part, and summed per pair.
+
+Which n-grams are frequent is counted over all texts: those that `LEAST` or more of
+some `UNIT` n-grams' worth of sets share are summed. The order bears on speed alone,
+any order gives the same links. The list has at most mean size / `FREQUENT` entries.
+
+Large groups. Of the sets that share an n-gram the `HUBS` that have least before it,
+so are nearest to what all have in common, are compared with all others, and leave;
+then sets are labelled by the most linked set that they are similar to, and n-grams
+whose remaining sets have one label leave. This goes on for a few rounds while pairs
+of different labels are many, then all of these are compared. Sets with one label are
+connected, so no component is lost, and a group of m near copies costs some m pairs.
+
+Equal sets are first collapsed into one (in each batch, then by hash), so groups of
+copies cost one row a batch. Sets are known by a 64-bit hash.
 
 Null texts, and texts without words, have no n-grams and no links. Fewer than k
-words make one n-gram. Repeated rows are copies, each with a row in the result. A
-null doc_id has no links of its own; it gets the component of an equal set.
+words make one n-gram. Very long texts are whole sets like others. Repeated rows are
+copies, each with a row in the result. A null doc_id has no links of its own; it
+gets the component of an equal set. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -44,20 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, join_sized, materialize
+from .common import id_filter, materialize, passes
 from .components import connected
 from .textvec import NOT_SPACE, byte_keys, chunks, mix, runs_of, span_hash, words
 
 #: Vertical parts in which overlaps are counted.
 PARTS = 4
-#: Bits of the parity sketch.
-BITS = 1024
-#: Buckets of a document that are looked at to find a pair's first common one.
-FIRST = 8
-#: Hubs of a bucket in each round before the rest is compared.
-HUBS = (2,)
-#: Documents that show which n-grams are frequent, about, and the share of them that makes one so.
-SAMPLE_ROWS, FREQUENT = 4000, 0.003
+#: Sets of an n-gram that are compared with all its others in one round; rounds at most before the last; pairs of different labels a row that may be left for it.
+HUBS, ROUNDS, LEFT = 4, 2, 64
+#: N-grams that are counted together, sets among them that make one worth summing, and the share of all sets that makes it frequent.
+UNIT, LEAST, FREQUENT = 1 << 21, 3, 0.001
 _U = np.uint64
 
 
@@ -81,207 +77,162 @@ def gram_sets(column: pa.Array, k: int, lut: np.ndarray = NOT_SPACE):
             yield g
 
 
-def fingerprint(g: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    a = mix(g)
-    both = np.array([a.sum(dtype=np.uint64), mix(a ^ _U(0x632BE59BD9B4E019)).sum(dtype=np.uint64)]).view(np.int64)
-    return int(both[0]), int(both[1])
+def set_id(g: np.ndarray) -> int:
+    """64 bits of a set."""
+    return int(mix(mix(g).sum(dtype=np.uint64, keepdims=True) + _U(len(g))).view(np.int64)[0])
 
 
-class Cuts:
-    """Fragments by size, for a threshold of num/den."""
+def sketch(g: np.ndarray) -> bytes:
+    """Parities of the counts of n-grams in slots, two bits an n-gram and more, a power of two."""
+    size = 1 << max(9, (2 * len(g) - 1).bit_length())
+    slot = np.bincount((mix(g ^ _U(0x8CB92BA72F3D8DD7)) & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(slot.astype(np.uint8)).tobytes()
 
-    def __init__(self, num: int, den: int, frequent: np.ndarray | None = None) -> None:
-        self.num, self.den = num, den
-        self.frequent = np.zeros(0, np.uint64) if frequent is None else np.sort(frequent)
-
-    def differ(self, n: int) -> int:
-        """Most n-grams in which a set of n and a similar one differ."""
-        return (self.den - self.num) * n // self.num
-
-    def level(self, n: int) -> int:
-        """Sizes double from level to level."""
-        return int(n).bit_length()
-
-    def fragments(self, level: int) -> int:
-        d = self.differ((1 << level) - 1)
-        return d + 1 + max(1, -(-6 * d // 100))
 
-    def levels(self, n: int) -> list[int]:
-        """A set's own level, and the next if a similar set may be there; none if only equal sets are similar."""
-        own = self.level(n)
-        top = self.den * n // self.num
-        return [x for x in ([own] if self.level(top) == own else [own, own + 1]) if self.differ((1 << x) - 1) > 0] if self.differ(n) or self.level(top) != own else []
-
-    def rare(self, g: np.ndarray) -> np.ndarray:
-        """Flags of n-grams that aren't known as frequent."""
-        if not len(self.frequent):
-            return np.ones(len(g), bool)
-        i = np.minimum(np.searchsorted(self.frequent, g), len(self.frequent) - 1)
-        return self.frequent[i] != g
-
-    def signatures(self, g: np.ndarray) -> np.ndarray:
-        n, out = len(g), []
-        levels = self.levels(n)
-        if not levels:
-            return np.zeros(0, np.uint64)
-        ok = self.rare(g)
-        r = g[ok]
-        inner = mix(r ^ _U(0x9FB21C651E98DF25))
-        for level in levels:
-            f = self.fragments(level)
-            frag = ((r >> _U(32)) * _U(f)) >> _U(32)
-            at = np.concatenate([[0], np.flatnonzero(frag[1:] != frag[:-1]) + 1]) if len(r) else np.zeros(0, np.int64)
-            if len(at):
-                out.append(mix(np.add.reduceat(inner, at) ^ mix((frag[at] << _U(8)) + _U(level))))
-            if len(at) <= self.differ(n):  # too few segments: the prefix as well
-                least = -(-self.num * n // self.den)
-                out.append(mix(np.concatenate([r, g[~ok]])[: n - least + 1] ^ _U(0xD6E8FEB86659FD93 + level)))
-        return np.concatenate(out)
-
-
-def frequent_grams(docs: DataFrame, k: int, sample: int = SAMPLE_ROWS, share: float = FREQUENT) -> np.ndarray:
-    """Hashes of n-grams in at least `share` of the distinct sets among about `sample` documents, so at most mean size / share."""
-    total = docs.count()
-    if total < 50:
-        return np.zeros(0, np.uint64)
-    some = docs.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < min(1.0, sample / total) * 1_000_000).select("text").limit(4 * sample)
-
-    def run(batches):
-        for batch in batches:
-            seen, out = set(), []
-            for g in gram_sets(batch.column(0), k):
-                fp = fingerprint(g)
-                if fp not in seen:
-                    seen.add(fp)
-                    out.append(g)
-            h, n = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+def sketches_differ(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches differ; the longer, folded, is the sketch of the shorter's length."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
-    least = max(4, int(share * min(sample, total)))
-    found = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").collect()
-    return np.array([r["h"] for r in found], np.int64).view(np.uint64)
 
+class Order:
+    """The global order, and the first fragment of a set at a threshold of num/den."""
 
-SKETCH = [f"s{i}" for i in range(BITS // 64)]
+    def __init__(self, num: int, den: int, frequent: np.ndarray | None = None) -> None:
+        self.num, self.den = num, den
+        self.frequent = np.zeros(0, np.uint64) if frequent is None else np.sort(frequent)
 
+    def first(self, n: int) -> int:
+        """N-grams of the first fragment; none if no other set can be similar."""
+        return n - -(-self.num * n // self.den) + 1 if n * (self.den - self.num) >= self.num else 0
 
-def sketch(g: np.ndarray) -> np.ndarray:
-    """Parities of the counts of n-grams in BITS slots, as words of 64 bits."""
-    slot = np.bincount((mix(g ^ _U(0x8CB92BA72F3D8DD7)) >> _U(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(slot.astype(np.uint8)).view(np.int64)
+    def fragment(self, g: np.ndarray) -> np.ndarray:
+        p = self.first(len(g))
+        if not len(self.frequent) or not p:
+            return g[:p]
+        i = np.minimum(np.searchsorted(self.frequent, g), len(self.frequent) - 1)
+        rare = self.frequent[i] != g
+        out = g[rare][:p]
+        return out if len(out) == p else np.concatenate([out, g[~rare][: p - len(out)]])
 
 
-def differ_in(a: str, b: str) -> str:
-    """SQL for the number of bits in which two sketches differ."""
-    return " + ".join(f"bit_count({a}.{s} ^ {b}.{s})" for s in SKETCH)
+def base_rows(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, set id and sketch of every document (met null); rows of n-grams that some sets share (set_id: the n-gram, met: how many)."""
+    names = ["doc_id", "n_shingles", "set_id", "bits", "met"]
 
+    def batch_of(doc, n, ids, bits, met):
+        return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), met], names=names)
 
-def base_rows(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint and sketch of every document."""
+    def shared(sets):
+        h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        h, n = h[n >= LEAST], n[n >= LEAST]
+        return batch_of(pa.nulls(len(h), pa.int64()), np.zeros(len(h), np.int64), h.view(np.int64), [None] * len(h), pa.array(n.astype(np.int64)))
 
     def run(batches):
+        sets, seen, held = [], set(), 0
         for batch in batches:
-            n, a, b, bits = [], [], [], []
+            n, ids, bits = [], [], []
             for g in gram_sets(batch.column(1), k):
-                p, q = fingerprint(g)
+                s = set_id(g)
                 n.append(len(g))
-                a.append(p)
-                b.append(q)
+                ids.append(s)
                 bits.append(sketch(g))
-            words_ = np.stack(bits).T if bits else np.zeros((len(SKETCH), 0), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in words_)], names=["doc_id", "n_shingles", "fp1", "fp2", *SKETCH])
+                if s not in seen:
+                    seen.add(s)
+                    sets.append(g)
+                    held += len(g)
+                if held >= UNIT:
+                    yield shared(sets)
+                    sets, seen, held = [], set(), 0
+            yield batch_of(batch.column(0), n, ids, bits, pa.nulls(len(n), pa.int64()))
+        yield shared(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{s} long" for s in SKETCH))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, bits binary, met long")
 
 
-def bucket_rows(docs: DataFrame, k: int, cuts: Cuts) -> DataFrame:
-    """(signature, fingerprint, size) of each distinct set in a batch."""
+def frequent_grams(base: DataFrame, n_sets: int, share: float = FREQUENT) -> np.ndarray:
+    """N-grams in at least `share` of the sets, as far as counted: at most mean size / share of them."""
+    found = base.where("met is not null").groupBy("set_id").agg(F.sum("met").alias("n")).where(F.col("n") >= max(LEAST + 1, share * n_sets)).select("set_id").toArrow()
+    return found.column(0).to_numpy().view(np.uint64)
 
-    def rows(sig, fp1, fp2, size, reps):
+
+def fragment_rows(docs: DataFrame, k: int, order: Order) -> DataFrame:
+    """(n-gram, set, size, place in the order) for the first fragment of each distinct set in a batch."""
+    order = docs.sparkSession.sparkContext.broadcast(order)
+
+    def rows(grams, ids, size):
+        reps = [len(x) for x in grams]
         col = lambda v, t: pa.array(np.repeat(np.array(v, t), reps))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64) if sig else np.zeros(0, np.int64)), col(fp1, np.int64), col(fp2, np.int64), col(size, np.int32)], names=["sig", "fp1", "fp2", "n"])
+        place = pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(r, dtype=np.int32) for r in reps)]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *grams]).view(np.int64)), col(ids, np.int64), col(size, np.int32), place], names=["gram", "a", "n", "p"])
 
     def run(batches):
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            sig, fp1, fp2, size, reps, held = [], [], [], [], [], 0
+            seen, grams, ids, size, held = set(), [], [], [], 0
             for g in gram_sets(batch.column(0), k):
-                if held >= 100_000:
-                    yield rows(sig, fp1, fp2, size, reps)
-                    sig, fp1, fp2, size, reps, held = [], [], [], [], [], 0
-                fp = fingerprint(g)
-                if not len(g) or fp in seen:
+                s = set_id(g)
+                if s in seen:
                     continue
-                seen.add(fp)
-                s = cuts.signatures(g)
-                sig.append(s)
-                fp1.append(fp[0])
-                fp2.append(fp[1])
+                seen.add(s)
+                x = order.value.fragment(g)
+                grams.append(x)
+                ids.append(s)
                 size.append(len(g))
-                reps.append(len(s))
-                held += len(s)
-            yield rows(sig, fp1, fp2, size, reps)
+                held += len(x)
+                if held >= 100_000:
+                    yield rows(grams, ids, size)
+                    grams, ids, size, held = [], [], [], 0
+            yield rows(grams, ids, size)
 
-    return docs.select("text").mapInArrow(run, "sig long, fp1 long, fp2 long, n int")
+    return docs.select("text").mapInArrow(run, "gram long, a long, n int, p int")
 
 
-def parts_of(docs: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
-    """The n-grams of each document, in vertical parts of the global order."""
+def likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b, na, nb), those whose sketches differ in no more bits than similar sets may."""
+    both = pairs.join(sketches.select(F.col("set_id").alias("a"), F.col("bits").alias("ga")), "a").join(sketches.select(F.col("set_id").alias("b"), F.col("bits").alias("gb")), "b")
 
-    def run(batches):
+    def test(batches):
         for batch in batches:
-            ids, part, grams = [], [], []
-            for doc, g in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), k), strict=True):
-                edge = np.searchsorted(g, (np.arange(1, parts) * ((1 << 64) // parts)).astype(np.uint64))
-                for p, x in enumerate(np.split(g, edge)):
-                    if len(x):
-                        ids.append(doc)
-                        part.append(p)
-                        grams.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.binary())], names=["doc_id", "part", "grams"])
+            most = (batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()) * (den - num) // (den + num)
+            keep = [sketches_differ(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) <= d for x, y, d in zip(batch.column(4), batch.column(5), most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, grams binary")
+    return both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(test, "a long, b long, na int, nb int")
 
 
-def fine_sketches(docs: DataFrame, k: int) -> DataFrame:
-    """Parity sketches of eight bits an n-gram and more, a power of two long."""
+def parts_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
+    """(set, part, n-grams) of the sets that occur in pairs, in vertical parts of the hash order. Texts are not shuffled."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    ids = reps.join(wanted, "set_id").select("rep")
+    bits, words_ = id_filter(ids)
 
     def run(batches):
         for batch in batches:
-            bits = []
+            batch = batch.filter(pa.array(passes(words_.value, batch.column(0).to_numpy())))
+            ids, part, grams, held = [], [], [], 0
             for g in gram_sets(batch.column(1), k):
-                size = 1 << (8 * max(len(g), 8) - 1).bit_length()
-                slot = np.bincount((mix(g ^ _U(0x8CB92BA72F3D8DD7)) & _U(size - 1)).astype(np.int64), minlength=size) & 1
-                bits.append(np.packbits(slot.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["doc_id", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits binary")
-
-
-def fine(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b, na, nb), those whose sketches differ in no more bits than similar sets may."""
-    both = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("bits").alias("ga")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("bits").alias("gb")), "b")
-
-    def test(batches):
-        for batch in batches:
-            most = (batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()) * (den - num) // (den + num)
-            keep = []
-            for x, y, d in zip(batch.column(4), batch.column(5), most.tolist(), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                while len(p) != len(q):  # the longer, folded, is the sketch of the shorter's length
-                    p, q = (p, q) if len(p) > len(q) else (q, p)
-                    p = p[: len(p) // 2] ^ p[len(p) // 2 :]
-                keep.append(int(np.bitwise_count(p ^ q).sum()) <= d)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+                s = set_id(g)
+                edge = np.searchsorted(g, (np.arange(1, parts) * ((1 << 64) // parts)).astype(np.uint64))
+                for p, x in enumerate(np.split(g, edge)):
+                    if len(x):
+                        ids.append(s)
+                        part.append(p)
+                        grams.append(x.tobytes())
+                        held += x.nbytes
+                if held >= 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.binary())], names=["set_id", "part", "grams"])
+                    ids, part, grams, held = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.binary())], names=["set_id", "part", "grams"])
 
-    return both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(test, "a long, b long, na int, nb int").distinct()
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("bit"), "text").mapInArrow(run, "set_id long, part int, grams binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b, na, nb), those whose overlaps, summed over the parts, reach the threshold."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), "part", F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), "part", F.col("grams").alias("gb")), ["b", "part"])
+    left = pairs.join(sets.select(F.col("set_id").alias("a"), "part", F.col("grams").alias("ga")), "a")
+    both = left.join(sets.select(F.col("set_id").alias("b"), "part", F.col("grams").alias("gb")), ["b", "part"])
 
     def overlap(batches):
         for batch in batches:
@@ -294,55 +245,57 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return total.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def ends(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents that occur in pairs (a written table)."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+def labels(links: DataFrame) -> DataFrame:
+    """(a, _comp): for each linked set the one with most links, of itself and those it is linked with."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    count = both.groupBy("a").agg(F.count("*").alias("c"))
+    near = both.join(count.withColumnRenamed("a", "b"), "b").select("a", "b", "c").unionByName(count.select("a", F.col("a").alias("b"), "c"))
+    return near.groupBy("a").agg(F.max(F.struct("c", "b")).alias("_m")).select("a", F.col("_m.b").alias("_comp"))
+
+
+def unlike_pairs(sets: DataFrame) -> int:
+    """How often two sets of an n-gram differ in their label."""
+    m = sets.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+    return m.agg(F.sum(F.expr("(m * m - s) div 2"))).first()[0] or 0
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, scope: str = "default") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     base = materialize(base_rows(docs, k), scope)
-    docs = docs.where(F.col("doc_id").isNotNull())
-    cuts = Cuts(num, den, frequent_grams(docs, k))
-    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), *(F.first(s).alias(s) for s in SKETCH))
-    # Buckets that more than one distinct set meets in.
-    by_sig = Window.partitionBy("sig")
-    met = bucket_rows(docs, k, cuts).repartition("sig").groupBy("sig", "fp1", "fp2").agg(F.max("n").alias("n"))
-    met = met.withColumn("_m", F.count("*").over(by_sig)).where("_m > 1").drop("_m")
-    tested = materialize(met.join(reps.select("fp1", "fp2", F.col("rep").alias("a")), ["fp1", "fp2"]).select("sig", "a", "n", F.col("a").alias("comp")), scope)
-    nodes = materialize(reps.join(tested.select(F.col("a").alias("rep")).distinct(), "rep").select(F.col("rep").alias("a"), *SKETCH), scope)
-    near = f"({differ_in('x', 'y')}) * {den + num} <= (x.n + y.n) * {den - num} and x.comp != y.comp and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
-    links = None
-    for hubs in (*HUBS, None):
-        if hubs:
-            ranked = tested.withColumn("_k", F.row_number().over(Window.partitionBy("sig").orderBy("n", "a")))
-            x, y = ranked.where(F.col("_k") <= hubs).select("sig", *(F.col(c).alias(f"{c}_x") for c in ("a", "n", "comp", "_k"))), ranked.select("sig", *(F.col(c).alias(f"{c}_y") for c in ("a", "n", "comp", "_k")))
-            pairs = x.join(y, "sig").where(f"_k_x < _k_y and comp_x != comp_y and n_x * {den} >= n_y * {num}").select(*(f"{c}_{t}" for c in ("a", "n", "comp") for t in "xy")).distinct()
-            pairs = join_sized(pairs, nodes.select(F.col("a").alias("a_x"), F.struct(*SKETCH).alias("sx")), ["a_x"], "inner")
-            pairs = join_sized(pairs, nodes.select(F.col("a").alias("a_y"), F.struct(*SKETCH).alias("sy")), ["a_y"], "inner")
-            pairs = pairs.where(f"({differ_in('sx', 'sy')}) * {den + num} <= (n_x + n_y) * {den - num}").select(F.col("a_x").alias("a"), F.col("a_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"))
-        else:
-            early = tested.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, FIRST).alias("early"))
-            full = join_sized(tested, materialize(nodes.join(early, "a"), scope), ["a"], "inner")
-            pairs = full.alias("x").join(full.alias("y"), F.expr(f"x.sig = y.sig and x.a < y.a and {near} and coalesce(array_min(array_intersect(x.early, y.early)), x.sig) >= x.sig")).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-        pairs = materialize(pairs, scope)
-        pairs = materialize(fine(pairs, fine_sketches(ends(docs, pairs), k), num, den), scope)
-        sets = parts_of(ends(docs, pairs), k)
-        new = materialize(similar(pairs, sets, num, den), scope)
+    rows = base.where("met is null")
+    named = docs.where("doc_id is not null and text is not null")
+    reps = materialize(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep")), scope)
+    order = Order(num, den, frequent_grams(base, reps.count()))
+    by_gram = Window.partitionBy("gram")
+    # N-grams that more than one distinct set has in its first fragment.
+    met = fragment_rows(named, k, order).repartition("gram").groupBy("gram", "a").agg(F.max("n").alias("n"), F.min("p").alias("p")).withColumn("_m", F.count("*").over(by_gram)).where("_m > 1").drop("_m")
+    met = materialize(met.withColumn("comp", F.col("a")), scope)
+    sketches = materialize(rows.join(met.select(F.col("a").alias("set_id")).distinct(), "set_id", "left_semi").where("doc_id is not null").groupBy("set_id").agg(F.first("bits").alias("bits")), scope)
+    total, links, now = met.count(), None, met
+    for turn in range(ROUNDS + 1):
+        ranked = now.withColumn("_k", F.row_number().over(by_gram.orderBy("p", "n", "a")))
+        last = turn == ROUNDS or turn > 0 and unlike_pairs(now) <= LEFT * total
+        cols = ("a", "n", "p", "comp", "_k")
+        x, y = (ranked.select("gram", *(F.col(c).alias(f"{c}_{t}") for c in cols)) for t in "xy")
+        near = f"least(n_x, n_y) * {den} >= greatest(n_x, n_y) * {num} and least(n_x - p_x, n_y - p_y) * {den + num} >= (n_x + n_y) * {num}"
+        pairs = (x if last else x.where(F.col("_k_x") <= HUBS)).join(y, "gram").where(f"_k_x < _k_y and comp_x != comp_y and {near}")
+        one, two = (F.expr(f"if(a_x < a_y, struct(a_{i} as a, n_{i} as n), struct(a_{j} as a, n_{j} as n))") for i, j in ("xy", "yx"))
+        pairs = pairs.select(one.alias("x"), two.alias("y")).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+        pairs = materialize(likely(pairs, sketches, num, den), scope)
+        new = materialize(similar(pairs, materialize(parts_of(named, pairs, reps, k), scope), num, den), scope)
         links = new if links is None else links.unionByName(new)
-        if not hubs:
+        if last:
             break
-        # Hubs are done with; buckets whose rest has one label too.
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp"))
-        rest = ranked.where(F.col("_k") > hubs).select("sig", "a", "n").join(label, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-        rest = rest.withColumns({"_lo": F.min("comp").over(by_sig), "_hi": F.max("comp").over(by_sig)}).where("_lo < _hi").drop("_lo", "_hi")
-        tested = materialize(rest, scope)
-        if tested.isEmpty():
+        # Hubs are done with; n-grams whose rest has one label too. Sets with links to one hub are connected.
+        label = labels(links)
+        rest = ranked.where(F.col("_k") > HUBS).select("gram", "a", "n", "p").join(label, "a", "left").select("gram", "a", "n", "p", F.coalesce("_comp", "a").alias("comp"))
+        rest = rest.withColumns({"_lo": F.min("comp").over(by_gram), "_hi": F.max("comp").over(by_gram)}).where("_lo < _hi").drop("_lo", "_hi")
+        now = materialize(rest, scope)
+        if now.isEmpty():
             break
-    comps = connected(links, scope)
-    found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    comps = connected(links.select("a", "b"), scope).join(reps.withColumnRenamed("set_id", "node"), "node")
+    least = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select(F.col("node").alias("set_id"), "component_id")
+    found = reps.join(least, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
+    # A set without n-grams is linked with nothing.
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
