@@ -29,7 +29,7 @@ from .fmindex import FMIndex
 from .textvec import ALNUM, byte_keys, chunks, span_hash, words
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 GROUP_BYTES = 16 << 20
 #: What a pass adds to, after a table's own columns.
 STATE = ("_hits", "_items", "_words", "_starts", "_ends")
@@ -99,8 +99,9 @@ def occurrences(sym: np.ndarray, first: np.ndarray, windows: Windows) -> tuple[n
     return np.repeat(found, n), where[index.locate(rows)]
 
 
-def scan(rows: DataFrame, items: list[tuple[int, str]], width: int, last: bool) -> DataFrame:
-    """One pass: adds this group's hits to the state columns. Column 0 is the text."""
+def scan(rows: DataFrame, items: list[tuple[int, str]], width: int, finish=None, schema=None) -> DataFrame:
+    """One pass: adds this group's hits to the state columns. Column 0 is the text. The last pass ends with `finish`, in the same worker."""
+    last = finish is not None
     windows = Windows(items, width)
     keys = byte_keys(lower=True)
 
@@ -138,11 +139,11 @@ def scan(rows: DataFrame, items: list[tuple[int, str]], width: int, last: bool)
             blank = [b""] * len(count)
             yield pa.RecordBatch.from_arrays([*batch.columns[:state], pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(count, pa.int64()), pa.array(starts if last else blank, pa.binary()), pa.array(ends if last else blank, pa.binary())], names=batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow((lambda batches: finish(run(batches))) if last else run, schema if last else rows.schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """`docs` (text first) with the state columns: hit words, items, word count, and spans to remove."""
+def find(docs: DataFrame, benchmark: DataFrame, width: int, finish, schema) -> DataFrame:
+    """What `finish` makes of `docs` (text first) with the state columns: hit words, items, word count, and spans to remove."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + int(total) // GROUP_BYTES
@@ -151,13 +152,13 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
     rows = rows.withColumns(dict(zip(fresh(docs.columns, *STATE), (blank, F.expr("cast(array() as array<bigint>)"), F.lit(0).cast("long"), blank, blank), strict=True)))
     for g in range(groups):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).distinct().collect()
-        rows = scan(rows, sorted((r["item_id"], r["text"]) for r in part), width, last=g == groups - 1)
+        last = (finish, schema) if g == groups - 1 else ()
+        rows = scan(rows, sorted((r["item_id"], r["text"]) for r in part), width, *last)
     return rows
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the items and spans (byte ranges)."""
-    found = find(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), benchmark, width)
 
     def digest(batches):
         for batch in batches:
@@ -167,13 +168,14 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFr
             spans = [[{"start": a, "end": b} for a, b in zip(np.frombuffer(s, np.int64).tolist(), np.frombuffer(e, np.int64).tolist(), strict=True)] for s, e in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
-    return found.drop("text").mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, spans array<struct<start:long,end:long>>")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, spans array<struct<start:long,end:long>>"
+    return find(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), benchmark, width, digest, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents with the merged spans cut out of their texts; n_chars, if there, follows."""
-    found = find(docs, benchmark, width)
-    state = len(found.columns) - 5
+    own = ["text", *(c for c in docs.columns if c != "text")]
+    state = len(own)
 
     def cut(batches):
         for batch in batches:
@@ -188,5 +190,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
                 text.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *batch.columns[1:state]], names=batch.schema.names[:state])
 
-    out = found.mapInArrow(cut, T.StructType(found.schema.fields[:state])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    schema = T.StructType([docs.schema[c] for c in own])
+    out = find(docs, benchmark, width, cut, schema).select(*(F.col(f"`{c}`") for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -6,8 +6,11 @@ plan needs of the corpus is its histogram of piece lengths, which has at most
 (lengths that fill a sequence, how often), a few per length. Ranks within a
 length turn recipes into places without gathering the pieces of a length.
 
-Null text is an empty document: it holds its end token only. Repeated rows are
-packed as often as they occur. An empty table gives no rows.
+Null text is an empty document: it holds its end token only. Very long texts are cut
+into pieces; their ids are held one text at a time. A null doc_id is packed like any.
+Repeated rows are packed as often as they occur; pieces of one length are told apart
+by their rank, so ties need no order. Columns other than doc_id and text are not read,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from .common import materialize, partitions, worker_cache
 
 CAPACITY = 4096
 #: Chunks in a generation of the encoder's memory.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 100_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -101,7 +104,7 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return cache["encoder", path]
 
 
-def groups(texts: pa.Array, size: int = 1 << 20):
+def groups(texts: pa.Array, size: int = 1 << 19):
     """Lists of whole texts, of about `size` characters each."""
     held, n = [], 0
     for t in texts:

@@ -4,8 +4,10 @@ score = sigmoid(w0 + w.x + 1/2 sum_f ((V_f.x)^2 - (V_f^2).(x^2))): pairwise
 interactions in linear time. It is fitted on the driver from features of a
 bounded sample of labelled rows, and scored where the texts are, with no shuffle.
 
-Null and empty texts have zero features and get the score of those. Repeated
-rows get equal scores. Without labels of both classes every score is the share
+Null and empty texts have zero features and get the score of those. Very long texts
+are read whole, in a run of their own. Repeated rows get equal scores. An empty table
+gives no rows. Other columns are not read, whatever their names; `keep_good` passes
+them on. Without labels of both classes every score is the share
 of label 1 seen, or 0.5 if none was.
 """
 
