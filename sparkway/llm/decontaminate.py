@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import arrow_map, fresh
 from .fmindex import FMIndex
 from .textvec import ALNUM, byte_keys, chunks, span_hash, words
 
@@ -139,7 +139,7 @@ def scan(rows: DataFrame, items: list[tuple[int, str]], width: int, finish=None,
             blank = [b""] * len(count)
             yield pa.RecordBatch.from_arrays([*batch.columns[:state], pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(count, pa.int64()), pa.array(starts if last else blank, pa.binary()), pa.array(ends if last else blank, pa.binary())], names=batch.schema.names)
 
-    return rows.mapInArrow((lambda batches: finish(run(batches))) if last else run, schema if last else rows.schema)
+    return arrow_map(rows, (lambda batches: finish(run(batches))) if last else run, schema if last else rows.schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int, finish, schema) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_filter, materialize, passes
+from .common import arrow_map, id_filter, materialize, passes
 from .components import connected
 from .textvec import NOT_SPACE, byte_keys, chunks, mix, runs_of, span_hash, words
 
@@ -149,7 +149,7 @@ def base_rows(docs: DataFrame, k: int) -> DataFrame:
             yield batch_of(batch.column(0), n, ids, bits, pa.nulls(len(n), pa.int64()))
         yield shared(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, bits binary, met long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_id long, bits binary, met long")
 
 
 def frequent_grams(base: DataFrame, n_sets: int, share: float = FREQUENT) -> np.ndarray:
@@ -186,7 +186,7 @@ def fragment_rows(docs: DataFrame, k: int, order: Order) -> DataFrame:
                     grams, ids, size, held = [], [], [], 0
             yield rows(grams, ids, size)
 
-    return docs.select("text").mapInArrow(run, "gram long, a long, n int, p int")
+    return arrow_map(docs.select("text"), run, "gram long, a long, n int, p int")
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -199,7 +199,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
             keep = [sketches_differ(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) <= d for x, y, d in zip(batch.column(4), batch.column(5), most.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(test, "a long, b long, na int, nb int")
+    return arrow_map(both.select("a", "b", "na", "nb", "ga", "gb"), test, "a long, b long, na int, nb int")
 
 
 def parts_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
@@ -226,7 +226,7 @@ def parts_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, parts:
                     ids, part, grams, held = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.binary())], names=["set_id", "part", "grams"])
 
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("bit"), "text").mapInArrow(run, "set_id long, part int, grams binary")
+    return arrow_map(docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("bit"), "text"), run, "set_id long, part int, grams binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -239,7 +239,7 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             n = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(6), pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "part", "common"])
 
-    counted = both.select("a", "b", "na", "nb", "ga", "gb", "part").mapInArrow(overlap, "a long, b long, na int, nb int, part int, common long")
+    counted = arrow_map(both.select("a", "b", "na", "nb", "ga", "gb", "part"), overlap, "a long, b long, na int, nb int, part int, common long")
     # A part counts once even if a document's row is repeated.
     total = counted.groupBy("a", "b", "na", "nb", "part").agg(F.max("common").alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return total.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling
-from .common import crc_mod
+from .common import arrow_map, crc_mod
 from .textvec import byte_class, chunks
 
 SLOTS = 1 << 12
@@ -157,7 +157,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Coder:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(out, pa.binary())], names=["lang", "slots", "n"])
 
     sample, names = sampling.by_language(docs, rows, SAMPLE_ALL)
-    got = sample.mapInArrow(featurise, "lang string, slots binary, n binary").collect()  # a row has at most SLOTS entries
+    got = arrow_map(sample, featurise, "lang string, slots binary, n binary").collect()  # a row has at most SLOTS entries
     got.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["n"])))
     names = sorted({r["lang"] for r in got})
     x = Rows([np.frombuffer(r["slots"], np.int16) for r in got], [np.frombuffer(r["n"], np.int32) for r in got])
@@ -181,5 +181,5 @@ def identify(docs: DataFrame, coder: Coder | None = None, rows: int = SAMPLE_ROW
             if pred:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(pred), pa.string()), pa.array(np.concatenate(score).astype(float)), pa.array(np.concatenate(unsure).astype(bool))], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    out = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double, ambiguous boolean")
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")

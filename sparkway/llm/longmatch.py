@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import arrow_map, materialize
 from .fmindex import RunIndex
 from .textvec import POWERS, buffers, byte_keys, chunks, mix
 
@@ -129,7 +129,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 names=["anchor", "print", "doc_id", "p", "m", "own"],
             )
 
-    return docs.mapInArrow(run, "anchor long, print long, doc_id long, p long, m long, own boolean")
+    return arrow_map(docs, run, "anchor long, print long, doc_id long, p long, m long, own boolean")
 
 
 def pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "hot", "doc_id", "p", "m", "bytes"])
 
-    return docs.join(asked, "doc_id").select("doc_id", "text", "w").mapInArrow(run, "anchor long, hot boolean, doc_id long, p long, m long, bytes binary")
+    return arrow_map(docs.join(asked, "doc_id").select("doc_id", "text", "w"), run, "anchor long, hot boolean, doc_id long, p long, m long, bytes binary")
 
 
 def window_hashes(column: pa.Array, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +214,7 @@ def compare(parts: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(pa.concat_tables(held))
 
-    return parts.drop("hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "p").mapInArrow(run, RANGES)
+    return arrow_map(parts.drop("hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "p"), run, RANGES)
 
 
 def compare_hot(parts: DataFrame, length: int) -> DataFrame:
@@ -228,7 +228,7 @@ def compare_hot(parts: DataFrame, length: int) -> DataFrame:
             p = p0[row] + np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             yield pa.RecordBatch.from_arrays([pa.array(mix(h ^ mix(batch.column(0).to_numpy().view(np.uint64))[row]).view(np.int64)), pa.array(doc[row]), pa.array(p)], names=["h", "doc_id", "p"])
 
-    every = parts.select("anchor", "doc_id", "p", "m", "bytes").mapInArrow(run, "h long, doc_id long, p long")
+    every = arrow_map(parts.select("anchor", "doc_id", "p", "m", "bytes"), run, "h long, doc_id long, p long")
     first = every.groupBy("h", "doc_id").agg(F.min("p").alias("fp")).groupBy("h").agg(F.min("doc_id").alias("fd"), F.min_by("fp", "doc_id").alias("fp"), F.count("*").alias("n"))
     later = every.join(first, "h").where((F.col("doc_id") != F.col("fd")) | (F.col("p") != F.col("fp")))
     return later.select("doc_id", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
@@ -284,4 +284,4 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return arrow_map(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions, worker_cache
+from .common import arrow_map, materialize, partitions, worker_cache
 
 CAPACITY = 4096
 #: Chunks in a generation of the encoder's memory.
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA)
+    return arrow_map(docs.select("doc_id", "text"), cut, PIECE_SCHEMA)
 
 
 class Stock:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling
-from .common import crc_mod
+from .common import arrow_map, crc_mod
 from .textvec import ALNUM, NOT_SPACE, byte_class, byte_keys, chunks, span_hash, words
 
 #: Slots of hashed words, and rank of the interactions.
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["y", "slots", "vals", "dense"])
 
     sample = sampling.labelled(docs, labels, "quality", rows).select(F.col("y").cast("int").alias("y"), "text")
-    got = sample.mapInArrow(featurise, "y int, slots binary, vals binary, dense binary").collect()
+    got = arrow_map(sample, featurise, "y int, slots binary, vals binary, dense binary").collect()
     got.sort(key=lambda r: (r["y"], bytes(r["dense"]), bytes(r["slots"])))
     return fit([(r["y"], np.frombuffer(r["slots"], np.int16), np.frombuffer(r["vals"], np.float32), np.frombuffer(r["dense"])) for r in got])
 
@@ -142,7 +142,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
             parts = [machine.scores(*x) for x in features(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    out = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -161,4 +161,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thres
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh
+from .common import arrow_map, fresh
 from .textvec import ALNUM, byte_class, byte_keys, chunks, mix, span_hash, words
 
 REACH, LEAST_PIECES, LEAST_WORDS = 3, 3, 16
@@ -131,7 +131,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
             doc, a, b = (np.concatenate([x[lead], y]) for x, y in ((doc, d), (a, lo), (b, hi)))
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.arange(len(out)) >= len(lead))], names=["h", "doc_id", "a", "b", "own"])
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h long, doc_id long, a int, b int, own boolean")
+    return arrow_map(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "h long, doc_id long, a int, b int, own boolean")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 gone.append(m)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:-1], pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[f.name for f in schema])
 
-    out = both.mapInArrow(run, schema)
+    out = arrow_map(both, run, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(n_all).alias(n_all), F.col(n_gone).alias(n_gone))

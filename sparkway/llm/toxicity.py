@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling
-from .common import crc_mod
+from .common import arrow_map, crc_mod
 from .textvec import ALNUM, byte_class, byte_keys, chunks, span_hash, words
 
 SAMPLE_ROWS = 8000
@@ -257,7 +257,7 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lookup:
             label = y[both["r"]]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(back, label, len(h)).astype(np.int64)), pa.array(np.bincount(back, 1 - label, len(h)).astype(np.int64))], names=["h", "toxic", "clean"])
 
-    parts = sample.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(count, "h long, toxic long, clean long")
+    parts = arrow_map(sample.select(F.col("y").cast("int").alias("y"), "text"), count, "h long, toxic long, clean long")
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     found = parts.groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("w", weight)
     found = found.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= 4 * F.col("clean"))).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "h").limit(LEXICON).collect()
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["fold", "y", "x"])
 
     rest = sample.where(~half | (F.col("fold") == 4)).select(F.col("fold").cast("int").alias("fold"), F.col("y").cast("int").alias("y"), "text")
-    got = sorted(((r["fold"], r["y"], bytes(r["x"])) for r in rest.mapInArrow(featurise, "fold int, y int, x binary").collect()))
+    got = sorted(((r["fold"], r["y"], bytes(r["x"])) for r in arrow_map(rest, featurise, "fold int, y int, x binary").collect()))
     y = np.array([r[1] for r in got], float)
     if len(set(y.tolist())) < 2:
         m.constant = float(y.mean()) if len(y) else 0.0
@@ -301,7 +301,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             parts = [model.scores(x) for x in model.matrix(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    out = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import url_table
+from .common import arrow_map
 from .textvec import byte_keys, chunks, mix, span_hash
 
 #: (host, path, verdict)
@@ -134,6 +135,6 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, training=None)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(1), batch.column(2), weights))], names=schema.names)
 
-    base = base.mapInArrow(run, schema)
+    base = arrow_map(base, run, schema)
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
     return base.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
