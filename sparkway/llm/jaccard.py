@@ -160,7 +160,8 @@ def frequent_grams(base: DataFrame, n_sets: int, share: float = FREQUENT) -> np.
 
 def fragment_rows(docs: DataFrame, k: int, order: Order) -> DataFrame:
     """(n-gram, set, size, place in the order) for the first fragment of each distinct set in a batch."""
-    order = docs.sparkSession.sparkContext.broadcast(order)
+    # The array alone travels: an object of this package in a broadcast would need the package on the executors.
+    num, den, frequent = order.num, order.den, docs.sparkSession.sparkContext.broadcast(order.frequent)
 
     def rows(grams, ids, size):
         reps = [len(x) for x in grams]
@@ -169,6 +170,7 @@ def fragment_rows(docs: DataFrame, k: int, order: Order) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *grams]).view(np.int64)), col(ids, np.int64), col(size, np.int32), place], names=["gram", "a", "n", "p"])
 
     def run(batches):
+        order = Order(num, den, frequent.value)
         for batch in batches:
             seen, grams, ids, size, held = set(), [], [], [], 0
             for g in gram_sets(batch.column(0), k):
@@ -176,7 +178,7 @@ def fragment_rows(docs: DataFrame, k: int, order: Order) -> DataFrame:
                 if s in seen:
                     continue
                 seen.add(s)
-                x = order.value.fragment(g)
+                x = order.fragment(g)
                 grams.append(x)
                 ids.append(s)
                 size.append(len(g))
