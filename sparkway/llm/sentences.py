@@ -16,8 +16,10 @@ of the documents share costs one row a batch. The firsts meet under their hash i
 shuffle. Spans of one document are gathered in one row, bounded by its own text.
 
 Null texts stay null. Rows with a null doc_id are kept as they are. Repeated
-rows of a doc_id are the same document, so they don't remove each other; copies
-under other ids lose all but short texts. An empty table gives no rows.
+rows (one doc_id, one text) are the same document, so they don't remove each other;
+rows of one doc_id with different texts are documents of their own, in the order of
+their texts' hashes. Copies under other ids lose all but short texts. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -93,53 +95,57 @@ def spans(body: np.ndarray, offs: np.ndarray, keys: np.ndarray):
     return row[a], a - rows[row[a]], b - rows[row[a]], mix((acc[wb] - acc[wa]) * down[wa] + (wb - wa).astype(np.uint64))
 
 
-def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """The spans of each document, those that overlap or touch as one."""
-    order = np.lexsort((a, doc))
-    doc, a, b = doc[order], a[order], b[order]
+def merged(doc: np.ndarray, txt: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """The spans of each document (doc_id, hash of its text), those that overlap or touch as one."""
+    order = np.lexsort((a, txt, doc))
+    doc, txt, a, b = doc[order], txt[order], a[order], b[order]
     new = np.ones(len(doc), bool)
-    new[1:] = doc[1:] != doc[:-1]
+    new[1:] = (doc[1:] != doc[:-1]) | (txt[1:] != txt[:-1])
     step = np.cumsum(new) * (int(b.max(initial=0)) + 1)
     top = np.maximum.accumulate(b + step)
     new[1:] |= (a + step)[1:] > top[:-1]
     at = np.flatnonzero(new)
-    return doc[at], a[at], (top - step)[np.append(at[1:], len(doc)) - 1] if len(at) else b
+    return doc[at], txt[at], a[at], (top - step)[np.append(at[1:], len(doc)) - 1] if len(at) else b
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """Batch-first spans (own = false), and those that the batch itself shows to be repeats (own = true, under a hash of their own)."""
+    """Batch-first spans, and those that the batch itself shows to be repeats, under a hash of their own.
+
+    A span [a, b) is one long, a in the upper half; that of a settled repeat is negated and one less.
+    """
 
     def run(batches):
         keys = byte_keys(lower=True)
         for batch in batches:
-            ids, parts = batch.column(0).to_numpy(zero_copy_only=False), []
-            for lo, hi, body, offs in chunks(batch.column(1)):
+            ids, texts, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            for lo, hi, body, offs in chunks(batch.column(2)):
                 row, a, b, h = spans(body, offs, keys)
-                parts.append((h, ids[lo:hi][row].astype(np.int64), a, b))
+                parts.append((h, ids[lo:hi][row], texts[lo:hi][row], a, b))
             if not parts:
                 continue
-            h, doc, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((b, a, doc, h))
+            h, doc, txt, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((b, a, txt, doc, h))
             k = h[order]
             first = np.ones(len(k), bool)
             first[1:] = k[1:] != k[:-1]
             head = np.repeat(order[first], np.diff(np.append(np.flatnonzero(first), len(k))))
-            later = (doc[head] != doc[order]) | (a[head] != a[order])
+            later = (doc[head] != doc[order]) | (txt[head] != txt[order]) | (a[head] != a[order])
             lead, rest = order[first], order[~first & later]
-            d, lo, hi = merged(doc[rest], a[rest], b[rest])
-            out = np.concatenate([h[lead], mix(d.astype(np.uint64) ^ mix(lo.astype(np.uint64)))])
-            doc, a, b = (np.concatenate([x[lead], y]) for x, y in ((doc, d), (a, lo), (b, hi)))
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.arange(len(out)) >= len(lead))], names=["h", "doc_id", "a", "b", "own"])
+            d, t, lo, hi = merged(doc[rest], txt[rest], a[rest], b[rest])
+            out = np.concatenate([h[lead], mix(d.astype(np.uint64) ^ mix(t.view(np.uint64) ^ mix(lo.astype(np.uint64))))])
+            span = np.concatenate([a[lead] << 32 | b[lead], ~(lo << 32 | hi)])
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(np.concatenate([doc[lead], d])), pa.array(np.concatenate([txt[lead], t])), pa.array(span)], names=["h", "doc_id", "txt", "span"])
 
-    return arrow_map(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "h long, doc_id long, a int, b int, own boolean")
+    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("txt"), "text")
+    return arrow_map(named, run, "h long, doc_id long, txt long, span long")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id and its spans [a, b) of pieces that occur earlier, as one array."""
+    """doc_id, hash of the text, and its spans of pieces that occur earlier, as one array of longs as in `span_rows`, none negated."""
     rows = span_rows(docs).repartition("h")
-    first = F.min(F.when(~F.col("own"), F.col("doc_id"))).over(Window.partitionBy("h"))
-    later = rows.withColumn("first", first).where("own or doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    first = F.min(F.when(F.col("span") >= 0, F.struct("doc_id", "txt"))).over(Window.partitionBy("h"))
+    later = rows.withColumn("first", first).where("span < 0 or struct(doc_id, txt) > first")
+    return later.groupBy("doc_id", "txt").agg(F.collect_set(F.expr("if(span < 0, ~span, span)")).alias("spans"))
 
 
 def cut(text: bytes, covered: list[tuple[int, int]], keys: np.ndarray) -> tuple[bytes, int, int]:
@@ -165,9 +171,9 @@ def cut(text: bytes, covered: list[tuple[int, int]], keys: np.ndarray) -> tuple[
 def dedup(docs: DataFrame) -> DataFrame:
     """`docs` with cleaned texts (n_chars, if there, follows), and n_sentences and n_removed."""
     found = repeated(docs)
-    spare, spans_, n_all, n_gone = fresh(docs.columns, "_id", "_spans", "n_sentences", "n_removed")
-    left = docs.select("text", *(F.col(f"`{c}`") for c in docs.columns if c != "text")).withColumn(spare, F.col("doc_id").cast("long"))
-    both = left.join(found.select(F.col("doc_id").alias(spare), F.col("spans").alias(spans_)), spare, "left").drop(spare)
+    spare, txt, spans_, n_all, n_gone = fresh(docs.columns, "_id", "_txt", "_spans", "n_sentences", "n_removed")
+    left = docs.select("text", *(F.col(f"`{c}`") for c in docs.columns if c != "text")).withColumns({spare: F.col("doc_id").cast("long"), txt: F.xxhash64("text")})
+    both = left.join(found.select(F.col("doc_id").alias(spare), F.col("txt").alias(txt), F.col("spans").alias(spans_)), [spare, txt], "left").drop(spare, txt)
     schema = both.drop(spans_).schema.add(n_all, "long").add(n_gone, "long")
 
     def run(batches):
@@ -179,7 +185,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 if t is None:
                     out, k, m = None, 0, 0
                 else:
-                    out, k, m = cut(t.encode(), [(x["a"], x["b"]) for x in c.as_py() or []], keys)
+                    out, k, m = cut(t.encode(), [(x >> 32, x & 0xFFFFFFFF) for x in c.as_py() or []], keys)
                     out = out.decode()
                 texts.append(out)
                 n.append(k)
