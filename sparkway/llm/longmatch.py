@@ -18,7 +18,9 @@ bytes they span:
 3. Covered ranges are merged per document and cut.
 
 Null texts are empty. Rows with a null doc_id are left whole and match nothing.
-Repeated rows of a doc_id are the same document and don't remove each other.
+Repeated rows of a doc_id are the same document and don't remove each other. Of a
+doc_id with several texts the one of least hash takes part; the others are left
+whole and match nothing.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, materialize
+from .common import arrow_map, join_sized, materialize
 from .fmindex import RunIndex
 from .textvec import POWERS, buffers, byte_keys, chunks, mix
 
@@ -252,6 +254,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     return found.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
+def one_text(docs: DataFrame, scope: str) -> DataFrame:
+    """Adds own: whether the row's text takes part, as the one of least hash of its doc_id."""
+    h = F.xxhash64("text")
+    several = docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("_most")).where("least < _most").drop("_most")
+    return join_sized(docs, materialize(several, scope), ["doc_id"]).withColumn("own", F.expr("least is null or xxhash64(text) = least")).drop("least")
+
+
 def union(ranges: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of the ranges."""
     out: list[list[int]] = []
@@ -265,8 +274,9 @@ def union(ranges: list[dict] | None) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, scope: str = "default") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed) of every document."""
-    found = repeats(docs, length, gram, hot, scope)
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left").select("doc_id", "text", "ranges")
+    docs = one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scope)
+    found = repeats(docs.where("own"), length, gram, hot, scope)
+    both = docs.join(found, "doc_id", "left").select("doc_id", "text", F.when(F.col("own"), F.col("ranges")).alias("ranges"))
 
     def run(batches):
         for batch in batches:
