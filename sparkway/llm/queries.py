@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, longmatch, oracles, packing, quality_fm, quality_rules, sentences, toxicity, urlfilter
+from . import decontaminate, filter_audit, jaccard, language, longmatch, minhash, oracles, packing, quality_fm, quality_rules, sentences, sort_means, toxicity, urlfilter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +52,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster(table(spark, sf_dir, "embeddings")).drop("v")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
