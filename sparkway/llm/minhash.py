@@ -14,13 +14,13 @@ sets, in vertical parts of their n-grams, and confirmed pairs are links. Agreeme
 alone never makes a link.
 
 Large buckets. Pairs within a bucket are not written out while it is large: in each
-round the sets of each bucket are compared with up to `HUBS` of its own (one for each
-residue of a hash; of those the one that meets most others), the hubs leave, sets
-take the label of the most linked set that they are similar to, and buckets whose
-remaining sets have one label leave. After `ROUNDS` rounds, or as soon as pairs of
-different labels are few, all of these are compared. Sets with one label are linked,
-so no component is lost; a group of m near copies costs some m pairs. Hubs are found
-by partial aggregates and met by joins on the bucket, which adaptive execution splits.
+round every set is compared with one other, of those in its buckets and in another
+component the one that meets most others (each bucket gives on its best two, of unlike
+components); links are joined into components, and buckets that lie in one component
+leave. After `ROUNDS` rounds, or as soon as pairs of different components are few, all
+of these are compared. Sets of one component are linked already, so no component is
+lost; a group of m near copies costs some m pairs. What a bucket gives on is found by
+partial aggregates and met by joins on the bucket, which adaptive execution splits.
 
 Equal sets are collapsed into one first, in each batch and then by their 64-bit
 hash; n-grams and sets are known by such hashes.
@@ -28,8 +28,8 @@ hash; n-grams and sets are known by such hashes.
 Null texts, and texts without words, have no n-grams and no links. Fewer than k words
 make one n-gram. Very long texts are whole sets like others. Repeated rows are copies,
 each with a row in the result. A null doc_id has no links of its own; it gets the
-component of an equal set, and is kept if it has none. Ties between hubs go to the
-larger hash. An empty table gives no rows. Further columns are not read.
+component of an equal set, and is kept if it has none. Ties between sets that
+meet as many go to the larger hash. An empty table gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -43,14 +43,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize
 from .components import connected
-from .jaccard import gram_sets, labels, parts_of, set_id, similar
+from .jaccard import gram_sets, parts_of, set_id, similar
 from .textvec import mix
 
 HASHES, ROWS, BATCH = 128, 4, 32
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 MISS = 1e-9
-#: Hubs of a bucket in a round; rounds at most before the last; pairs of different labels a row that may be left for it.
-HUBS, ROUNDS, LEFT = 4, 3, 16
+#: Rounds at most before the last; pairs of different components a row that may be left for it.
+ROUNDS, LEFT = 5, 1
 #: N-grams that are hashed at once.
 GRAMS = 1 << 16
 _U = np.uint64
@@ -155,21 +155,36 @@ def survivors(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb"), test, "a long, b long, na int, nb int")
 
 
-def hubs_of(rows: DataFrame) -> DataFrame:
-    """(bucket, hub, hn, hcomp): of each bucket, for each residue the set that meets most others."""
+def one_each(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, na, nb), a < b: each set with the one that meets most others, of those of another component that its buckets give on."""
     size = rows.groupBy("bucket").agg(F.count("*").alias("c"))
     weight = rows.join(size, "bucket").groupBy("a").agg(F.sum("c").alias("w"))
-    top = rows.join(weight, "a").groupBy("bucket", F.expr(f"pmod(xxhash64(a), {HUBS})").alias("r")).agg(F.max(F.struct("w", F.col("a").alias("hub"), F.col("n").alias("hn"), F.col("comp").alias("hcomp"))).alias("m"))
-    return top.select("bucket", "m.hub", "m.hn", "m.hcomp")
+    weighed = rows.join(weight, "a").select("bucket", "comp", F.struct("w", F.col("a").alias("hub"), F.col("n").alias("hn"), F.col("comp").alias("hcomp")).alias("m"))
+    # The best of each component in a bucket, then the best two of these.
+    top = weighed.groupBy("bucket", "comp").agg(F.max("m").alias("m"))
+    first = top.groupBy("bucket").agg(F.max("m").alias("m1"))
+    second = top.join(first, "bucket").where("m.hcomp != m1.hcomp").groupBy("bucket").agg(F.max("m").alias("m2"), F.first("m1").alias("m1"))
+    met = rows.join(second, "bucket").withColumn("m", F.expr("if(comp = m1.hcomp, m2, m1)")).where(fits("n", "m.hn", num, den))
+    best = met.groupBy("a", "n").agg(F.max("m").alias("m")).select("a", "n", "m.hub", "m.hn")
+    return ordered(best)
 
 
-def pairs_of(rows: DataFrame, others: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, na, nb), a < b, of rows and others (bucket, hub, hn, hcomp) in a bucket, with unlike labels and sizes that allow a match."""
-    met = rows.join(others, "bucket").where(f"a != hub and comp != hcomp and least(n, hn) * {den} >= greatest(n, hn) * {num}")
+def fits(n: str, m: str, num: int, den: int) -> str:
+    """Sizes that allow a match."""
+    return f"least({n}, {m}) * {den} >= greatest({n}, {m}) * {num}"
+
+
+def ordered(met: DataFrame) -> DataFrame:
     pair = met.select(F.expr("if(a < hub, struct(a, hub as b, n as na, hn as nb), struct(hub as a, a as b, hn as na, n as nb))").alias("p"))
     return pair.select("p.*").distinct()
 
 
+def all_unlike(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The same for all pairs of sets that share a bucket and not their component."""
+    others = rows.select("bucket", F.col("a").alias("hub"), F.col("n").alias("hn"), F.col("comp").alias("hcomp"))
+    return ordered(rows.join(others, "bucket").where(f"a < hub and comp != hcomp and {fits('n', 'hn', num, den)}"))
+
+
 def unlike_pairs(rows: DataFrame) -> int:
     """How often two sets of a bucket differ in their label."""
     m = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
@@ -186,9 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100,
     total = now.count()
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS or unlike_pairs(now) <= LEFT * total
-        every = now.select("bucket", F.col("a").alias("hub"), F.col("n").alias("hn"), F.col("comp").alias("hcomp"))
-        hubs = every if last else materialize(hubs_of(now), scope)
-        pairs = pairs_of(now, hubs, num, den)
+        pairs = all_unlike(now, num, den) if last else one_each(now, num, den)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, scope)
@@ -198,8 +211,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100,
         links = new if links is None else links.unionByName(new)
         if last:
             break
-        rest = now.join(hubs.select("bucket", F.col("hub").alias("a")), ["bucket", "a"], "left_anti").drop("comp")
-        rest = materialize(rest.join(labels(links), "a", "left").select("bucket", "a", "n", F.coalesce("_comp", "a").alias("comp")), scope)
+        comps = connected(links, scope)
+        rest = now.drop("comp").join(comps.withColumnsRenamed({"node": "a", "comp": "_comp"}), "a", "left").select("bucket", "a", "n", F.coalesce("_comp", "a").alias("comp"))
+        rest = materialize(rest, scope)
         open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         now = materialize(rest.join(open_, "bucket"), scope)
         if now.isEmpty():
