@@ -6,7 +6,7 @@ DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _hits string, _spans string, h long, comp string"
 LONG = "word " * 30_000
 TIED = "One two three four five six seven. Eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen seventeen eighteen. " * 2
-ROWS = [(1, TIED, "en", "s"), (2, TIED, "en", "s"), (3, None, "en", "s"), (4, "", None, None), (5, " \n\t ", "en", None), (6, LONG, "en", "s"), (6, LONG, "en", "s"), (None, TIED, "en", "s"), (7, "short one", "en", "s"), (8, "é" * 300, None, "s"), (9, "123 $$$ !!!", "fr", "s")]
+ROWS = [(1, TIED, "en", "s"), (2, TIED, "en", "s"), (3, None, "en", "s"), (4, "", None, None), (5, " \n\t ", "en", None), (6, LONG, "en", "s"), (6, LONG, "en", "s"), (None, TIED, "en", "s"), (7, "short one", "en", "s"), (8, "é" * 300, None, "s"), (9, "123 $$$ !!!", "fr", "s"), (10, TIED, "en", "s"), (10, "A short one.", "en", "s"), (11, TIED + "And more.", None, "s")]
 
 
 @pytest.fixture(scope="session")
