@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranks
+
 HOUR_S = 3600
 
 
@@ -48,10 +50,10 @@ def coverage_by(sensor: DataFrame, part, name: str) -> DataFrame:
 
 
 def column_inventory(df: DataFrame) -> DataFrame:
-    """Per column: nulls, distinct values, rows; one pass, unpivoted."""
-    cols = df.columns
+    """Per column: its type, nulls, distinct values, rows; one pass, unpivoted."""
+    cols, kinds = df.columns, dict(df.dtypes)
     one = df.agg(F.count("*").alias("_rows"), *(F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols), *(F.count_distinct(c).alias(f"d_{c}") for c in cols))
-    items = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("n_null"), F.col(f"d_{c}").alias("n_distinct"), F.col("_rows").alias("n_rows")) for c in cols))
+    items = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("data_type"), F.col(f"n_{c}").alias("n_null"), F.col(f"d_{c}").alias("n_distinct"), F.col("_rows").alias("n_rows")) for c in cols))
     return one.select(F.inline(items))
 
 
@@ -59,29 +61,23 @@ QUANTILES = (0.01, 0.05, 0.25, 0.75, 0.95, 0.99, 0.999)
 
 
 def profile_aggregates(value: str) -> list[Column]:
-    q = F.percentile(value, [0.5, *QUANTILES])
-    return [F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_samp"), F.stddev_pop(value).alias("std_pop"), q.alias("_q"), (100.0 * F.count_if(F.col(value) == 0) / F.count(value)).alias("zeros_pct")]
+    return [F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_samp"), F.stddev_pop(value).alias("std_pop"), (100.0 * F.count_if(F.col(value) == 0) / F.count(value)).alias("zeros_pct")]
 
 
-def spread_quantiles(df: DataFrame) -> DataFrame:
-    names = ["median", *(f"p{str(q)[2:]}" for q in QUANTILES)]
-    return df.select(*(c for c in df.columns if c != "_q"), *(F.col("_q")[i].alias(n) for i, n in enumerate(names)))
+SHARES = {"median": 0.5} | {f"p{str(q)[2:]}": q for q in QUANTILES}
 
 
 def profile(df: DataFrame, value: str) -> DataFrame:
     """Exact distribution in one row."""
-    return spread_quantiles(df.agg(*profile_aggregates(value)))
+    return ranks.with_quantiles(df.agg(*profile_aggregates(value)), df, value, SHARES)
 
 
 def profile_by(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """The same for each key alone and overall, by grouping sets; `slice` and `key` name the group."""
-    sets = df.groupingSets([[F.col(k)] for k in keys] + [[]], *(F.col(k) for k in keys))
-    out = sets.agg(*profile_aggregates(value), *(F.grouping(k).alias(f"_g_{k}") for k in keys))
-    name, key = F.lit("all"), F.lit("all")
-    for k in keys:
-        name, key = F.when(F.col(f"_g_{k}") == 0, k).otherwise(name), F.when(F.col(f"_g_{k}") == 0, F.col(k).cast("string")).otherwise(key)
-    cols = [c for c in out.columns if c not in keys and not c.startswith("_g_")]
-    return spread_quantiles(out.select(name.alias("slice"), key.alias("key"), *cols))
+    """The same for each key alone and overall; `slice` and `key` name the group."""
+    groups = [F.struct(F.lit("all").alias("slice"), F.lit("all").alias("key")), *(F.struct(F.lit(k).alias("slice"), F.col(k).cast("string").alias("key")) for k in keys)]
+    long = df.select(F.explode(F.array(*groups)).alias("_g"), value).select("_g.slice", "_g.key", value)
+    out = long.groupBy("slice", "key").agg(*profile_aggregates(value))
+    return ranks.with_quantiles(out, long, value, SHARES, ["slice", "key"])
 
 
 def duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,7 +87,7 @@ def duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def ratios(sensor: DataFrame) -> DataFrame:
     """Adds free flow (the segment's 95th percentile) and the ratio to it."""
-    free = sensor.groupBy("seg").agg(F.percentile("speed", 0.95).alias("free_flow"))
+    free = ranks.quantiles(sensor, "speed", {"free_flow": 0.95}, ["seg"])
     return sensor.join(free, "seg").withColumn("ratio", F.try_divide("speed", "free_flow"))
 
 
@@ -127,7 +123,8 @@ def runs(df: DataFrame, key: str, slot: Column) -> DataFrame:
 
 
 def run_summary(islands: DataFrame, key: str) -> DataFrame:
-    return islands.groupBy(key).agg(F.count("*").alias("n_runs"), F.max("length").alias("longest"), F.percentile("length", 0.5).alias("median_length"), F.count_if(F.col("gap") == 1).alias("gaps_1"), F.count_if(F.col("gap") >= 2).alias("gaps_2_plus"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap"))
+    out = islands.groupBy(key).agg(F.count("*").alias("n_runs"), F.max("length").alias("longest"), F.count_if(F.col("gap") == 1).alias("gaps_1"), F.count_if(F.col("gap") >= 2).alias("gaps_2_plus"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap"))
+    return ranks.with_quantiles(out, islands, "length", {"median_length": 0.5}, [key]).select(key, "n_runs", "longest", "median_length", "gaps_1", "gaps_2_plus", "max_gap")
 
 
 def cadence(sensor: DataFrame) -> DataFrame:
@@ -156,7 +153,7 @@ def pooled(acf: DataFrame) -> DataFrame:
 
 def spikes(sensor: DataFrame, times: float = 10.0, share: float = 0.99) -> DataFrame:
     """Values above a global percentile and `times` the hour before, which is there, positive and of the same day."""
-    edge = sensor.agg(F.percentile("speed", share).alias("edge"))
+    edge = ranks.quantiles(sensor, "speed", {"edge": share})
     w = Window.partitionBy("seg", F.to_date("hr")).orderBy("hr")
     d = sensor.select("seg", "hr", "speed", F.lag("speed").over(w).alias("before"), (epoch("hr") - epoch(F.lag("hr").over(w))).alias("_d"))
     return d.join(F.broadcast(edge)).where(f"_d = {HOUR_S} and before > 0 and speed > edge and speed >= {times} * before and hour(hr) != 0").select("seg", "hr", "speed", "before")
@@ -169,7 +166,8 @@ def formula_check(df: DataFrame, reported: Column, length_m: Column, speed_kmh:
 
 def formula_summary(checked: DataFrame) -> DataFrame:
     e = F.col("error_s")
-    return checked.agg(F.count(e).alias("n"), F.avg(e).alias("mean_error"), F.percentile(e, 0.5).alias("median_error"), F.max(e).alias("max_error"), F.count_if(e <= 1).alias("within_1"), F.count_if(e <= 5).alias("within_5"), F.count_if(e <= 0.1 * F.greatest(F.abs("expected_s"), F.lit(1.0))).alias("within_10pct"))
+    out = checked.agg(F.count(e).alias("n"), F.avg(e).alias("mean_error"), F.max(e).alias("max_error"), F.count_if(e <= 1).alias("within_1"), F.count_if(e <= 5).alias("within_5"), F.count_if(e <= 0.1 * F.greatest(F.abs("expected_s"), F.lit(1.0))).alias("within_10pct"))
+    return ranks.with_quantiles(out, checked, "error_s", {"median_error": 0.5}).select("n", "mean_error", "median_error", "max_error", "within_1", "within_5", "within_10pct")
 
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import join_sized
+from . import ranks
+
 LAGS = (1, 2, 3, 6, 12, 24)
 
 
@@ -66,16 +69,15 @@ def calendar(df: DataFrame, time: str = "hr", zone: str | None = None, peaks=PEA
 
 
 def codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Codes by alphabetical order from 0, null as -1; the distinct values are ranked, then joined back."""
-    ranked = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)) - 1)
-    return df.join(F.broadcast(ranked), column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+    """Codes by alphabetical order from 0, null as -1; the distinct values are ranked in ranges, then joined back."""
+    ranked = ranks.positions(df.where(F.col(column).isNotNull()), [column], name)
+    return join_sized(df, ranked, [column]).withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1)))
 
 
 def chronological_split(df: DataFrame, time: str, train: int, validation: int) -> DataFrame:
     """train / val / test by the rank of the distinct timestamp; ranks come from the distinct times alone."""
-    ranked = df.select(time).distinct().withColumn("_r", F.row_number().over(Window.orderBy(time)))
-    part = F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + validation, "val").otherwise("test")
-    return df.join(F.broadcast(ranked.withColumn("split", part).drop("_r")), time)
+    part = F.when(F.col("_r") < train, "train").when(F.col("_r") < train + validation, "val").otherwise("test")
+    return ranks.with_position(df, time, "_r").withColumn("split", part).drop("_r")
 
 
 def historical_mean(train: DataFrame, rows: DataFrame, value: str, keys: list[str], name: str = "historical") -> DataFrame:
@@ -85,12 +87,15 @@ def historical_mean(train: DataFrame, rows: DataFrame, value: str, keys: list[st
     return rows.join(cell, keys, "left").join(F.broadcast(all_)).withColumn(name, F.coalesce("_m", "_a")).drop("_m", "_a")
 
 
-def error_metrics(truth: str, guess: str) -> list[Column]:
+def error_metrics(df: DataFrame, by: list[str], truth: str, guess: str) -> DataFrame:
+    """n, mae, rmse, r2, median_ae and smape of each group; rows without truth or guess count in n alone."""
     t, g = F.col(truth), F.col(guess)
     sse, n = F.sum((t - g) ** 2), F.count("*")
     sst = F.sum(t * t) - n * F.avg(t) ** 2
     both = F.abs(t) + F.abs(g)
-    return [n.alias("n"), F.avg(F.abs(t - g)).alias("mae"), F.sqrt(F.avg((t - g) ** 2)).alias("rmse"), (1 - F.try_divide(sse, sst)).alias("r2"), F.percentile(F.abs(t - g), 0.5).alias("median_ae"), (100 * F.avg(F.when(both == 0, 0.0).otherwise(F.try_divide(2 * F.abs(t - g), both)))).alias("smape")]
+    out = df.groupBy(*by).agg(n.alias("n"), F.avg(F.abs(t - g)).alias("mae"), F.sqrt(F.avg((t - g) ** 2)).alias("rmse"), (1 - F.try_divide(sse, sst)).alias("r2"), (100 * F.avg(F.when(both == 0, 0.0).otherwise(F.try_divide(2 * F.abs(t - g), both)))).alias("smape"))
+    out = ranks.with_quantiles(out, df.select(*by, F.abs(t - g).alias("_e")), "_e", {"median_ae": 0.5}, by)
+    return out.select(*by, "n", "mae", "rmse", "r2", "median_ae", "smape")
 
 
 def sliced(df: DataFrame) -> DataFrame:
@@ -108,16 +113,14 @@ def by_model(df: DataFrame, models: list[str]) -> DataFrame:
 def nearest_in_time(requests: DataFrame, times: DataFrame, request: str, time: str) -> DataFrame:
     """The nearest of the distinct times for each requested one; the earlier wins ties.
 
-    Distinct times of both sides are merged into one ordered stream, along which
-    the last and the next known time are carried. The order is global, over
-    distinct times only, which are few next to the facts.
+    Distinct times of both sides are merged into one order, in ranges, along which
+    the last and the next known time are carried. Null times have no nearest.
     """
     t = times.select(F.col(time).alias("_t")).distinct()
     r = requests.select(F.col(request).alias("_t")).distinct().withColumn("_q", F.lit(True))
     both = t.withColumn("_q", F.lit(False)).unionByName(r)
-    known = F.when(~F.col("_q"), F.col("_t"))
-    w = Window.orderBy("_t", "_q")
-    both = both.withColumns({"_lo": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_hi": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_q")
+    known = both.where("_t is not null").withColumn("_known", F.when(~F.col("_q"), F.col("_t")))
+    both = ranks.carried(known, ["_t", "_q"], "_known").where("_q").withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
     gap = lambda c: F.abs(F.unix_micros(F.col(c).cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")))
     best = F.when(F.col("_hi").isNull() | (gap("_lo") <= gap("_hi")), F.col("_lo")).otherwise(F.coalesce("_hi", "_lo"))
     return requests.join(both.select(F.col("_t").alias(request), best.alias("nearest")), request)
@@ -130,8 +133,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def at_positions(df: DataFrame, order: str, positions: list[int]) -> DataFrame:
     """Rows at positions (from 0) of the distinct values of `order`."""
-    ranked = df.select(order).distinct().withColumn("position", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("position").isin(positions))
-    return df.join(F.broadcast(ranked), order)
+    ranked = ranks.positions(df, [order], "position").where(F.col("position").isin(positions)).withColumn("position", F.col("position").cast("int"))
+    return df.join(F.broadcast(ranked), order)  # a row for each position asked for
 
 
 def closed_range(df: DataFrame, time: str, low: str, high: str) -> DataFrame:
@@ -151,3 +154,8 @@ def finite_or_null(c: Column) -> Column:
 def first_known(value: str, order: Column) -> Column:
     """Aggregate: the first value in order that isn't null."""
     return F.min_by(value, F.when(F.col(value).isNotNull(), order))
+
+
+def with_time_statistics(df: DataFrame, time: str, **aggregates: Column) -> DataFrame:
+    """`df` with statistics of all rows of the same time. Rows without a time have those of none: null."""
+    return join_sized(df, df.where(F.col(time).isNotNull()).groupBy(time).agg(*(c.alias(n) for n, c in aggregates.items())), [time])

@@ -1,26 +1,34 @@
 """Shortest paths, for all origins, destinations and scenarios at once.
 
-`relax` is the default: frontier relaxation on DataFrames, no graph in memory
-anywhere, one shuffle a round. `routes` runs a heap search a request in
-`mapInPandas`, with the graph sent to the executors once it was counted and
-found small; larger graphs go by `relax`. Ties: the smaller (u, key) is kept.
+`relax` works on DataFrames, with no graph in memory anywhere: labels are settled by
+buckets of cost; settled labels are appended and never written again. Graphs that were
+counted and found to have at most `MAX_EDGES` edges are sent to the executors as sorted
+arrays, once, and searched there (`csr`): one search serves all targets of a source.
+Both ways give the same rows: ties go to the smaller (u, key).
+
+Edges with a null weight don't exist; weights of zero and under count as `LEAST`. A
+source that is its own target costs 0 and visits 1 node. Unreachable targets have a null
+cost and empty paths. Repeated requests each get a row. Null sources or targets reach
+nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinematics as K
 from ..scratch import materialize
+from . import csr
 
+#: Edges up to which a graph is sent to the executors: some 40 MB of arrays, and the names of its nodes.
 MAX_EDGES = 2_000_000
 LEAST = 1e-4
+REACH_NAMES = ["scenario", "source", "node", "cost", "pred_u", "pred_key"]
+REACH_TYPES = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
 
 
 def usable(weights: DataFrame) -> DataFrame:
@@ -28,23 +36,88 @@ def usable(weights: DataFrame) -> DataFrame:
     return weights.where(F.col("weight").isNotNull()).withColumn("weight", F.when(F.col("weight") <= 0, LEAST).otherwise(F.col("weight")))
 
 
-def relax(weights: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """scenario, source, node, cost, pred_u, pred_key, hops; weights: scenario, u, v, key, weight; sources: scenario, source."""
+def bucket_width(edges: DataFrame) -> float:
+    """Cost that one bucket spans: that of some eight edges, so that buckets are few and hold few labels twice."""
+    return 8 * (edges.agg(F.avg("weight")).first()[0] or 1.0)
+
+
+def relax(weights: DataFrame, sources: DataFrame, max_rounds: int | None = None, width: float | None = None) -> DataFrame:
+    """scenario, source, node, cost, pred_u, pred_key, hops; weights: scenario, u, v, key, weight; sources: scenario, source.
+
+    Open labels under the bucket's bound go out along their edges until none of them
+    changes, then they are settled: appended as they are, and only asked after. What is
+    written each round is the open labels alone. With `max_rounds` there is one bucket,
+    and costs are the least of so many edges.
+    """
     edges = materialize(usable(weights).select("scenario", "u", "v", "key", "weight"))
-    keys = ["scenario", "source", "node"]
-    best = sources.select("scenario", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["u"].dataType).alias("pred_u"), F.lit(None).cast("int").alias("pred_key"), F.lit(0).alias("hops"))
-    frontier = best = materialize(best)
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        step = frontier.withColumnRenamed("node", "u").join(edges, ["scenario", "u"]).select("scenario", "source", F.col("v").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("u").alias("pred_u"), F.col("key").cast("int").alias("pred_key"), (F.col("hops") + 1).alias("hops"))
-        step = step.groupBy(*keys).agg(F.min(F.struct("cost", "pred_u", "pred_key", "hops")).alias("_s")).select(*keys, "_s.*")
-        old = best.select(*keys, F.col("cost").alias("_c"))
-        frontier = materialize(step.join(old, keys, "left").where("_c is null or cost < _c").drop("_c"))
-        if frontier.isEmpty():
+    keys, label = ["scenario", "source", "node"], ["cost", "pred_u", "pred_key", "hops"]
+    width = float("inf") if max_rounds is not None else width or bucket_width(edges)
+    kind = edges.schema["u"].dataType
+    open_ = sources.where("source is not null").select("scenario", "source").distinct().select("scenario", "source", F.col("source").cast(kind).alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("pred_u"), F.lit(None).cast("int").alias("pred_key"), F.lit(0).alias("hops"), F.lit(True).alias("fresh"))
+    open_, settled, bound, rounds = materialize(open_), None, width, 0
+    while True:
+        least, going = open_.agg(F.min("cost"), F.count_if(F.col("fresh") & (F.col("cost") < bound))).first()
+        if least is None or max_rounds is not None and rounds >= max_rounds:
             break
-        best = materialize(best.join(frontier, keys, "left_anti").unionByName(frontier))
-    return best
+        if not going:
+            done = materialize(open_.where(F.col("cost") < bound).select(*keys, *label))
+            settled = done if settled is None else settled.unionByName(done)
+            open_ = materialize(open_.where(F.col("cost") >= bound))
+            least = open_.agg(F.min("cost")).first()[0]
+            if least is None:
+                break
+            bound = (least // width + 1) * width
+            continue
+        rounds += 1
+        now = F.col("fresh") & (F.col("cost") < bound)
+        step = open_.where(now).withColumnRenamed("node", "u").join(edges, ["scenario", "u"]).select("scenario", "source", F.col("v").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("u").alias("pred_u"), F.col("key").cast("int").alias("pred_key"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("fresh"))
+        if settled is not None:
+            step = step.join(settled.select(*keys), keys, "left_anti")
+        # Of equal labels the one that has gone out already stays.
+        both = open_.withColumn("fresh", F.col("fresh") & ~now).unionByName(step)
+        open_ = materialize(both.groupBy(*keys).agg(F.min(F.struct(*label, "fresh")).alias("_s")).select(*keys, "_s.*"))
+    rest = open_.select(*keys, *label)
+    return rest if settled is None else settled.unionByName(rest)
+
+
+def reach(weights: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """scenario, source, node, cost, pred_u, pred_key of all nodes that each source reaches; in memory if the graph is small enough."""
+    ask = sources.where("source is not null").select("scenario", "source").distinct()
+    built = csr.build(usable(weights).select("scenario", "u", "v", "key", "weight"), MAX_EDGES if limit is None else limit)
+    if built is None:
+        return relax(weights, ask).drop("hops")
+    names, sent = built[0], ask.sparkSession.sparkContext.broadcast(built)
+
+    def run(batches):
+        names, arrays = sent.value
+        for batch in batches:
+            for s, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                i = number(names, a)
+                if s not in arrays or i is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((s, a, a, 0.0, None, None), REACH_TYPES, strict=True)], names=REACH_NAMES)
+                    continue
+                g = csr.Arrays(*arrays[s])
+                cost = csr.search(g, i)
+                by = csr.predecessors(g, cost, i)
+                at = np.flatnonzero(np.isfinite(cost))
+                e = by[at]
+                none = e < 0
+                tail = np.searchsorted(g.first, e, "right") - 1
+                cols = ([s] * len(at), [a] * len(at), names[at], cost[at], np.where(none, None, names[np.where(none, 0, tail)]), pa.array(g.key[np.where(none, 0, e)] if len(g.key) else np.zeros(len(at), np.int32), pa.int32(), mask=none))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, REACH_TYPES, strict=True)], names=REACH_NAMES)
+
+    dealt = ask.repartition(ask.sparkSession.sparkContext.defaultParallelism, "scenario", "source")
+    return dealt.select("scenario", "source").mapInArrow(run, "scenario string, source string, node string, cost double, pred_u string, pred_key int")
+
+
+def trees(weights: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
+    """scenario, target, node, remaining_s, next_v, next_key: the cost from every node to each target, and the best route's first edge from there.
+
+    One search over the edges turned round for each (scenario, target); ties go to the smaller (next_v, next_key).
+    """
+    turned = weights.select("scenario", F.col("v").alias("u"), F.col("u").alias("v"), "key", "weight")
+    found = reach(turned, targets.select("scenario", F.col("target").alias("source")), limit)
+    return found.select("scenario", F.col("source").alias("target"), "node", F.col("cost").alias("remaining_s"), F.col("pred_u").alias("next_v"), F.col("pred_key").alias("next_key"))
 
 
 def hop_bounded(weights: DataFrame, depth: int, fanout: int | None = None) -> DataFrame:
@@ -66,63 +139,12 @@ EDGE_PATH = "array<struct<u:string,v:string,key:int>>"
 ROUTE = f"cost double, visited int, is_reached boolean, node_path array<string>, edge_path {EDGE_PATH}"
 
 
-class Graph:
-    """Adjacency of one scenario, in (v, key) order."""
-
-    def __init__(self, rows, coordinates: dict | None = None) -> None:
-        self.out: dict[str, list[tuple[str, int, float]]] = defaultdict(list)
-        for u, v, key, w in sorted(rows):
-            self.out[u].append((v, key, w))
-        self.at = coordinates or {}
-
-    def guess(self, a: str, b: str, metres_per_s: float) -> float:
-        """Straight-line seconds, 0 where coordinates are missing."""
-        if a not in self.at or b not in self.at:
-            return 0.0
-        (y1, x1), (y2, x2) = self.at[a], self.at[b]
-        p, q = math.radians(y1), math.radians(y2)
-        s = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(x2 - x1) / 2) ** 2
-        return 2 * 6_371_000.0 * math.atan2(math.sqrt(s), math.sqrt(1 - s)) / metres_per_s
-
-    def route(self, source: str, target: str, free_kmh: float | None = None) -> dict:
-        """Best-first search; with `free_kmh`, guided by the remaining straight line (A*)."""
-        speed = max((free_kmh or 0) / 3.6, 1.0)
-        ahead = (lambda n: self.guess(n, target, speed)) if free_kmh else (lambda n: 0.0)
-        cost, came, done = {source: 0.0}, {}, set()
-        heap = [(ahead(source), source)]
-        while heap:
-            _, u = heapq.heappop(heap)
-            if u in done:
-                continue
-            done.add(u)
-            if u == target:
-                break
-            for v, key, w in self.out.get(u, ()):
-                c = cost[u] + w
-                if c < cost.get(v, math.inf):
-                    cost[v], came[v] = c, (u, key)
-                    done.discard(v)
-                    heapq.heappush(heap, (c + ahead(v), v))
-        if target not in done:
-            return {"cost": None, "visited": len(done), "is_reached": False, "node_path": [], "edge_path": []}
-        nodes, edges = [target], []
-        while nodes[-1] != source:
-            u, key = came[nodes[-1]]
-            edges.append({"u": u, "v": nodes[-1], "key": key})
-            nodes.append(u)
-        return {"cost": cost[target], "visited": len(done), "is_reached": True, "node_path": nodes[::-1], "edge_path": edges[::-1]}
-
-
-def graphs(weights: DataFrame, nodes: DataFrame | None = None, limit: int = MAX_EDGES) -> dict[str, Graph] | None:
-    """Graphs by scenario if all edges together are at most `limit`, else None."""
-    e = usable(weights).select("scenario", "u", "v", "key", "weight")
-    if e.limit(limit + 1).count() > limit:
+def number(names: np.ndarray, node: str | None) -> int | None:
+    """The place of a node among the names in order, if it is there."""
+    if node is None:
         return None
-    rows = defaultdict(list)
-    for r in e.collect():
-        rows[r["scenario"]].append((r["u"], r["v"], r["key"], r["weight"]))
-    at = {r["node"]: (r["lat"], r["lon"]) for r in nodes.collect() if r["lat"] is not None and r["lon"] is not None} if nodes is not None else {}
-    return {k: Graph(v, at) for k, v in rows.items()}
+    i = int(np.searchsorted(names, node))
+    return i if i < len(names) and names[i] == node else None
 
 
 def guide_speed(weights: DataFrame, nodes: DataFrame) -> float:
@@ -133,37 +155,104 @@ def guide_speed(weights: DataFrame, nodes: DataFrame) -> float:
     return max(3.6, (top or 0.0) * (1 + 1e-9))
 
 
-def routes(requests: DataFrame, weights: DataFrame, nodes: DataFrame | None = None, free_kmh: float | None = None) -> DataFrame:
-    """Adds cost, visited, is_reached, node_path, edge_path to requests (scenario, source, target, ...)."""
-    known = graphs(weights, nodes)
-    if known is None:
-        return by_relaxation(requests, weights)
+def routes(requests: DataFrame, weights: DataFrame, nodes: DataFrame | None = None, guided: bool = False, limit: int | None = None) -> DataFrame:
+    """Adds cost, visited, is_reached, node_path, edge_path to requests (scenario, source, target, ...).
+
+    `visited` counts the nodes that a heap search settles before it ends; with `guided`
+    (A*) by cost and the straight line at the speed of the edge that gains most (see
+    `guide_speed`), so that costs stay least. `nodes`: node, lat, lon.
+    """
+    speed = guide_speed(weights, nodes) / 3.6 if guided else None
+    built = csr.build(usable(weights).select("scenario", "u", "v", "key", "weight"), MAX_EDGES if limit is None else limit)
+    if built is None:
+        return by_relaxation(requests, weights, nodes, speed)
+    names, at = built[0], np.full((2, len(built[0])), np.nan)
+    if guided:
+        # No more nodes than ends of edges are asked for.
+        known = nodes.join(usable(weights).selectExpr("explode(array(u, v)) as node").distinct(), "node", "left_semi").dropna(subset=["lat", "lon"]).select("node", "lat", "lon").toArrow()
+        i = np.searchsorted(names, known.column(0).to_numpy())
+        at[:, i] = known.column(1).to_numpy(), known.column(2).to_numpy()
+    sent = requests.sparkSession.sparkContext.broadcast((*built, at))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", " + ROUTE
-    empty = Graph([])
+
+    def lost(visited: int) -> tuple:
+        return None, visited, False, [], []
+
+    def answer(names, arrays, at, s, a, targets):
+        """Rows of one source's targets."""
+        i = number(names, a)
+        if s not in arrays or i is None:
+            return {t: (0.0, 1, True, [a], []) if a is not None and t == a else lost(int(a is not None)) for t in targets}
+        g, out = csr.Arrays(*arrays[s]), {}
+        ends = {t: number(names, t) for t in targets}
+        known = np.array([x for x in ends.values() if x is not None], np.int64)
+        cost = None if guided else csr.search(g, i, known if len(known) == len(ends) else None)
+        by = None if guided else csr.predecessors(g, cost, i, cost[known].max(initial=0))
+        for t, j in ends.items():
+            h = None
+            if guided and j is not None:
+                h = csr.straight(at[0], at[1], j, speed)
+                cost = csr.search(g, i, np.array([j]), h)
+                by = csr.predecessors(g, cost, i, cost[j])
+            elif guided:
+                cost = csr.search(g, i)
+            if j is None or not np.isfinite(cost[j]):
+                out[t] = lost(int(np.isfinite(cost).sum()))
+                continue
+            e = csr.path(g, by, i, j)
+            path = [a, *names[g.head[e]].tolist()]
+            out[t] = float(cost[j]), csr.settled(cost, j, h), True, path, [{"u": x, "v": y, "key": int(k)} for x, y, k in zip(path, path[1:], g.key[e], strict=False)]
+        return out
 
     def run(parts):
+        names, arrays, at = sent.value
         for p in parts:
-            found = [known.get(s, empty).route(a, b, free_kmh) for s, a, b in zip(p["scenario"], p["source"], p["target"], strict=True)]
-            yield pd.concat([p.reset_index(drop=True), pd.DataFrame(found, columns=["cost", "visited", "is_reached", "node_path", "edge_path"])], axis=1)
+            p = p.reset_index(drop=True)
+            found = [None] * len(p)
+            for (s, a), q in p.groupby(["scenario", "source"], dropna=False, sort=False):
+                rows = answer(names, arrays, at, s if isinstance(s, str) else None, a if isinstance(a, str) else None, dict.fromkeys(q["target"]))
+                for at_row, t in zip(q.index, q["target"], strict=True):
+                    found[at_row] = rows[t]
+            yield pd.concat([p, pd.DataFrame(found, columns=["cost", "visited", "is_reached", "node_path", "edge_path"])], axis=1)
 
-    return requests.mapInPandas(run, schema)
+    # Requests of one source come together; those of a source that many have are cut by target.
+    dealt = requests.repartitionByRange(requests.sparkSession.sparkContext.defaultParallelism, "scenario", "source", "target")
+    return dealt.mapInPandas(run, schema)
 
 
-def by_relaxation(requests: DataFrame, weights: DataFrame) -> DataFrame:
+def by_relaxation(requests: DataFrame, weights: DataFrame, nodes: DataFrame | None = None, metres_per_s: float | None = None) -> DataFrame:
     """The same without the graph in memory: relaxation, then the paths followed back a join a hop."""
     best = materialize(relax(weights, requests.select("scenario", "source").distinct()))
     keys = ["scenario", "source", "target"]
-    ends = requests.select(*keys).distinct().join(best.select("scenario", "source", F.col("node").alias("target"), "cost", "hops"), keys, "left")
+    ends = materialize(requests.select(*keys).distinct().join(best.select("scenario", "source", F.col("node").alias("target"), "cost"), keys, "left"))
+    every = ends.join(best.select("scenario", "source", "node", F.col("cost").alias("_c")), ["scenario", "source"])
+    f, end = F.col("_c"), F.col("cost")
+    if metres_per_s is not None:
+        a, b = (nodes.select(F.col("node").alias(n), F.col("lat").alias(f"_y{n}"), F.col("lon").alias(f"_x{n}")) for n in ("node", "target"))
+        every = every.join(a, "node", "left").join(b, "target", "left")
+        f = f + F.coalesce(K.haversine(F.col("_ynode"), F.col("_xnode"), F.col("_ytarget"), F.col("_xtarget")) / metres_per_s, F.lit(0.0))
+    before = end.isNull() | (f < end) | (f == end) & (F.col("node") <= F.col("target"))
+    counted = every.where(before).groupBy(*keys).agg(F.count("*").cast("int").alias("visited"))
     empty = F.expr(f"cast(array() as {EDGE_PATH})")
-    walk = ends.withColumns({"at": F.when(F.col("cost").isNotNull(), F.col("target")), "edge_path": empty})
-    steps = best.select("scenario", "source", F.col("node").alias("at"), "pred_u", "pred_key")
-    for _ in range(int(ends.agg(F.max("hops")).first()[0] or 0)):
-        moved = walk.join(steps, ["scenario", "source", "at"], "left")
+    walk = materialize(ends.withColumns({"at": F.when(F.col("cost").isNotNull(), F.col("target")), "edge_path": empty}))
+    steps, arrived = best.select("scenario", "source", F.col("node").alias("at"), "pred_u", "pred_key"), []
+    while True:
+        arrived.append(walk.where("at is null or at = source").drop("at"))
+        walk = walk.where("at <> source")
+        if walk.isEmpty():
+            break
         edge = F.array(F.struct(F.col("pred_u").alias("u"), F.col("at").alias("v"), F.col("pred_key").alias("key")))
-        walk = materialize(moved.withColumns({"edge_path": F.when(F.col("pred_u").isNotNull(), F.concat(edge, "edge_path")).otherwise(F.col("edge_path")), "at": F.coalesce("pred_u", "at")}).drop("pred_u", "pred_key"))
-    nodes = F.concat(F.array("source"), F.transform("edge_path", lambda e: e["v"]))
-    done = walk.select(*keys, "cost", F.lit(None).cast("int").alias("visited"), F.col("cost").isNotNull().alias("is_reached"), F.when(F.col("cost").isNotNull(), nodes).otherwise(F.expr("cast(array() as array<string>)")).alias("node_path"), "edge_path")
-    return requests.join(done, keys, "left")
+        walk = materialize(walk.join(steps, ["scenario", "source", "at"]).withColumns({"edge_path": F.concat(edge, "edge_path"), "at": F.col("pred_u")}).drop("pred_u", "pred_key"))
+    done = arrived[0]
+    for more in arrived[1:]:
+        done = done.unionByName(more)
+    path = F.concat(F.array("source"), F.transform("edge_path", lambda e: e["v"]))
+    seen = counted.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.col("scenario").eqNullSafe(F.col("_scenario")) & F.col("source").eqNullSafe(F.col("_source")) & F.col("target").eqNullSafe(F.col("_target"))
+    done = done.join(seen, same, "left").select(*keys, "cost", F.coalesce("visited", F.when(F.col("source").isNull(), 0).otherwise(1)).alias("visited"), F.col("cost").isNotNull().alias("is_reached"), F.when(F.col("cost").isNotNull(), path).otherwise(F.expr("cast(array() as array<string>)")).alias("node_path"), "edge_path")
+    both, row = requests.alias("r"), done.alias("d")
+    same = F.col("r.scenario").eqNullSafe(F.col("d.scenario")) & F.col("r.source").eqNullSafe(F.col("d.source")) & F.col("r.target").eqNullSafe(F.col("d.target"))
+    return both.join(row, same, "left").select("r.*", *(F.col(f"d.{c}") for c in ("cost", "visited", "is_reached", "node_path", "edge_path")))
 
 
 def path_cost(paths: DataFrame, weights: DataFrame, keys: list[str], name: str, value: str = "weight", default: float = 0.0, path: str = "edge_path") -> DataFrame:

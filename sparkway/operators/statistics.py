@@ -1,25 +1,13 @@
-"""Correlations and paired tests: moments and ranks in Spark, p-values from one row of numbers."""
+"""Correlations and paired tests, by group: moments, distributed ranks, and p-values as columns."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 
-def average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks from 1, ties at their mean. Counts by value are ranked, not the rows."""
-    by = by or []
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = (Window.partitionBy(*by) if by else Window).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    keys = [*by, value]
-    ranked = counts.withColumn(name, F.sum("_n").over(w) - (F.col("_n") - 1) / 2).select(*(F.col(c).alias(f"_k_{c}") for c in keys), name)
-    on = F.lit(True)
-    for c in keys:
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return df.join(ranked, on).drop(*(f"_k_{c}" for c in keys))
+from ..functions import tails as K
+from ..scratch import join_sized, materialize
+from .ranks import average_rank, with_quantiles
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -29,87 +17,58 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
 
 
-def paired(df: DataFrame, a: str, b: str, least: float = 1e-4) -> DataFrame:
-    """Statistics of d = a - b: means, spread, interval, Cohen's d, t, skewness and kurtosis, and the signed-rank sums of |d| > least."""
-    d = df.select((F.col(a) - F.col(b)).alias("d")).where("d is not null")
-    n, std = F.count("d"), F.stddev_samp("d")
-    centre = d.agg(F.avg("d").alias("_m"))
-    m = d.join(F.broadcast(centre)).withColumn("_c", F.col("d") - F.col("_m"))
-    one = m.agg(n.alias("n"), F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), std.alias("std"), F.avg(F.col("_c") ** 2).alias("m2"), F.avg(F.col("_c") ** 3).alias("m3"), F.avg(F.col("_c") ** 4).alias("m4"))
-    se = F.try_divide(F.col("std"), F.sqrt("n"))
-    one = one.withColumns({"ci_low": F.col("mean") - 1.96 * se, "ci_high": F.col("mean") + 1.96 * se, "cohens_d": F.try_divide("mean", "std"), "t": F.try_divide(F.col("mean"), se), "skewness": F.try_divide(F.col("m3"), F.col("m2") ** 1.5), "kurtosis": F.try_divide(F.col("m4"), F.col("m2") ** 2)})
-    moved = d.where(F.abs("d") > least).withColumn("_a", F.abs("d"))
-    ranked = average_rank(moved, "_a", "_r")
-    ties = moved.groupBy("_a").agg(F.count("*").alias("_k")).agg(F.coalesce(F.sum(F.col("_k") * F.col("_k") * F.col("_k") - F.col("_k")), F.lit(0)).alias("tie_sum"))
-    ranks = ranked.agg(F.count("*").alias("n_moved"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"))
-    return one.drop("m2", "m3", "m4").join(F.broadcast(ranks)).join(F.broadcast(ties))
-
-
-def normal_tail(z: float) -> float:
-    """Two-sided."""
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_fraction(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    c, d = 1.0, 1 / max(1e-300, abs(1 - (a + b) * x / (a + 1))) * (1 if 1 - (a + b) * x / (a + 1) >= 0 else -1)
-    out = d
-    for m in range(1, 400):
-        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + k * d or 1e-300)
-            c = 1 + k / (c or 1e-300)
-            out *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * out
+def correlations_by(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """by, n, pearson, pearson_p, spearman, spearman_p of the complete pairs of each group."""
+    d = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    r = average_rank(average_rank(d, x, "_rx", by), y, "_ry", by)
+    g = r.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+    p = {f"{c}_p": K.correlation_p(F.col(c), F.col("n")) for c in ("pearson", "spearman")}
+    return g.withColumns(p).select(*by, "n", "pearson", "pearson_p", "spearman", "spearman_p")
 
 
-def t_tail(t: float, df: float) -> float:
-    """Two-sided p of Student's t."""
-    return beta_fraction(df / 2, 0.5, df / (df + t * t))
+def paired(df: DataFrame, a: str, b: str, by: list[str] | None = None, least: float = 1e-4) -> DataFrame:
+    """Statistics of d = a - b, of each group of `by` or in one row: means, spread, interval, Cohen's d, t, skewness and kurtosis, and the signed-rank sums of |d| > least.
 
-
-def k_squared(n: int, skew: float, kurt: float) -> tuple[float, float]:
-    """Omnibus normality statistic from skewness and kurtosis, and its p (n of 8 and more)."""
-    y = skew * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + math.sqrt(2 * (b2 - 1))
-    zs = 1 / math.sqrt(0.5 * math.log(w2)) * math.asinh(y / math.sqrt(2 / (w2 - 1)))
-    mean, var = 3 * (n - 1) / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
-    x = (kurt - mean) / math.sqrt(var)
-    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / root * (2 / root + math.sqrt(1 + 4 / root**2))
-    denominator = 1 + x * math.sqrt(2 / (a - 4))
-    zk = ((1 - 2 / (9 * a)) - math.copysign(abs((1 - 2 / a) / abs(denominator)) ** (1 / 3), denominator)) / math.sqrt(2 / (9 * a))
-    k2 = zs * zs + zk * zk
-    return k2, math.exp(-k2 / 2)
-
-
-def signed_rank_p(n: int, w: float, tie_sum: float) -> float:
-    """Two-sided p of the smaller rank sum: exact up to 25 without ties, else the normal approximation."""
-    if n == 0:
-        return 1.0
-    if n <= 25 and tie_sum == 0:
-        ways = [1] + [0] * (n * (n + 1) // 2)
-        for k in range(1, n + 1):
-            for s in range(len(ways) - 1, k - 1, -1):
-                ways[s] += ways[s - k]
-        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
-    var = n * (n + 1) * (2 * n + 1) / 24 - tie_sum / 48
-    return normal_tail((w - n * (n + 1) / 4) / math.sqrt(var))
-
-
-def verdict(row: dict) -> dict:
-    """p-values and the test to rely on, from one row of `paired`."""
-    n = row["n"]
-    normal = k_squared(n, row["skewness"], row["kurtosis"])[1] if n >= 20 and row["skewness"] is not None else None
-    w = min(row["w_plus"], row["w_minus"])
-    t_p, w_p = t_tail(row["t"], n - 1) if row["t"] is not None and n > 1 else None, signed_rank_p(row["n_moved"], w, row["tie_sum"])
-    primary = "paired_t" if normal is not None and normal > 0.05 else "signed_rank"
-    p = t_p if primary == "paired_t" else w_p
-    return {"normality_p": normal, "t_p": t_p, "signed_rank_w": w, "signed_rank_p": w_p, "primary": primary, "significant_1pct": p is not None and p < 0.01}
+    Ratios to a spread of zero are null, and so are skewness and kurtosis then. Rows
+    without a or b are left out.
+    """
+    by = by or []
+    one_group = F.lit(0).alias("_all")
+    keys = by or ["_all"]
+    d = materialize(df.select(*(by or [one_group]), (F.col(a) - F.col(b)).alias("d")).where("d is not null"))
+    centre = d.groupBy(*keys).agg(F.avg("d").alias("_m"))
+    m = join_sized(d, centre, keys).withColumn("_c", F.col("d") - F.col("_m"))
+    one = m.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"), F.avg(F.col("_c") ** 2).alias("m2"), F.avg(F.col("_c") ** 3).alias("m3"), F.avg(F.col("_c") ** 4).alias("m4"))
+    one = with_quantiles(one, d, "d", {"median": 0.5}, keys)
+    se = F.try_divide(F.col("std"), F.sqrt("n"))
+    one = one.select(*keys, "n", "mean", "median", "std", (F.col("mean") - 1.96 * se).alias("ci_low"), (F.col("mean") + 1.96 * se).alias("ci_high"), F.try_divide("mean", "std").alias("cohens_d"), F.try_divide(F.col("mean"), se).alias("t"), F.try_divide(F.col("m3"), F.col("m2") ** 1.5).alias("skewness"), F.try_divide(F.col("m4"), F.col("m2") ** 2).alias("kurtosis"))
+    moved = d.where(F.abs("d") > least).withColumn("_a", F.abs("d"))
+    ranked = average_rank(moved, "_a", "_r", keys)
+    ties = moved.groupBy(*keys, "_a").agg(F.count("*").alias("_k")).groupBy(*keys).agg(F.sum(F.col("_k") * F.col("_k") * F.col("_k") - F.col("_k")).alias("tie_sum"))
+    ranks = ranked.groupBy(*keys).agg(F.count("*").alias("n_moved"), F.sum(F.when(F.col("d") > 0, F.col("_r"))).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("_r"))).alias("w_minus"))
+    out = one.join(ranks, keys, "left").join(ties, keys, "left").fillna(0, ["n_moved", "w_plus", "w_minus", "tie_sum"])
+    return out.drop("_all")
+
+
+def small_samples(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """by and `shapiro` (w, p) of d = a - b, for the groups of at most `SMALL` rows; only these are gathered."""
+    d = df.select(*by, (F.col(a) - F.col(b)).alias("d")).where("d is not null")
+    few = d.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") <= K.SMALL).drop("_n")
+    some = d.join(few, by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list("d")).alias("_d"))
+    return some.select(*by, K.shapiro(F.col("_d")).alias("shapiro"))
+
+
+def verdicts(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """`paired` of each group with p-values, the test to rely on, and whether it is significant.
+
+    The difference counts as normal from p = 0.05 on: by Shapiro and Wilk's test in groups
+    of under 20, by the omnibus test in others. Normal differences go by the t test,
+    others, and those without a p, by signed ranks.
+    """
+    s = paired(df, a, b, by).join(small_samples(df, a, b, by), by, "left")
+    w = F.least("w_plus", "w_minus")
+    s = s.withColumns({"normality_p": F.coalesce(F.col("shapiro.p"), F.when(F.col("n") > K.SMALL, K.k_squared_p(F.col("n"), F.col("skewness"), F.col("kurtosis")))), "t_p": K.t_tail(F.col("t"), (F.col("n") - 1).cast("double")), "signed_rank_p": K.signed_rank_p(F.col("n_moved"), w, F.col("tie_sum"))})
+    normal = F.coalesce(F.col("normality_p") >= 0.05, F.lit(False))
+    p = F.when(normal, F.col("t_p")).otherwise(F.col("signed_rank_p"))
+    level = F.when(p < 0.01, "p < 0.01").when(p < 0.05, "p < 0.05").otherwise("not significant")
+    return s.withColumns({"signed_rank_w": w, "primary": F.when(normal, "paired_t").otherwise("signed_rank"), "verdict": level}).drop("shapiro")

@@ -1,18 +1,19 @@
-"""Step-by-step walking: two candidates a hop, several ways to choose, recovery from cycles and dead ends."""
+"""Steps over a network: the two best edges on, walks that all requests take together, and timelines of given paths.
 
-from __future__ import annotations
+Edges with a null weight are not left out here: give usable ones. Ties go to the smaller
+(v, key). Empty tables give no rows.
+"""
 
-import math
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kinematics as K
 from ..scratch import materialize
-from .routing import EDGE_PATH, Graph, graphs
 
+# Fixed values, which results must share: what a node seen, a turn back, a node without unseen neighbours and a node without edges cost.
 VISITED_PENALTY, REVERSAL_PENALTY = 1000.0, 1e6
 NO_WAY_ON, DEAD_END = 1e5, 1e6
 
@@ -88,101 +89,6 @@ def greedy_walk(requests: DataFrame, weights: DataFrame, nodes: DataFrame | None
     return state.select("id", "source", "target", "path", "cost", (F.size("path") - 1).alias("hops"), (F.col("at") == F.col("target")).alias("arrived"))
 
 
-JOURNEY = f"path array<string>, edge_path {EDGE_PATH}, travel_s double, hops int, decisions int, recoveries int, arrived boolean, reason string"
-
-
-class Walker:
-    """One journey on a graph held in memory; `choose` is greedy, destination_aware, lookahead or adaptive."""
-
-    def __init__(self, graph: Graph, choose: str, depth: int = 2, alpha: float = 1.0, free_kmh: float = 25.0, max_visits: int = 2, slow_kmh: float = 25.0, speeds: dict | None = None) -> None:
-        self.g, self.choose, self.depth, self.alpha, self.max_visits, self.slow = graph, choose, depth, alpha, max_visits, slow_kmh
-        self.metres, self.speeds = max(free_kmh / 3.6, 1.0), speeds or {}
-
-    def ahead(self, node: str, target: str) -> float:
-        return self.g.guess(node, target, self.metres)
-
-    def look(self, node: str, target: str, depth: int, seen: frozenset) -> float:
-        """Least cost of up to `depth` further edges and the rest of the way, by the four cheapest at each node that lead to nodes not seen."""
-        if node == target:
-            return 0.0
-        if depth == 0:
-            return self.ahead(node, target)
-        out = self.g.out.get(node, ())
-        if not out:
-            return DEAD_END
-        onward = sorted((e for e in out if e[0] not in seen), key=lambda e: (e[2], e[0], e[1]))[:4]
-        return min((w + self.look(v, target, depth - 1, seen | {v}) for v, _, w in onward), default=NO_WAY_ON)
-
-    def score(self, how: str, at: str, edge: tuple, target: str, visits: dict) -> float:
-        v, _, w = edge
-        penalty = VISITED_PENALTY * visits.get(v, 0)
-        if how == "destination_aware":
-            return w + self.alpha * self.ahead(v, target) + penalty
-        if how == "lookahead":
-            return w + self.look(v, target, self.depth - 1, frozenset((at, v))) + penalty
-        return w + penalty
-
-    def decide(self, at: str, prev: str | None, target: str, visits: dict) -> tuple[tuple | None, bool]:
-        """The next edge and whether there was a choice."""
-        out = list(self.g.out.get(at, ()))
-        onward = [e for e in out if e[0] != prev] or out
-        if len(onward) < 2:
-            return (onward[0] if onward else None), False
-        how = self.choose if self.choose != "adaptive" else "destination_aware"
-        pair = sorted(onward, key=lambda e: (visits.get(e[0], 0) > 0, self.score(how, at, e, target, visits), e[0], e[1]))[:2]
-        if self.choose == "adaptive" and min(self.speeds.get((at, e[0], e[1]), math.inf) for e in pair) < self.slow:
-            how = "lookahead"
-        return min(pair, key=lambda e: (self.score(how, at, e, target, visits), e[0], e[1])), True
-
-    def journey(self, source: str, target: str, max_hops: int | None = None) -> dict:
-        if max_hops is None:
-            max_hops = max(50, 3 * len(self.g.route(source, target)["node_path"]))
-        at, prev, visits, path, edges, cost = source, None, {source: 1}, [source], [], 0.0
-        decisions = recoveries = 0
-        reason = "arrived" if source == target else "maximum hops"
-        while at != target and len(edges) < max_hops:
-            edge, choice = self.decide(at, prev, target, visits)
-            decisions += choice
-            if edge is None or visits.get(edge[0], 0) >= self.max_visits:
-                # Dead end: back if there is a way back; cycle: the best route's first edge.
-                recoveries += 1
-                back = [e for e in self.g.out.get(at, ()) if e[0] == prev] if edge is None else []
-                way = self.g.route(at, target)["edge_path"]
-                first = [e for e in self.g.out.get(at, ()) if way and (e[0], e[1]) == (way[0]["v"], way[0]["key"])]
-                edge = min(back, key=lambda e: e[2]) if back else (first[0] if first else None)
-                if edge is None:
-                    reason = "no way on"
-                    break
-            v, key, w = edge
-            edges.append({"u": at, "v": v, "key": key})
-            at, prev, cost = v, at, cost + w
-            path.append(v)
-            visits[v] = visits.get(v, 0) + 1
-            if at == target:
-                reason = "arrived"
-        return {"path": path, "edge_path": edges, "travel_s": cost, "hops": len(edges), "decisions": decisions, "recoveries": recoveries, "arrived": at == target, "reason": reason}
-
-
-def journeys(requests: DataFrame, weights: DataFrame, choose: str, nodes: DataFrame | None = None, max_hops: int | None = None, **options) -> DataFrame:
-    """Whole journeys of requests (scenario, source, target, ...), in parallel over requests; the graph must be small."""
-    known = graphs(weights, nodes)
-    if known is None:
-        raise ValueError("the graph is too large to send to executors; use greedy_walk")
-    speeds = {}
-    if choose == "adaptive":
-        for r in weights.select("scenario", "u", "v", "key", "speed").collect():
-            speeds.setdefault(r["scenario"], {})[r["u"], r["v"], r["key"]] = r["speed"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", " + JOURNEY
-    names = ["path", "edge_path", "travel_s", "hops", "decisions", "recoveries", "arrived", "reason"]
-
-    def run(parts):
-        for p in parts:
-            found = [Walker(known.get(s, Graph([])), choose, speeds=speeds.get(s), **options).journey(a, b, max_hops) for s, a, b in zip(p["scenario"], p["source"], p["target"], strict=True)]
-            yield pd.concat([p.reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
-
-    return requests.mapInPandas(run, schema)
-
-
 def timeline(journey: DataFrame, weights: DataFrame, keys: list[str], default_s: float = 10.0, default_m: float = 50.0) -> DataFrame:
     """A vehicle's progress: a row for each edge with elapsed seconds, metres and percent; edges unknown to `weights` take defaults."""
     legs = journey.select(*keys, F.posexplode("edge_path").alias("step", "_e")).select(*keys, "step", "_e.u", "_e.v", "_e.key")

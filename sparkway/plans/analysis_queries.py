@@ -9,8 +9,8 @@ from ..operators import audit as A
 from ..operators import components as C
 from ..operators import evaluation as V
 from ..operators import features as X
-from ..operators import forecast as L
 from ..operators import matching as M
+from ..operators import spatial as SP
 from ..operators import statistics as T
 from ..streaming import hourly as S
 from ..scratch import folder, materialize
@@ -76,29 +76,21 @@ def _compared(name: str, where: str) -> str:
 @query(" UNION ALL ".join(_compared(*c) for c in COMPARISONS.items()))
 def paired_comparisons(spark, sf_dir):
     """Seven comparisons of the same kind, each over its own part of the orders."""
-    d, out = materialize(prices(spark, sf_dir).select("o_orderstatus", "o_orderpriority", "baseline_s", "travel_s")), None
-    for name, where in COMPARISONS.items():
-        one = T.paired(d.where(where), "baseline_s", "travel_s").select(F.lit(name).alias("comparison"), "n", "mean", "median", "std", "cohens_d", "t", "n_moved", "w_plus", "w_minus")
-        out = one if out is None else out.unionByName(one)
+    p = prices(spark, sf_dir)
+    parts = F.array(*(F.when(F.expr(where), F.lit(name)) for name, where in COMPARISONS.items()))
+    long = p.select("baseline_s", "travel_s", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("comparison"))
+    out = T.paired(long, "baseline_s", "travel_s", ["comparison"]).select("comparison", "n", "mean", "median", "std", "cohens_d", "t", "n_moved", "w_plus", "w_minus")
     return rounded(rounded(rounded(rounded(out, "mean", "median", "std", places=3), "cohens_d", places=5), "t"), "w_plus", "w_minus", places=1)
 
 
-@query()
-def paired_test_verdicts(spark, sf_dir):
-    """p-values come from one row of statistics."""
-    rows = []
-    for name, where in (("all", "true"), ("urgent", "o_orderpriority like '1%'")):
-        v = T.verdict(T.paired(prices(spark, sf_dir).where(where), "baseline_s", "travel_s").first().asDict())
-        rows.append((name, v["normality_p"], v["t_p"], v["signed_rank_w"], v["signed_rank_p"], v["primary"], v["significant_1pct"]))
-    return spark.createDataFrame(rows, "comparison string, normality_p double, t_p double, signed_rank_w double, signed_rank_p double, primary string, significant_1pct boolean")
-
-
-# A sparser graph: each nation's shortest edge only.
-THIN = Q.E + ", th AS (SELECT u, v FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY length_m, v, key) AS r FROM e) WHERE r = 1), ns AS (SELECT u AS node FROM th UNION SELECT v FROM th)"
+# The graph of edges over the mean length, all of them: sparse enough to fall apart.
+THIN = Q.E + ", th AS (SELECT DISTINCT u, v FROM e WHERE length_m > (SELECT avg(length_m) + 1.3 * stddev_pop(length_m) FROM e)), ns AS (SELECT u AS node FROM th UNION SELECT v FROM th)"
 
 
 def thin(spark, sf_dir):
-    return X.keep_first(Q.edges(spark, sf_dir), ["u"], ["length_m", "v", "key"]).select("u", "v")
+    e = Q.edges(spark, sf_dir)
+    edge = e.agg((F.avg("length_m") + 1.3 * F.stddev_pop("length_m")).alias("_m"))
+    return e.join(F.broadcast(edge)).where("length_m > _m").select("u", "v").distinct()
 
 
 @query(THIN + ", re(a, b) AS (SELECT node, node FROM ns UNION SELECT a, CASE WHEN th.u = b THEN th.v ELSE th.u END FROM re JOIN th ON th.u = b OR th.v = b) SELECT a AS node, min(b) AS component FROM re GROUP BY 1")
@@ -158,10 +150,11 @@ def topk_match_scores(spark, sf_dir):
     return rounded(match_scores(spark, sf_dir).select("s_suppkey", "c_custkey", "rank", "score"), "score", places=5)
 
 
-@query(SCORES + ", b AS (SELECT a.s_suppkey, a.d, a.score - coalesce(b.score, 0) AS margin FROM r a LEFT JOIN r b ON b.s_suppkey = a.s_suppkey AND b.rank = 2 WHERE a.rank = 1), k AS (SELECT s_suppkey, CASE WHEN d <= 50 AND margin >= 0.08 THEN 'HIGH' WHEN d <= 85 THEN 'MEDIUM' WHEN d <= 150 THEN 'LOW' END AS confidence FROM b) SELECT s_suppkey, confidence, CASE WHEN confidence IN ('HIGH', 'MEDIUM') THEN CASE WHEN s_suppkey % 2 = 0 THEN 'DYNAMIC' ELSE 'DYNAMIC_BIDIRECTIONAL' END ELSE 'STATIC_FALLBACK' END AS policy FROM k")
+@query(SCORES + ", b AS (SELECT a.s_suppkey, a.d, a.score - coalesce(b.score, 0) AS margin, abs(abs(s.s_acctbal) - abs(c.c_acctbal)) / greatest(abs(s.s_acctbal), 1e-9) AS off FROM r a JOIN supplier s ON s.s_suppkey = a.s_suppkey JOIN customer c ON c.c_custkey = a.c_custkey LEFT JOIN r b ON b.s_suppkey = a.s_suppkey AND b.rank = 2 WHERE a.rank = 1), k AS (SELECT s_suppkey, CASE WHEN off <= 0.15 AND d <= 50 AND margin >= 0.08 THEN 'HIGH' WHEN off <= 0.40 AND d <= 85 THEN 'MEDIUM' WHEN d <= 150 THEN 'LOW' END AS confidence FROM b) SELECT s_suppkey, confidence, CASE WHEN confidence IN ('HIGH', 'MEDIUM') THEN CASE WHEN s_suppkey % 2 = 0 THEN 'DYNAMIC' ELSE 'DYNAMIC_BIDIRECTIONAL' END ELSE 'STATIC_FALLBACK' END AS policy FROM k")
 def match_confidence(spark, sf_dir):
-    top = match_scores(spark, sf_dir).where("rank <= 2").groupBy("s_suppkey").agg(F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("d"), (F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0))).alias("margin"))
-    c = top.withColumn("confidence", M.confidence(F.lit(0.1), F.col("d"), F.col("margin")))
+    off = F.abs(F.abs("s_acctbal") - F.abs("c_acctbal")) / F.greatest(F.abs("s_acctbal"), F.lit(1e-9))
+    top = match_scores(spark, sf_dir).where("rank <= 2").groupBy("s_suppkey").agg(F.max(F.when(F.col("rank") == 1, off)).alias("off"), F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("d"), (F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0))).alias("margin"))
+    c = top.withColumn("confidence", M.confidence(F.col("off"), F.col("d"), F.col("margin")))
     return c.select("s_suppkey", "confidence", M.eligibility(F.col("confidence"), F.col("s_suppkey") % 2 == 0).alias("policy"))
 
 
@@ -176,7 +169,7 @@ POINTS = "WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embe
 @query(POINTS + ", d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id) SELECT a, b, round(distance, 6) AS distance FROM d WHERE distance <= 0.02")
 def near_point_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return rounded(M.near_points(p, 0.02, "vec_id"), "distance", places=6)
+    return rounded(SP.near_points(p, 0.02, "vec_id"), "distance", places=6)
 
 
 LEG = "greatest(0, least(1, coalesce(((p.x - l.ax) * (l.bx - l.ax) + (p.y - l.ay) * (l.by_ - l.ay)) / nullif((l.bx - l.ax) ** 2 + (l.by_ - l.ay) ** 2, 0), 0)))"
@@ -186,7 +179,7 @@ LEG = "greatest(0, least(1, coalesce(((p.x - l.ax) * (l.bx - l.ax) + (p.y - l.ay
 def near_lines(spark, sf_dir):
     e, at = table(spark, sf_dir, "embeddings"), lambda i: F.col("embedding")[i].cast("double")
     lines = e.select(F.col("vec_id").alias("line"), F.array(F.struct(at(2).alias("x"), at(3).alias("y")), F.struct(at(4).alias("x"), at(5).alias("y"))).alias("pts"))
-    return rounded(M.near_lines(e.select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y")), lines, 0.03), "distance", places=6)
+    return rounded(SP.near_lines(e.select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y")), lines, 0.03), "distance", places=6)
 
 
 @query("SELECT a.n_nationkey * 100 + b.n_nationkey AS od, round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(0.01 * (b.n_nationkey - a.n_nationkey)) / 2), 2) + cos(radians(20 + 0.01 * a.n_nationkey)) * cos(radians(20 + 0.01 * b.n_nationkey)) * pow(sin(radians(0.01 * (7 * b.n_nationkey % 25 - 7 * a.n_nationkey % 25)) / 2), 2))), 3) AS metres FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
@@ -209,32 +202,17 @@ def set_operations(spark, sf_dir):
     return u.intersect(c).subtract(s)
 
 
-def prepared(spark, sf_dir):
-    return L.prepare(A.hourly(table(spark, sf_dir, "events"), "event_type"), 400, 100)
-
-
-@query()
-def gbt_forecast_metrics(spark, sf_dir):
-    d = prepared(spark, sf_dir).cache()
-    p = L.predict(L.fit(d), d.where("split = 'test'"))
-    return rounded(X.sliced(p).groupBy("slice").agg(*X.error_metrics("target", "guess")), "mae", "rmse", "r2", "median_ae", "smape")
-
-
-@query()
-def leakage_audit(spark, sf_dir):
-    d = prepared(spark, sf_dir)
-    return L.leakage(d.where("split = 'test'"), "target", "speed", L.FEATURES)
-
-
 @query(H + " SELECT seg, hr, round(speed, 4) AS speed, n FROM h")
 def stream_hourly_means(spark, sf_dir):
-    """The stream run to its end over the events table; the last complete result."""
+    """The stream run to its end over the events table: hours that the watermark closed, appended once each, and those still open."""
     source, out = folder(spark), folder(spark)
-    table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(3, "ts").write.parquet(source)
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.repartitionByRange(3, "ts").write.parquet(source)
     stream = spark.readStream.schema(S.SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    whole = S.hourly_means(stream).writeStream.outputMode("complete").foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(out))
-    whole.option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.read.schema("seg long, hr timestamp, speed double, n long").parquet(out).withColumn("hr", F.col("hr").cast("timestamp_ntz")), "speed")
+    S.hourly_means(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema("seg long, hr timestamp, speed double, n long").parquet(out)
+    both = closed.unionByName(S.open_hours(e, closed))
+    return rounded(both.withColumn("hr", F.col("hr").cast("timestamp_ntz")), "speed")
 
 
 @query(H + " SELECT seg, hr, round(speed, 4) AS speed, n FROM h")

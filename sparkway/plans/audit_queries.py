@@ -41,7 +41,7 @@ def coverage_by_date(spark, sf_dir):
     return rounded(A.coverage_by(sensor(spark, sf_dir), lambda c: F.date_format(c, "yyyy-MM-dd"), "day"), "coverage_pct", "mean_speed")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, count(*) AS n_rows FROM events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(any_value(typeof({c}))) END AS data_type, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, count(*) AS n_rows FROM events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")))
 def column_inventory(spark, sf_dir):
     return A.column_inventory(table(spark, sf_dir, "events"))
 

@@ -84,7 +84,7 @@ M = ("mae", "rmse", "r2", "median_ae", "smape")
 @query(FORECAST + LONG + f", z AS (SELECT *, unnest(['overall', CASE WHEN is_peak THEN 'peak' ELSE 'off_peak' END, CASE WHEN is_weekend THEN 'weekend' ELSE 'weekday' END]) AS slice FROM l) SELECT model, slice, {METRICS} FROM z GROUP BY 1, 2")
 def forecast_slice_metrics(spark, sf_dir):
     long = X.by_model(X.sliced(forecast(spark, sf_dir)), ["persistence", "historical"])
-    return rounded(long.groupBy("model", "slice").agg(*X.error_metrics("target", "guess")), *M)
+    return rounded(X.error_metrics(long, ["model", "slice"], "target", "guess"), *M)
 
 
 @query(FORECAST + LONG + " SELECT model, hour, round(avg(abs(target - guess)), 4) AS mae, count(*) AS n FROM l GROUP BY 1, 2")
@@ -99,14 +99,13 @@ def rolling_error(spark, sf_dir):
     return rounded(X.trailing_mean(e, "err", "rolling_mae", 6, "seg", "hr").drop("err"), "rolling_mae")
 
 
-DAYS = ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
-
-
-@query(H + " SELECT CAST(hour(hr) AS INTEGER) AS hour, " + ", ".join(f"round(avg(speed) FILTER (CAST(hr AS DATE) = DATE '{d}'), 4) AS d{d[-2:]}" for d in DAYS) + f" FROM h WHERE CAST(hr AS DATE) IN ({', '.join(f"DATE '{d}'" for d in DAYS)}) GROUP BY 1")
+@query(H + ", q AS (SELECT CAST(hour(hr) AS INTEGER) AS hour, strftime(hr, 'd%Y_%m_%d') AS day, round(avg(speed), 4) AS m FROM h GROUP BY 1, 2) SELECT * FROM (PIVOT q ON day USING first(m) GROUP BY hour)")
 def hour_by_day_pivot(spark, sf_dir):
-    h = sensor(spark, sf_dir).withColumn("day", F.date_format("hr", "yyyy-MM-dd")).where(F.col("day").isin(DAYS))
-    p = h.groupBy(F.hour("hr").alias("hour")).pivot("day", DAYS).agg(F.avg("speed"))
-    return rounded(p.withColumnsRenamed({d: f"d{d[-2:]}" for d in DAYS}), *(f"d{d[-2:]}" for d in DAYS))
+    """Hours down, all days across: the days are looked up first, one column each."""
+    h = sensor(spark, sf_dir).withColumn("day", F.date_format("hr", "'d'yyyy_MM_dd"))
+    days = sorted(r.day for r in h.select("day").distinct().collect())
+    p = h.groupBy(F.hour("hr").alias("hour")).pivot("day", days).agg(F.avg("speed"))
+    return rounded(p, *days)
 
 
 @query("SELECT measure, l_returnflag, round(avg(v), 4) AS mean_value FROM (SELECT l_returnflag, 'l_quantity' AS measure, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, 'l_discount', l_discount FROM lineitem UNION ALL SELECT l_returnflag, 'l_tax', l_tax FROM lineitem) GROUP BY 1, 2")
@@ -136,3 +135,12 @@ def membership_filters(spark, sf_dir):
     e = table(spark, sf_dir, "events").where(F.col("value").between(10, 60) & F.col("event_type").isin("click", "view"))
     poor = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
     return e.join(poor, "user_id", "left_anti").select("event_id", "user_id")
+
+
+@query(H + ", t AS (SELECT hr, avg(speed) AS network_mean, count(*) AS segments FROM h GROUP BY 1) SELECT seg, count(*) AS n, round(avg(speed - network_mean), 4) AS mean_off, round(max(abs(speed - network_mean)), 4) AS most_off, round(avg(segments), 4) AS mean_segments FROM h LEFT JOIN t USING (hr) GROUP BY 1")
+def off_network_mean(spark, sf_dir):
+    """Each segment against the mean of all in the same hour: statistics of a timestamp joined back on it."""
+    h = sensor(spark, sf_dir)
+    off = F.col("speed") - F.col("network_mean")
+    j = X.with_time_statistics(h, "hr", network_mean=F.avg("speed"), segments=F.count("*"))
+    return rounded(j.groupBy("seg").agg(F.count("*").alias("n"), F.avg(off).alias("mean_off"), F.max(F.abs(off)).alias("most_off"), F.avg("segments").alias("mean_segments")), "mean_off", "most_off", "mean_segments")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
-
 from pyspark.sql import functions as F
 
 from ..functions import kinematics as K
@@ -187,36 +183,56 @@ def graphml_scan(spark, sf_dir):
     return rounded(edges.select("u", "v", "key", "highway", F.col("length_m").cast("double").alias("length_m")), "length_m")
 
 
-def zipped(members: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in members.items():
-            z.writestr(name, text)
-    return out.getvalue()
+def archived(spark, sf_dir):
+    """ZIP files, one a region: a GeoJSON document for each nation's customers, and a CSV file of its suppliers."""
+    path = folder(spark)
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")).alias("archive"))
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    counts = F.array(*(F.struct(F.lit(t).alias("timeSet"), F.lit("x").alias("dateRange"), (F.col("c_custkey") * 10 + t).alias("probeCount")) for t in (0, 1)))
+    line = F.struct(F.lit("LineString").alias("type"), F.array(F.array(F.lit(85.0), F.lit(20.0)), F.array(F.lit(86.0), F.lit(21.0))).alias("coordinates"))
+    q = F.struct(F.col("c_custkey").alias("segmentId"), (F.col("c_custkey") % 7).alias("frc"), F.col("c_name").alias("streetName"), F.lit(50).alias("speedLimit"), F.lit(10.5).alias("distance"), counts.alias("segmentProbeCounts"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), q.alias("properties")))
+    # A document is one text: its features are gathered.
+    text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ", "), F.lit("]}"))
+    name = lambda ending: F.concat(F.col("n_nationkey").cast("string"), F.lit(ending)).alias("member")
+    docs = c.groupBy("archive", "n_nationkey").agg(text.alias("text")).select("archive", name(".geojson"), "text")
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    row = F.concat(F.col("s_suppkey").cast("string"), F.lit(',"'), F.col("s_name"), F.lit('\n",'), F.col("s_acctbal").cast("string"))
+    files = s.groupBy("archive", "n_nationkey").agg(F.concat(F.lit("key,name,balance\n"), F.array_join(F.collect_list(row), "\n")).alias("text")).select("archive", name(".csv"), "text")
+    IO.write_archives(docs.unionByName(files), path)
+    return path
+
+
+@query("SELECT 'region-' || n_regionkey AS archive, n_nationkey || '.geojson' AS member, 'geojson' AS kind, count(*) AS rows, CAST(6 AS BIGINT) AS columns FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey UNION ALL SELECT 'region-' || n_regionkey, n_nationkey || '.csv', 'csv', count(*), 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey")
+def archive_inventory(spark, sf_dir):
+    """Rows and columns of each member, by a task a member."""
+    m = IO.zip_members(spark, archived(spark, sf_dir))
+    return m.select(F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("archive"), "member", "kind", "rows", "columns")
 
 
-@query("SELECT * FROM (VALUES ('a/one.csv', 'csv', 8), ('b/two.JSON', 'json', 2), ('three', 'three', 0)) t(member, kind, size)")
-def archive_inventory(spark, sf_dir):
-    path = f"{folder(spark)}/x.zip"
-    IO.write_bytes(spark, path, zipped({"a/one.csv": "a,b\n1,2\n", "b/two.JSON": "{}", "three": ""}))
-    return IO.zip_inventory(spark, path).select("member", "kind", F.col("size").cast("int").alias("size"))
+@query("SELECT kind, count(*) AS members, CAST(sum(n) AS BIGINT) AS rows, CAST(max(w) AS BIGINT) AS columns FROM (SELECT 'geojson' AS kind, count(*) AS n, 6 AS w FROM customer GROUP BY c_nationkey UNION ALL SELECT 'csv', count(*), 3 FROM supplier GROUP BY s_nationkey) GROUP BY 1")
+def archive_kinds(spark, sf_dir):
+    """Members, rows and columns by type."""
+    m = IO.zip_members(spark, archived(spark, sf_dir)).groupBy("kind")
+    return m.agg(F.count("*").alias("members"), F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
 
 
-@query("SELECT n_nationkey AS segment_id, CAST(n_regionkey AS INTEGER) AS frc, n_name AS street, CAST(t AS INTEGER) AS time_set, n_nationkey * 10 + t AS probes FROM nation, range(2) r(t)")
+@query("SELECT c_custkey AS segment_id, CAST(c_custkey % 7 AS INTEGER) AS frc, c_name AS street, CAST(t AS INTEGER) AS time_set, c_custkey * 10 + t AS probes FROM customer, range(2) r(t)")
 def zipped_geojson_scan(spark, sf_dir):
-    """A row for each segment and time set of a zipped feature collection."""
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name").collect()  # 25 rows
-    features = [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[85, 20], [86, 21]]}, "properties": {"segmentId": r[0], "frc": r[1], "streetName": r[2], "speedLimit": 50, "distance": 10.5, "segmentProbeCounts": [{"timeSet": t, "dateRange": "x", "probeCount": r[0] * 10 + t} for t in (0, 1)]}} for r in rows]
-    path = f"{folder(spark)}/x.zip"
-    IO.write_bytes(spark, path, zipped({"net.geojson": json.dumps({"type": "FeatureCollection", "features": features})}))
-    return IO.zipped_geojson(spark, path).select("segment_id", "frc", "street", "time_set", "probes")
+    """A row for each segment and time set of the zipped feature collections."""
+    return IO.zipped_geojson(spark, archived(spark, sf_dir)).select("segment_id", "frc", "street", "time_set", "probes")
 
 
-@query("SELECT unnest(['object', 'array', 'feature_collection', 'other']) AS shape, (SELECT count(*) FROM events) AS n")
+SHAPED = "VALUES ('object', 'OBJECT<k: BIGINT>'), ('list', 'ARRAY<OBJECT<k: BIGINT>>'), ('feature_collection', 'OBJECT<features: ARRAY<OBJECT<k: BIGINT>>>'), ('feature', 'OBJECT<properties: OBJECT<k: BIGINT>, type: STRING>'), ('facilities', 'OBJECT<facilities: ARRAY<OBJECT<k: BIGINT>>, n: DECIMAL(2,1)>'), ('value', 'BIGINT'), ('broken', 'VOID')"
+
+
+@query(f"SELECT kind, (SELECT count(*) FROM events) AS n, schema FROM ({SHAPED}) t(kind, schema)")
 def json_shapes(spark, sf_dir):
+    """Documents of every kind made around the events' properties: what they are, and the schema that those of a kind have in common."""
     p = F.col("props")
-    texts = F.array(p, F.concat(F.lit("["), p, F.lit("]")), F.concat(F.lit('{"features": ['), p, F.lit("]}")), F.lit("text"))
-    return IO.json_shape(table(spark, sf_dir, "events").select(F.explode(texts).alias("t")), "t")
+    around = lambda a, b: F.concat(F.lit(a), p, F.lit(b))
+    texts = F.array(p, around("[", "]"), around('{"features": [', "]}"), around('{"type": "Feature", "properties": ', "}"), around('{"n": 1.5, "facilities": [', "]}"), F.get_json_object("props", "$.k"), F.lit("{text"))
+    return IO.json_shapes(table(spark, sf_dir, "events").select(F.explode(texts).alias("t")), "t")
 
 
 def event_stream(spark, sf_dir):
@@ -234,15 +250,20 @@ def stream_latest_values(spark, sf_dir):
     return ST.read_latest(spark, path).select("user_id", "speed")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS vehicle, count(*) AS updates, arg_max(event_type, ts) AS node, round(max(epoch(ts)), 3) AS elapsed_s, count(*) FILTER (event_type = 'purchase') AS reroutes FROM events GROUP BY 1")
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS vehicle, epoch(ts) AS t, event_type, event_id, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w > 43200 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY vehicle ORDER BY t, event_id) AS k FROM e)
+    SELECT vehicle, round(min(t), 3) AS first_s, round(max(t), 3) AS elapsed_s, arg_max(event_type, (t, event_id)) AS node, count(*) AS updates, CAST(0 AS BIGINT) AS late, count(*) FILTER (event_type = 'purchase') AS reroutes FROM s GROUP BY vehicle, k"""
+)
 def stream_vehicle_states(spark, sf_dir):
-    """Session state of each vehicle after all its messages."""
+    """Sessions of each vehicle, twelve hours of silence apart, after all messages."""
     kind = F.when(F.col("event_type") == "purchase", "ROUTE_UPDATE").otherwise("POSITION")
-    m = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("vehicle"), kind.alias("kind"), F.col("event_type").alias("node"), (F.unix_micros("ts") / 1e6).alias("elapsed_s"))
+    m = event_stream(ST.with_state_store(spark), sf_dir).select(F.col("user_id").cast("string").alias("vehicle"), kind.alias("kind"), F.col("event_type").alias("node"), "ts")
     path = folder(spark)
-    ST.last_states(ST.vehicles(m), path, folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{path}/*").groupBy("vehicle").agg(F.max_by(F.struct("updates", "node", "elapsed_s", "reroutes"), "updates").alias("_s"))
-    return rounded(last.select("vehicle", "_s.*"), "elapsed_s", places=3)
+    ST.last_states(ST.vehicles(m, 12 * 3600.0), path, folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    fields = ["elapsed_s", "node", "updates", "late", "reroutes"]
+    last = spark.read.parquet(f"{path}/*").groupBy("vehicle", "first_s").agg(F.max_by(F.struct(*fields), "updates").alias("_s"))
+    return rounded(last.select("vehicle", "first_s", "_s.*"), "first_s", "elapsed_s", places=3)
 
 
 @query("SELECT event_id, user_id AS source, event_type AS type FROM events")
@@ -252,3 +273,25 @@ def stream_event_log(spark, sf_dir):
     return spark.read.parquet(path).select("event_id", "source", "type")
 
 
+
+
+@query("SELECT event_type, count(*) AS n, kind AS run_id FROM events, (VALUES ('csv'), ('json')) t(kind) GROUP BY ALL")
+def exported_texts(spark, sf_dir):
+    """Runs exported as CSV and as JSON, and read again."""
+    n, out = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")), None
+    for kind in ("csv", "json"):
+        path = folder(spark)
+        IO.export_run(n, path, kind, kind)
+        back = spark.read.format(kind).option("header", True).schema("event_type string, n long, run_id string").load(path)
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("SELECT event_type, 'parquet' AS kind, true AS is_filled FROM events GROUP BY 1")
+def file_listing(spark, sf_dir):
+    """What lies in a folder of parts: the catalogue without the contents."""
+    path = folder(spark)
+    table(spark, sf_dir, "events").repartition("event_type").write.partitionBy("event_type").parquet(path)
+    files = IO.listing(spark, path).where("kind = 'parquet'")
+    part = F.regexp_extract("path", "event_type=([^/]+)/", 1)
+    return files.groupBy(part.alias("event_type"), "kind").agg((F.sum("bytes") > 0).alias("is_filled"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import kinematics as K
 from ..functions import sql as SQL
 from ..operators import audit as A
 from ..operators import matching as M
+from ..operators import ranks
 from ..operators import routing as R
-from ..operators import walk as S
+from ..scratch import materialize
 from . import road_queries as Q
+from .network_queries import network
 from .registry import query, rounded, table
 
 DIST = "2 * 6371000.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"
@@ -38,35 +41,6 @@ def od_feasibility(spark, sf_dir):
     return rounded(rounded(one, *m, places=3), *(c for c in one.columns if c not in m))
 
 
-@query()
-def algorithm_comparison(spark, sf_dir):
-    """Best routes, guided search, four walkers: means on observed weights."""
-    w = Q.all_weights(spark, sf_dir)
-    o = Q.od(spark, sf_dir).withColumn("scenario", F.lit("observed"))
-    out = None
-    for name, kw in (("dijkstra", {}), ("astar", {"nodes": Q.nodes(spark, sf_dir), "free_kmh": 40.0})):
-        r = R.routes(o, w, **kw).select(F.lit(name).alias("algorithm"), F.col("cost").alias("travel_s"), F.size("edge_path").alias("hops"), F.col("is_reached").alias("arrived"))
-        out = r if out is None else out.unionByName(r)
-    for how in ("greedy", "destination_aware", "lookahead", "adaptive"):
-        out = out.unionByName(S.journeys(o, w, how, Q.nodes(spark, sf_dir)).select(F.lit(how).alias("algorithm"), "travel_s", "hops", "arrived"))
-    a = out.groupBy("algorithm").agg(F.count("*").alias("n"), F.count_if("arrived").alias("arrived"), F.avg(F.when(F.col("arrived"), F.col("travel_s"))).alias("mean_arrived_s"), F.avg("hops").alias("mean_hops"), F.sum("hops").alias("sum_hops"))
-    return rounded(a, "mean_arrived_s", "mean_hops")
-
-
-@query()
-def lookahead_depths(spark, sf_dir):
-    """How far ahead a walker looks against what it gains on the best route."""
-    w = Q.all_weights(spark, sf_dir)
-    o = Q.od(spark, sf_dir).withColumn("scenario", F.lit("observed"))
-    best = R.routes(o, w).where("is_reached").select("od", F.col("cost").alias("best_s"))
-    out = None
-    for depth in (1, 2, 3, 5):
-        j = S.journeys(o, w, "lookahead", Q.nodes(spark, sf_dir), depth=depth).select("od", F.lit(depth).alias("depth"), "travel_s", "arrived")
-        out = j if out is None else out.unionByName(j)
-    gap = F.greatest(F.col("travel_s") - F.col("best_s"), F.lit(0.0))
-    return rounded(out.join(best, "od").groupBy("depth").agg(F.count("*").alias("n"), F.count_if("arrived").alias("arrived"), F.avg(F.when(F.col("arrived"), gap)).alias("mean_gap_s")), "mean_gap_s")
-
-
 @query(Q.E + Q.OD + Q.WALK + ", l AS (SELECT od.od, unnest(b.path) AS leg FROM od JOIN best b ON b.scenario = 'predicted' AND b.src = od.source AND b.node = od.target) SELECT od, round(avg(p.speed), 4) AS predicted_kmh, round(avg(o.speed), 4) AS observed_kmh, round(100 * (avg(p.speed) - avg(o.speed)) / avg(o.speed), 4) AS error_pct, round(100 * (avg(p.speed) - avg(o.speed)) / avg(p.speed), 4) AS drop_pct FROM l JOIN w p ON p.scenario = 'predicted' AND p.u || '-' || p.v || '#' || p.key = leg JOIN w o ON o.scenario = 'observed' AND o.u = p.u AND o.v = p.v AND o.key = p.key GROUP BY 1")
 def corridor_speeds(spark, sf_dir):
     w = Q.all_weights(spark, sf_dir)
@@ -94,12 +68,6 @@ def scenario_catalogue(spark, sf_dir):
     return played.unionByName(Q.planned(spark, sf_dir, w, ("predicted",)).where("not is_reached").select("od", F.lit("unreachable").alias("kind"), period))
 
 
-@query(Q.E + ", k AS (SELECT u, v, key FROM e) SELECT u, v, key FROM k WHERE EXISTS (SELECT 1 FROM k b WHERE b.u = k.v AND b.v = k.u)")
-def reciprocal_edges(spark, sf_dir):
-    e = Q.edges(spark, sf_dir).withColumn("geom_key", M.canonical_key(F.array("u", "v")))
-    return M.reciprocal(e).select("u", "v", "key")
-
-
 @query("SELECT way, count(*) AS pieces, round(sum(m), 3) AS length_m FROM (SELECT DISTINCT l_partkey % 50 AS way, l_suppkey AS g, l_suppkey * 1.5 AS m FROM lineitem) GROUP BY 1")
 def way_dissolve(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("way"), F.col("l_suppkey").alias("geom_key"), (F.col("l_suppkey") * 1.5).alias("length_m"))
@@ -142,3 +110,79 @@ def bucket_offsets(spark, sf_dir):
 def range_checks(spark, sf_dir):
     h = A.hourly(table(spark, sf_dir, "events"))
     return h.agg(F.count("*").alias("n"), *(F.count_if(F.col("speed") > k).alias(f"above_{k}") for k in (120, 160)), F.count_if(F.col("speed") > 0).alias("positive"))
+
+
+# Tables of SQL over a network and its routes.
+
+SQL_NET = """WITH c AS (SELECT count(*) AS n FROM customer),
+e AS MATERIALIZED (SELECT CAST(o_custkey AS VARCHAR) AS u, CAST((o_custkey * 31 + o_orderkey * 17) % n AS VARCHAR) AS v, CAST(o_orderkey AS INTEGER) AS key, o_totalprice / 1000 AS weight FROM orders, c)"""
+
+
+def sql_tables(spark, sf_dir):
+    """The growing network, and each supplier's lines as a route, under their SQL names."""
+    legs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.sum("l_quantity").alias("weight"), F.sum("l_extendedprice").alias("length_m"))
+    step = (F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey")) - 1).alias("step")
+    legs = legs.select(F.col("l_suppkey").cast("string").alias("route"), step, F.col("l_orderkey").cast("string").alias("v"), F.col("weight").cast("double").alias("weight"), F.col("length_m").cast("double").alias("length_m"))
+    SQL.register_tables(network(spark, sf_dir), legs)
+
+
+@query(SQL_NET + ", q AS (SELECT CAST(s_suppkey AS VARCHAR) AS node FROM supplier), k AS (SELECT u, v, key, weight, row_number() OVER (PARTITION BY u ORDER BY weight, v, key) AS place FROM e) SELECT node, v, key, round(weight, 4) AS weight, CAST(place AS INTEGER) AS place FROM q JOIN k ON u = node WHERE place <= 3")
+def sql_edges_from(spark, sf_dir):
+    """A table function joined to a table: the three best edges on from each supplier's node."""
+    sql_tables(spark, sf_dir)
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("asked_for")
+    return rounded(spark.sql("SELECT cast(s_suppkey AS STRING) AS node, e.v, e.key, e.weight, e.place FROM asked_for, LATERAL edges_from(cast(s_suppkey AS STRING), 3) e"), "weight")
+
+
+@query(SQL_NET.replace("WITH c", "WITH RECURSIVE c") + ", r(node, hops) AS (SELECT '1', 0 UNION SELECT e.v, hops + 1 FROM r JOIN e ON e.u = r.node WHERE hops < 3) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY 1")
+def sql_nodes_within(spark, sf_dir):
+    """Nodes within three edges of one, by a recursive query in a table function."""
+    sql_tables(spark, sf_dir)
+    return spark.sql("SELECT * FROM nodes_within('1', 3)")
+
+
+@query("WITH l AS (SELECT l_suppkey, l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS w, CAST(sum(l_extendedprice) AS DOUBLE) AS m FROM lineitem GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - 1 AS step, count(*) OVER (PARTITION BY l_suppkey) AS n FROM l) SELECT l_suppkey, CAST(step AS INTEGER) AS step, CAST(l_orderkey AS VARCHAR) AS node, round(sum(w) OVER (PARTITION BY l_suppkey ORDER BY step), 3) AS elapsed_s, round(sum(m) OVER (PARTITION BY l_suppkey ORDER BY step), 2) AS distance_m, round(100.0 * (step + 1) / n, 4) AS progress_pct FROM s")
+def sql_route_timelines(spark, sf_dir):
+    """The progress of every route, by a table function for each row of a table."""
+    sql_tables(spark, sf_dir)
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("asked_for")
+    t = spark.sql("SELECT s_suppkey AS l_suppkey, t.* FROM asked_for, LATERAL route_timeline(cast(s_suppkey AS STRING)) t")
+    return rounded(rounded(rounded(t, "elapsed_s", places=3), "distance_m", places=2), "progress_pct")
+
+
+# A sample of pairs in which seven in ten ends are of monitored nodes.
+
+DRAWS, PAIRS = 2000, 50
+_H = "CAST('0x' || substr(md5(i || '{s}'), 1, 8) AS BIGINT)"
+
+
+def _draw(side: str) -> str:
+    return f"CASE WHEN {_H.format(s=side + 'm')} % 100 < 70 THEN (SELECT node FROM mo WHERE k = {_H.format(s=side)} % (SELECT count(*) FROM mo)) ELSE (SELECT node FROM al WHERE k = {_H.format(s=side)} % (SELECT count(*) FROM al)) END"
+
+
+@query(
+    SQL_NET
+    + f""", al AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k FROM (SELECT u AS node FROM e UNION SELECT v FROM e)),
+    mo AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k FROM (SELECT CAST(o_custkey AS VARCHAR) AS node FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)),
+    d AS (SELECT i, {_draw('s')} AS source, {_draw('t')} AS target FROM range({DRAWS}) t(i)),
+    x AS (SELECT i, source, target, {DIST} AS metres FROM d, LATERAL (SELECT 20 + 0.0005 * (CAST(source AS BIGINT) % 89) AS lat, 85 + 0.0005 * (CAST(source AS BIGINT) % 97) AS lon) a, LATERAL (SELECT 20 + 0.0005 * (CAST(target AS BIGINT) % 89) AS lat, 85 + 0.0005 * (CAST(target AS BIGINT) % 97) AS lon) b WHERE source <> target),
+    f AS (SELECT min(i) AS i, source, target, any_value(metres) AS metres FROM x WHERE metres BETWEEN 2000 AND 14000 GROUP BY 2, 3)
+    SELECT i, source, target, round(metres, 3) AS metres FROM f ORDER BY i LIMIT {PAIRS}"""
+)
+def monitored_od_sample(spark, sf_dir):
+    """Fifty pairs 2 to 14 km apart, the first that a repeatable row of draws gives; an end is monitored with a chance of seven in ten, else any node."""
+    w = network(spark, sf_dir)
+    every = ranks.positions(w.selectExpr("explode(array(u, v)) AS node"), ["node"], "k")
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("node"))
+    both = materialize(every.withColumn("pool", F.lit("all")).unionByName(ranks.positions(urgent, ["node"], "k").withColumn("pool", F.lit("monitored"))))
+    size = {r.pool: r.n for r in both.groupBy("pool").agg(F.count("*").alias("n")).collect()}
+    draws = spark.range(DRAWS).withColumnRenamed("id", "i")
+    for side, name in (("s", "source"), ("t", "target")):
+        h = lambda text: F.conv(F.substring(F.md5(F.concat(F.col("i").cast("string"), F.lit(text)).cast("binary")), 1, 8), 16, 10).cast("long")  # noqa: E731, B023
+        pool = F.when(h(side + "m") % 100 < 70, "monitored").otherwise("all")
+        n = F.when(F.col("pool") == "monitored", size.get("monitored", 0)).otherwise(size.get("all", 0))
+        draws = draws.withColumn("pool", pool).withColumn("k", h(side) % n).join(both.withColumnRenamed("node", name), ["pool", "k"]).drop("pool", "k")
+    at = lambda c, m: (20 if m == 89 else 85) + 0.0005 * (F.col(c).cast("long") % m)
+    far = draws.where("source <> target").withColumn("metres", K.haversine(at("source", 89), at("source", 97), at("target", 89), at("target", 97))).where("metres between 2000 and 14000")
+    one = far.groupBy("source", "target").agg(F.min("i").alias("i"), F.first("metres").alias("metres"))
+    return rounded(one.orderBy("i").limit(PAIRS).select("i", "source", "target", "metres"), "metres", places=3)

@@ -1,7 +1,7 @@
 """Routing queries over the nation trade graph of the driver's tables.
 
 An edge joins a customer's nation to a supplier's, one for each return flag, its
-length a mean quantity; each nation keeps its four shortest. Sensors are users
+length a mean quantity. Sensors are users
 of `events`, mapped onto edges in turn; odd hours are what was observed, even
 hours what was predicted.
 """
@@ -27,7 +27,6 @@ def edges(spark, sf_dir):
     j = t["lineitem"].select("l_orderkey", "l_suppkey", "l_returnflag", "l_quantity").join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     j = j.join(t["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").where("c_nationkey <> s_nationkey")
     e = j.groupBy(F.col("c_nationkey").alias("cu"), F.col("s_nationkey").alias("cv"), F.col("l_returnflag").alias("f")).agg((F.avg("l_quantity") * 100).alias("length_m"))
-    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("cu").orderBy("length_m", "cv", "f"))).where("rn <= 4")
     kind = F.lit(HIGHWAY[4])
     for i in range(4):
         kind = F.when(F.col("n_regionkey") == i, HIGHWAY[i]).otherwise(kind)
@@ -76,8 +75,7 @@ def od(spark, sf_dir):
 
 
 E = """WITH RECURSIVE t AS (SELECT c_nationkey AS cu, s_nationkey AS cv, l_returnflag AS f, avg(l_quantity) * 100 AS length_m FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2, 3),
-tr AS (SELECT *, row_number() OVER (PARTITION BY cu ORDER BY length_m, cv, f) AS rn FROM t),
-e AS MATERIALIZED (SELECT lpad(CAST(cu AS VARCHAR), 2, '0') AS u, lpad(CAST(cv AS VARCHAR), 2, '0') AS v, CAST(CASE f WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS key, length_m, CASE n_regionkey WHEN 0 THEN 'motorway' WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary' WHEN 3 THEN 'tertiary' ELSE 'residential' END AS highway, CASE n_regionkey WHEN 0 THEN 50.0 WHEN 1 THEN 40.0 WHEN 2 THEN 30.0 WHEN 3 THEN 25.0 ELSE 20.0 END AS static_speed, row_number() OVER (ORDER BY cu, cv, f) - 1 AS edge_ord FROM tr JOIN nation ON cu = n_nationkey WHERE rn <= 4),
+e AS MATERIALIZED (SELECT lpad(CAST(cu AS VARCHAR), 2, '0') AS u, lpad(CAST(cv AS VARCHAR), 2, '0') AS v, CAST(CASE f WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS key, length_m, CASE n_regionkey WHEN 0 THEN 'motorway' WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary' WHEN 3 THEN 'tertiary' ELSE 'residential' END AS highway, CASE n_regionkey WHEN 0 THEN 50.0 WHEN 1 THEN 40.0 WHEN 2 THEN 30.0 WHEN 3 THEN 25.0 ELSE 20.0 END AS static_speed, row_number() OVER (ORDER BY cu, cv, f) - 1 AS edge_ord FROM t JOIN nation ON cu = n_nationkey),
 m AS (SELECT DISTINCT user_id AS seg, CASE user_id % 3 WHEN 0 THEN 'DYNAMIC' WHEN 1 THEN 'DYNAMIC_BIDIRECTIONAL' ELSE 'STATIC_FALLBACK' END AS policy, u, v, key FROM events JOIN e ON e.edge_ord = user_id % (SELECT count(*) FROM e)),
 sp AS (SELECT CASE WHEN hour(ts) % 2 = 1 THEN 'observed' ELSE 'predicted' END AS scenario, user_id AS seg, avg(value) AS speed FROM events GROUP BY 1, 2),
 ds AS (SELECT scenario, u, v, key, greatest(3.0, least(120.0, avg(speed))) AS speed FROM (SELECT scenario, m.u, m.v, m.key, speed FROM sp JOIN m USING (seg) WHERE policy <> 'STATIC_FALLBACK' UNION ALL SELECT scenario, e.u, e.v, e.key, speed FROM sp JOIN m USING (seg) JOIN e ON e.u = m.v AND e.v = m.u WHERE policy = 'DYNAMIC_BIDIRECTIONAL') GROUP BY 1, 2, 3, 4),
@@ -130,7 +128,7 @@ def dijkstra_routes(spark, sf_dir):
 def astar_costs(spark, sf_dir):
     """Guided by the straight line at the speed of the edge that gains most of it, which no edge beats, so costs are least."""
     w, n = all_weights(spark, sf_dir), nodes(spark, sf_dir)
-    r = planned(spark, sf_dir, w, ("static",), nodes=n, free_kmh=R.guide_speed(w.where("scenario = 'static'"), n))
+    r = planned(spark, sf_dir, w, ("static",), nodes=n, guided=True)
     return rounded(r.select("od", "cost", "is_reached"), "cost")
 
 
@@ -296,18 +294,6 @@ def lookahead_scores(spark, sf_dir):
     return rounded(S.lookahead_two(e, w, nodes(spark, sf_dir)).select("id", "v", "key", "look_s"), "look_s")
 
 
-@query()
-def sequential_journeys(spark, sf_dir):
-    """Whole journeys of four ways to choose, with recovery."""
-    w = all_weights(spark, sf_dir)
-    o = od(spark, sf_dir).withColumn("scenario", F.lit("observed"))
-    out = None
-    for how in ("greedy", "destination_aware", "lookahead", "adaptive"):
-        j = S.journeys(o, w, how, nodes(spark, sf_dir)).select("od", F.lit(how).alias("strategy"), "hops", "decisions", "recoveries", "arrived", "reason", "travel_s")
-        out = j if out is None else out.unionByName(j)
-    return rounded(out, "travel_s")
-
-
 @query(E + OD + WALK + ", tl AS (SELECT od.od, unnest(b.path) AS leg, generate_subscripts(b.path, 1) - 1 AS step, len(b.path) AS n FROM od JOIN best b ON b.scenario = 'predicted' AND b.src = od.source AND b.node = od.target) SELECT od, CAST(step AS INTEGER) AS step, w.v AS node, round(sum(w.weight) OVER (PARTITION BY od ORDER BY step), 4) AS elapsed_s, round(sum(w.length_m) OVER (PARTITION BY od ORDER BY step), 4) AS distance_m, round(100.0 * (step + 1) / n, 4) AS progress_pct FROM tl JOIN w ON w.scenario = 'predicted' AND w.u || '-' || w.v || '#' || w.key = leg")
 def journey_timeline(spark, sf_dir):
     w = all_weights(spark, sf_dir)
@@ -315,13 +301,17 @@ def journey_timeline(spark, sf_dir):
     return rounded(S.timeline(r, w.where("scenario = 'predicted'"), ["od"]), "elapsed_s", "distance_m", "progress_pct")
 
 
-@query(E + OD + WALK + WIDE + f", b AS (SELECT od, unnest(list_filter(static_path, lambda p: NOT list_contains(predicted_path, p))) AS leg FROM x), c AS (SELECT b.od, o.u, o.v, o.key, o.weight, row_number() OVER (PARTITION BY b.od ORDER BY o.weight DESC, o.u, o.v, o.key) AS r FROM b JOIN {OBS} o ON o.u || '-' || o.v || '#' || o.key = leg) SELECT od, u, v, key, round(weight, 4) AS weight FROM c WHERE r = 1")
+@query(E + OD + WALK + WIDE + f", b AS (SELECT od, unnest(list_filter(static_path, lambda p: NOT list_contains(predicted_path, p))) AS leg FROM x), c AS (SELECT b.od, o.u, o.v, o.key, o.weight, o.speed, p.speed AS predicted, row_number() OVER (PARTITION BY b.od ORDER BY o.weight DESC, o.u, o.v, o.key) AS r FROM b JOIN {OBS} o ON o.u || '-' || o.v || '#' || o.key = leg JOIN w p ON p.scenario = 'predicted' AND p.u = o.u AND p.v = o.v AND p.key = o.key) SELECT od, u, v, key, round(weight, 4) AS weight, round(speed, 4) AS observed_kmh, round(predicted, 4) AS predicted_kmh, round(greatest(0, predicted - speed), 4) AS drop_kmh, round(100 * greatest(0, predicted - speed) / predicted, 4) AS drop_pct FROM c WHERE r = 1")
 def bottleneck_edges(spark, sf_dir):
     """The slowest observed edge of those that the predicted route goes around."""
     w = all_weights(spark, sf_dir)
-    legs = wide(spark, sf_dir, w).select("od", F.explode(F.array_except("static_path", "predicted_path")).alias("e")).select("od", "e.*").join(w.where("scenario = 'observed'").select("u", "v", "key", "weight"), ["u", "v", "key"])
+    legs = wide(spark, sf_dir, w).select("od", F.explode(F.array_except("static_path", "predicted_path")).alias("e")).select("od", "e.*").join(w.where("scenario = 'observed'").select("u", "v", "key", "weight", F.col("speed").alias("observed_kmh")), ["u", "v", "key"])
+    legs = legs.join(w.where("scenario = 'predicted'").select("u", "v", "key", F.col("speed").alias("predicted_kmh")), ["u", "v", "key"])
+    drop = F.greatest(F.lit(0.0), F.col("predicted_kmh") - F.col("observed_kmh"))
     best = legs.withColumn("r", F.row_number().over(Window.partitionBy("od").orderBy(F.desc("weight"), "u", "v", "key"))).where("r = 1")
-    return rounded(best.select("od", "u", "v", "key", "weight"), "weight")
+    names = ["observed_kmh", "predicted_kmh", "drop_kmh", "drop_pct"]
+    best = best.withColumns({"drop_kmh": drop, "drop_pct": 100 * F.try_divide(drop, "predicted_kmh")})
+    return rounded(best.select("od", "u", "v", "key", "weight", *names), "weight", *names)
 
 
 @query(E + " SELECT CASE WHEN speed >= 35 THEN 'free' WHEN speed >= 20 THEN 'moderate' ELSE 'congested' END AS speed_class, scenario, count(*) AS n, round(avg(speed), 4) AS mean_speed FROM w GROUP BY 1, 2")

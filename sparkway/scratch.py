@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of narrow rows (at most some 200 bytes) may be broadcast.
+BROADCAST_ROWS = 200_000
 
 _written: list[str] = []
 
@@ -29,6 +33,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Equi-join that broadcasts `right` only after it was written and counted; past `limit` it is a shuffled join."""
+    right = materialize(right)
+    few = right.limit(limit + 1).count() <= limit
+    return left.join(F.broadcast(right) if few else right, keys, how)
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder among the scratch tables, deleted when the driver ends."""
     path = f"{root(spark)}/sparkway-{uuid.uuid4().hex}"

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import archives
+
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -40,96 +42,58 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-MEMBER = "archive string, member string, kind string, compressed long, size long"
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """What is in each member of the archives at a path: see `archives`."""
+    archives.register(spark)
+    return spark.read.format("zip_members").load(path)
 
 
-def zip_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Members of ZIP archives: names, types, sizes. An archive is one row, opened where it is read."""
+def zipped_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each segment and time set of the GeoJSON members of the archives at a path."""
+    archives.register(spark)
+    return spark.read.format("zip_features").load(path)
 
-    def run(batches):
-        for p in batches:
-            rows = []
-            for archive, content in zip(p["path"], p["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(archive, i.filename, i.filename.rpartition(".")[2].lower(), i.compress_size, i.file_size) for i in z.infolist() if not i.is_dir()]
-            import pandas as pd
 
-            yield pd.DataFrame(rows, columns=["archive", "member", "kind", "compressed", "size"])
+def write_archives(members: DataFrame, path: str) -> int:
+    """Texts (archive, member, text) as ZIP files <path>/<archive>.zip, each written whole by a task; how many there are.
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, MEMBER)
+    The members of an archive are gathered in its task. Names that are null are left out.
+    """
+    def write(key, t):
+        name = key[0].as_py()
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for m, text in sorted(zip(t.column("member").to_pylist(), t.column("text").to_pylist(), strict=True)):
+                z.writestr(m, text or "")
+        from pyarrow import fs
 
+        store, inner = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(inner, recursive=True)
+        with store.open_output_stream(f"{inner}/{name}.zip") as f:
+            f.write(out.getvalue())
+        return pa.table({"archive": [name]})
 
-def array_items(text: io.TextIOBase, key: str, limit: int | None = None, block: int = 1 << 16):
-    """Items of the array under `key`, decoded one after the other from blocks of the stream."""
-    decoder, buffer, begun, n = json.JSONDecoder(), "", False, 0
-    while True:
-        more = text.read(block)
-        buffer += more
-        if not begun:
-            at = buffer.find(f'"{key}"')
-            start = buffer.find("[", at) if at >= 0 else -1
-            if start < 0:
-                if not more:
-                    return
-                continue
-            buffer, begun = buffer[start + 1 :], True
-        while True:
-            buffer = buffer.lstrip(" \t\r\n,")
-            if buffer[:1] == "]" or limit is not None and n >= limit:
-                return
-            try:
-                item, end = decoder.raw_decode(buffer)
-            except ValueError:
-                break
-            if end == len(buffer) and more:
-                break
-            yield item
-            n += 1
-            buffer = buffer[end:]
-        if not more:
-            return
+    named = members.where("archive is not null and member is not null").select("archive", "member", "text")
+    return named.groupBy("archive").applyInArrow(write, "archive string").count()
 
 
-PROBE = "member string, segment_id long, frc int, street string, speed_limit double, distance double, geometry string, time_set int, date_range string, probes long"
+KINDS = ("feature", "feature_collection", "facilities", "object", "list", "value", "broken")
 
 
-def zipped_geojson(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A row for each segment and time set of the GeoJSON members of ZIP archives.
+def json_kind(column: str) -> Column:
+    """What a JSON text is, by its VARIANT: a feature, a collection of features, a document with facilities, another object, a list, another value; broken if it is none."""
+    v = F.try_parse_json(column)
+    top = F.schema_of_variant(v)
+    kind = F.try_variant_get(v, "$.type", "string")
+    has = lambda name: F.try_variant_get(v, f"$.{name}", "variant").isNotNull()
+    is_object = top.startswith("OBJECT")
+    return F.when(F.col(column).isNull(), None).when(v.isNull(), "broken").when(is_object & has("features"), "feature_collection").when(is_object & (kind == "Feature"), "feature").when(is_object & has("facilities"), "facilities").when(is_object, "object").when(top.startswith("ARRAY"), "list").otherwise("value")
 
-    Features are decoded one by one, so a member is never held as a whole tree.
-    """
 
-    def run(batches):
-        import pandas as pd
-
-        names = ["member", "segment_id", "frc", "street", "speed_limit", "distance", "geometry", "time_set", "date_range", "probes"]
-        for p in batches:
-            for content in p["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for i in z.infolist():
-                        if not i.filename.lower().endswith(("json", "geojson")):
-                            continue
-                        rows = []
-                        with io.TextIOWrapper(z.open(i), "utf-8-sig") as text:
-                            for f in array_items(text, "features", limit):
-                                q = f.get("properties") or {}
-                                if q.get("segmentId") is None:
-                                    continue
-                                for c in q.get("segmentProbeCounts") or []:
-                                    rows.append((i.filename, q["segmentId"], q.get("frc"), q.get("streetName"), q.get("speedLimit"), q.get("distance"), json.dumps((f.get("geometry") or {}).get("coordinates")), c.get("timeSet"), str(c.get("dateRange")), c.get("probeCount")))
-                                if len(rows) >= 50_000:
-                                    yield pd.DataFrame(rows, columns=names)
-                                    rows = []
-                        yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, PROBE)
-
-
-def json_shape(df: DataFrame, column: str) -> DataFrame:
-    """Counts of the top-level shapes of JSON texts: feature collections, other objects, arrays, the rest."""
-    t = F.ltrim(F.col(column))
-    shape = F.when(F.get_json_object(column, "$.features").isNotNull(), "feature_collection").when(t.startswith("{"), "object").when(t.startswith("["), "array").otherwise("other")
-    return df.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"))
+def json_shapes(df: DataFrame, column: str) -> DataFrame:
+    """kind, n and schema of the JSON texts in a column: documents of one kind are merged to one schema. Null texts are left out."""
+    rows = df.where(F.col(column).isNotNull()).select(json_kind(column).alias("kind"), F.try_parse_json(column).alias("_v"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.schema_of_variant_agg("_v").alias("schema"))
 
 
 def documents(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -155,9 +119,17 @@ def write_json_summary(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def export_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Appends a run's rows as a partition."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+def export_run(df: DataFrame, path: str, run_id: str, kind: str = "parquet") -> None:
+    """Appends a run's rows as a partition, as parquet, csv (with a header) or json."""
+    options = {"header": True} if kind == "csv" else {}
+    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").format(kind).options(**options).save(path)
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, kind, bytes, modified of every file under a folder; contents are not read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return f.select("path", name.alias("name"), F.element_at(F.split(name, r"\."), -1).alias("kind"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:

@@ -1,4 +1,4 @@
-"""Structured Streaming: hourly means, sessions per vehicle, the event log."""
+"""Structured Streaming: hourly means, sessions per vehicle, the latest values, the event log."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -22,64 +22,149 @@ def gaps(stream: DataFrame, idle: str = "30 minutes", late: str = "2 hours") ->
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", idle).alias("w"), F.col("user_id").alias("seg")).agg(F.count("*").alias("n")).select("seg", F.col("w.start").alias("first"), F.col("w.end").alias("last"), "n")
 
 
-VEHICLE = "vehicle string, updates long, node string, elapsed_s double, reroutes long"
-STATE = "updates long, node string, elapsed_s double, reroutes long"
+def open_hours(events: DataFrame, closed: DataFrame) -> DataFrame:
+    """Hours that `hourly_means` has not closed yet, from a batch read of the same events: those after the last closed one, and earlier ones that it lacks."""
+    every = events.groupBy(F.col("user_id").alias("seg"), F.date_trunc("hour", "ts").alias("hr")).agg(F.avg("value").alias("speed"), F.count("*").alias("n"))
+    return every.join(closed.select("seg", "hr"), ["seg", "hr"], "left_anti")
 
 
-def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Last position, running time and reroutes of a vehicle; late updates (of an earlier time) don't move it back."""
-    n, node, elapsed, reroutes = state.get if state.exists else (0, None, 0.0, 0)
-    for p in parts:
-        for r in p.sort_values(["elapsed_s"]).itertuples():
-            n += 1
-            if r.kind == "ROUTE_UPDATE":
-                reroutes += 1
-            if r.elapsed_s >= elapsed:
-                node, elapsed = r.node, float(r.elapsed_s)
-    state.update((n, node, elapsed, reroutes))
-    yield pd.DataFrame([(key[0], n, node, elapsed, reroutes)], columns=["vehicle", "updates", "node", "elapsed_s", "reroutes"])
+SESSION = "vehicle string, first_s double, elapsed_s double, node string, updates long, late long, reroutes long, ended boolean"
+VALUE = "first_s double, elapsed_s double, node string, updates long, late long, reroutes long"
+FIELDS = ["first_s", "elapsed_s", "node", "updates", "late", "reroutes"]
 
 
-def vehicles(messages: DataFrame) -> DataFrame:
-    """Session state of each vehicle from its messages (vehicle, kind, node, elapsed_s)."""
-    return messages.groupBy("vehicle").applyInPandasWithState(fold, VEHICLE, STATE, "update", GroupStateTimeout.NoTimeout)
+def sessions_of(rows: pd.DataFrame, before: tuple | None, idle_s: float) -> pd.DataFrame:
+    """Sessions of one vehicle's messages after a state: FIELDS, in order; all but the last have ended.
+
+    Messages earlier than the state are counted as late and move nothing; of those without
+    a time, the same. A pause of more than `idle_s` begins a session.
+    """
+    late = rows["elapsed_s"].isna()
+    if before is not None:
+        late |= rows["elapsed_s"] < before[1]
+    new = rows[~late].sort_values("elapsed_s", kind="stable")
+    last = new["elapsed_s"].shift(fill_value=before[1] if before is not None else float("inf"))
+    run = (new["elapsed_s"] - last > idle_s).cumsum()
+    g = new.groupby(run, sort=True)
+    out = pd.DataFrame({"first_s": g["elapsed_s"].min(), "elapsed_s": g["elapsed_s"].max(), "node": g["node"].last(), "updates": g.size(), "late": 0, "reroutes": g["kind"].agg(lambda k: int((k == "ROUTE_UPDATE").sum()))})
+    if before is not None:
+        if 0 in out.index:  # the first run goes on from the state
+            out.loc[0, ["first_s", "updates", "reroutes"]] = before[0], out.loc[0, "updates"] + before[3], out.loc[0, "reroutes"] + before[5]
+            out.loc[0, "late"] = before[4]
+        else:
+            out = pd.concat([pd.DataFrame([before], columns=FIELDS), out], ignore_index=True)
+    if late.any():
+        if out.empty:
+            out = pd.DataFrame([(None, None, None, 0, 0, 0)], columns=FIELDS)
+        at = out.index[0]
+        out.loc[at, "late"] = int(out.loc[at, "late"]) + int(late.sum())
+        out.loc[at, "updates"] = int(out.loc[at, "updates"]) + int(late.sum())
+    return out.reset_index(drop=True)
+
+
+class Sessions(StatefulProcessor):
+    """Session state of each vehicle in one value; a timer ends it when the watermark has passed its last message by `idle_s`, and its state goes."""
+
+    def __init__(self, idle_s: float) -> None:
+        self.idle_s = idle_s
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("session", VALUE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = sessions_of(pd.concat(list(rows)), self.state.get() if self.state.exists() else None, self.idle_s)
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        last = tuple(x.item() if hasattr(x, "item") else x for x in found.iloc[-1][FIELDS])
+        if last[1] is None or pd.isna(last[1]):  # only messages without a time so far
+            self.state.clear()
+        else:
+            self.state.update((last[0], last[1], last[2], int(last[3]), int(last[4]), int(last[5])))
+            self.handle.registerTimer(int((last[1] + self.idle_s) * 1000) + 1)
+        yield self.shown(key, found, [*[True] * (len(found) - 1), False])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            found = pd.DataFrame([self.state.get()], columns=FIELDS)
+            self.state.clear()
+            yield self.shown(key, found, [True])
+
+    def close(self) -> None:
+        pass
+
+    def shown(self, key, found: pd.DataFrame, ended: list[bool]) -> pd.DataFrame:
+        out = found.assign(vehicle=key[0], ended=ended)
+        return out.astype({"first_s": "float64", "elapsed_s": "float64", "updates": "int64", "late": "int64", "reroutes": "int64"})[["vehicle", *FIELDS, "ended"]]
+
+
+def vehicles(messages: DataFrame, idle: float = 1800.0, late: str = "2 hours") -> DataFrame:
+    """Sessions of each vehicle from its messages (vehicle, kind, node, ts): a row for each that a micro-batch changed or ended; times in seconds of the epoch.
+
+    Messages without a vehicle are left out: they are nobody's. State holds the sessions
+    that are open by the watermark, and nothing else.
+    """
+    known = messages.where("vehicle is not null").withColumn("elapsed_s", F.unix_micros("ts") / 1e6).withWatermark("ts", late)
+    return known.groupBy("vehicle").transformWithStateInPandas(Sessions(idle), SESSION, "Update", "EventTime")
+
+
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """A session with the state store that values with timers need."""
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+    return spark
+
+
+#: Parts of the latest table, each rewritten only when a micro-batch has rows of it.
+BUCKETS = 16
 
 
-def latest_table(stream: DataFrame, path: str, checkpoint: str):
-    """Last value per segment: each micro-batch is reduced and merged by key with the table so far, as the next version of it.
+def latest_table(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Last value per segment: each micro-batch is reduced, and merged by key with the buckets of the table that it has rows of, as their next version.
 
-    A version is written whole under its epoch, so a repeated epoch gives the same table.
+    Buckets are written whole under their epoch, so a repeated epoch gives the same table;
+    those that no row falls in stay as they are.
     """
 
     def keep(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("user_id", "ts", "event_id", F.col("value").alias("speed"))
-        before = _versions(spark, path, epoch)
-        if before:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{before[-1]}"))
-        newest = rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "speed")).alias("_m")).select("user_id", "_m.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v{epoch}")
-        for old in before[:-1]:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+        rows = batch.select("user_id", "ts", "event_id", F.col("value").alias("speed"), bucket.alias("bucket"))
+        touched = {r.bucket for r in rows.select("bucket").distinct().collect()}  # no more than there are buckets
+        before = _parts(spark, path, epoch)
+        old = [before[b] for b in sorted(touched & set(before))]
+        if old:
+            rows = rows.unionByName(spark.read.option("basePath", path).parquet(*old).select("user_id", "ts", "event_id", "speed", F.col("bucket").cast("int")))
+        newest = rows.groupBy("bucket", "user_id").agg(F.max(F.struct("ts", "event_id", "speed")).alias("_m")).select("bucket", "user_id", "_m.*")
+        newest.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+        for part in old:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
-def _versions(spark: SparkSession, path: str, below: int | None = None) -> list[int]:
-    """Complete versions of the table, oldest first."""
+def _parts(spark: SparkSession, path: str, below: int | None = None) -> dict[int, str]:
+    """The folder of each bucket's newest version, of complete epochs (under `below`)."""
     fs_ = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = fs_.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(fs_.Path(path)):
-        return []
+        return {}
     names = [x.getPath().getName() for x in fs.listStatus(fs_.Path(path))]
-    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(fs_.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(n for n in done if below is None or n < below)
+    done = sorted(int(n[6:]) for n in names if n.startswith("epoch=") and fs.exists(fs_.Path(f"{path}/{n}/_SUCCESS")))
+    out = {}
+    for epoch in (n for n in done if below is None or n < below):
+        for x in fs.listStatus(fs_.Path(f"{path}/epoch={epoch}")):
+            if x.getPath().getName().startswith("bucket="):
+                out[int(x.getPath().getName()[7:])] = f"{path}/epoch={epoch}/{x.getPath().getName()}"
+    return out
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version: user_id, ts, event_id, speed."""
-    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+    """The newest version of every bucket: user_id, ts, event_id, speed."""
+    return spark.read.option("basePath", path).parquet(*_parts(spark, path).values()).select("user_id", "ts", "event_id", "speed")
 
 
 def last_states(states: DataFrame, path: str, checkpoint: str):

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sparkway.plans import analysis_queries, audit_queries, feature_queries, inventory_queries, more_queries, network_queries, registry, road_queries  # noqa: F401
+from sparkway.plans import analysis_queries, audit_queries, choice_queries, feature_queries, forecast_queries, inventory_queries, map_queries, more_queries, network_queries, registry, road_queries, statistics_queries, version_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

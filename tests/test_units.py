@@ -1,15 +1,21 @@
 """Statistics, features, matching, sources and streams on small inputs."""
 
+import datetime
+import io
 import json
 import math
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkway.functions import tails as K
 from sparkway.operators import audit as A
 from sparkway.operators import features as X
 from sparkway.operators import matching as M
+from sparkway.operators import ranks
+from sparkway.operators import spatial as SP
 from sparkway.operators import statistics as T
 from sparkway.sources import readers as S
 from sparkway.streaming import hourly as H
@@ -21,20 +27,51 @@ def test_paired_battery(spark):
     one = T.paired(d, "a", "b").first().asDict()
     assert one["mean"] == pytest.approx(33.96) and one["std"] == pytest.approx(42.68, abs=0.01)
     assert one["cohens_d"] == pytest.approx(0.7958, abs=1e-4) and one["t"] == pytest.approx(3.559, abs=1e-3)
-    v = T.verdict(one)
-    assert v["normality_p"] == pytest.approx(1.5949e-06, rel=1e-3) and v["primary"] == "signed_rank"
+    v = T.verdicts(d.withColumn("g", F.lit("x")), "a", "b", ["g"]).first()
+    assert v.normality_p == pytest.approx(1.5949e-06, rel=1e-3) and v.primary == "signed_rank" and v.verdict == "p < 0.05"
 
 
-def test_tails():
-    assert T.t_tail(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
-    assert T.t_tail(0.0, 5) == pytest.approx(1.0)
-    assert T.signed_rank_p(5, 0, 0) == pytest.approx(0.0625)
-    assert T.normal_tail(1.959964) == pytest.approx(0.05, abs=1e-6)
+def value(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_tails(spark):
+    t = lambda x, df: value(spark, K.t_tail(F.lit(float(x)), F.lit(float(df))))
+    assert t(2, 10) == pytest.approx(0.07338803, abs=1e-7) and t(0, 5) == pytest.approx(1.0) and t(12.706205, 1) == pytest.approx(0.05, abs=1e-7)
+    assert t(1.96, 1e6) == pytest.approx(0.049996068, abs=1e-8) and t(40, 3) == pytest.approx(3.4302e-05, rel=1e-3)
+    rank = lambda n, w, ties: value(spark, K.signed_rank_p(F.lit(n), F.lit(float(w)), F.lit(ties)))
+    assert rank(5, 0, 0) == pytest.approx(0.0625) and rank(0, 0, 0) == 1.0 and rank(10, 8, 0) == pytest.approx(0.048828125) and rank(6, 10.5, 0) == pytest.approx(1.0)
+    z = lambda x: value(spark, K.normal_tail(F.lit(float(x))))
+    assert z(1.959964) == pytest.approx(0.05, abs=1e-6) and z(0) == pytest.approx(1.0) and z(-3) == pytest.approx(0.0026997960632602) and z(8) == pytest.approx(1.2441921148543574e-15, rel=1e-9)
+    assert value(spark, K.log_gamma(F.lit(0.5))) == pytest.approx(0.5723649429247) and value(spark, K.log_gamma(F.lit(150.5))) == pytest.approx(math.lgamma(150.5))
+    assert value(spark, K.correlation_p(F.lit(0.5), F.lit(12))) == pytest.approx(0.0978534, abs=1e-5) and value(spark, K.correlation_p(F.lit(1.0), F.lit(12))) == 0.0 and value(spark, K.correlation_p(F.lit(0.5), F.lit(2))) is None
+
+
+def test_small_samples(spark):
+    """The weights of eleven men, as published: W = 0.79, p under 0.01; and samples of every size allowed."""
+    men = [148.0, 154.0, 158.0, 160.0, 161.0, 162.0, 166.0, 170.0, 182.0, 195.0, 236.0]
+    w, p = value(spark, K.shapiro(F.array(*map(F.lit, men))))
+    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.0005)
+    even = lambda n: value(spark, K.shapiro(F.array(*(F.lit(float(i)) for i in range(n)))))
+    assert all(even(n).p > 0.4 for n in range(3, K.SMALL + 1)) and even(3).w == pytest.approx(1.0)
+    assert value(spark, K.shapiro(F.array(*[F.lit(1.0)] * 5))) is None and value(spark, K.shapiro(F.array(F.lit(1.0), F.lit(2.0)))) is None
+    assert all(sum(x * x for x in K.shapiro_weights(n)) == pytest.approx(1.0) for n in range(3, K.SMALL + 1))
+
+
+def test_groups_of_every_size(spark):
+    """None to judge, one row, equal rows, few and many."""
+    rows = [("one", 1.0, 0.0), *[("same", 2.0, 1.0)] * 6, *[("few", float(i), 0.0) for i in range(8)], *[("many", float(i % 9), 4.0) for i in range(90)], ("none", None, 1.0)]
+    got = {r.g: r for r in T.verdicts(spark.createDataFrame(rows, "g string, a double, b double"), "a", "b", ["g"]).collect()}
+    assert set(got) == {"one", "same", "few", "many"} and got["one"].t_p is None and got["one"].primary == "signed_rank"
+    assert got["same"].normality_p is None and got["same"].signed_rank_p == pytest.approx(K_NORMAL) and got["few"].primary == "paired_t" and got["many"].n == 90
+
+
+K_NORMAL = math.erfc(10.5 / math.sqrt(6 * 7 * 13 / 24 - 210 / 48) / math.sqrt(2))
 
 
 def test_average_ranks(spark):
     d = spark.createDataFrame([(x,) for x in (3.0, 1.0, 3.0, 2.0, None)], "x double")
-    assert sorted((r.x is None, r.x or 0, r.r) for r in T.average_rank(d.where("x is not null"), "x", "r").collect()) == [(False, 1.0, 1.0), (False, 2.0, 2.0), (False, 3.0, 3.5), (False, 3.0, 3.5)]
+    assert sorted((r.x is None, r.x or 0, r.r) for r in ranks.average_rank(d.where("x is not null"), "x", "r").collect()) == [(False, 1.0, 1.0), (False, 2.0, 2.0), (False, 3.0, 3.5), (False, 3.0, 3.5)]
 
 
 def test_rolling_waits_for_full_windows(spark):
@@ -72,7 +109,7 @@ def test_utm(spark):
 def test_point_to_line(spark):
     p = spark.createDataFrame([(1, 5.0, 3.0), (2, 20.0, 0.0)], "id long, x double, y double")
     line = spark.createDataFrame([(9, [(0.0, 0.0), (10.0, 0.0), (10.0, 5.0)])], "line long, pts array<struct<x:double,y:double>>")
-    assert [(r.id, r.line, r.distance) for r in M.near_lines(p, line, 4.0).collect()] == [(1, 9, 3.0)]
+    assert [(r.id, r.line, r.distance) for r in SP.near_lines(p, line, 4.0).collect()] == [(1, 9, 3.0)]
     assert line.select(M.line_length("pts")).first()[0] == 15.0
 
 
@@ -109,9 +146,50 @@ def test_zip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("d/1.geojson", json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"zoneId": "z"}}, feature]}))
         z.writestr("r.txt", "hello")
-    path = f"file://{tmp_path}/*.zip"
-    assert sorted((r.member, r.kind, r.size > 0) for r in S.zip_inventory(spark, path).collect()) == [("d/1.geojson", "geojson", True), ("r.txt", "txt", True)]
-    assert sorted((r.segment_id, r.time_set, r.probes) for r in S.zipped_geojson(spark, path).collect()) == [(7, 2, 5), (7, 3, 0)]
+        z.writestr("n.csv", 'a,b\n1,"two\nlines"\n3,4\n')
+        z.writestr("list.json", "[1, {\"p\": 2, \"q\": 3}, 4.5]")
+        z.writestr("one.json", '{"p": [1, 2], "type": "x"}')
+        z.writestr("broken.json", '{"features": [{"a": 1}, {"a"')
+        z.writestr("empty.csv", "")
+    got = {r.member: (r.kind, r.rows, r.columns, r.problem is None) for r in S.zip_members(spark, f"file://{tmp_path}/a.zip").collect()}
+    assert got == {"d/1.geojson": ("geojson", 2, 7, True), "r.txt": ("txt", None, None, True), "n.csv": ("csv", 2, 2, True), "list.json": ("json", 3, 2, True), "one.json": ("json", 1, 2, True), "broken.json": ("json", None, None, False), "empty.csv": ("csv", 0, 0, True)}
+    for path in (f"file://{tmp_path}", f"{tmp_path}/a.zip"):
+        assert S.zip_members(spark, path).count() == 7
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        for i in range(20):
+            z.writestr(f"{i}.geojson", json.dumps({"features": [feature] * i}))
+    df = S.zipped_geojson(spark, f"{tmp_path}/b.zip")
+    assert df.rdd.getNumPartitions() == 20 and df.count() == 2 * 190
+    with pytest.raises(Exception, match="breaks off"):
+        S.zipped_geojson(spark, f"{tmp_path}/a.zip").count()
+    with pytest.raises(Exception, match="no archive"):
+        S.zip_members(spark, f"{tmp_path}/nothing").count()
+
+
+def test_json_items_over_blocks():
+    """Documents cut at every place of the stream."""
+    from sparkway.sources.archives import json_items
+
+    for text, want in (('{"a": 12, "features": [{"x": "]"}, 34, "[5"], "z": 1}', ["feature"] * 3), ("[10, [2], {}]", ["item"] * 3), ('{"a": {"features": [1]}}', ["document"]), (" 5.25 ", ["document"]), ("[]", [])):
+        for block in (1, 2, 3, 7, 100):
+            got = list(json_items(io.StringIO(text), block))
+            assert [w for w, _ in got] == want
+            whole = json.loads(text)
+            assert [v for _, v in got] == (whole["features"] if want == ["feature"] * 3 else whole if isinstance(whole, list) else [whole])
+
+
+def test_archives_written_and_read(spark, tmp_path):
+    rows = [("one", "a.csv", "x,y\n1,2\n"), ("one", "b.json", "[]"), ("two", "c.json", None), (None, "d", "x")]
+    assert S.write_archives(spark.createDataFrame(rows, "archive string, member string, text string"), f"file://{tmp_path}/z") == 2
+    got = {(r.member, r.rows) for r in S.zip_members(spark, f"file://{tmp_path}/z").collect()}
+    assert got == {("a.csv", 1), ("b.json", 0), ("c.json", None)}
+
+
+def test_json_kinds(spark):
+    texts = {'{"type": "Feature", "properties": {}}': "feature", '{"features": []}': "feature_collection", '{"facilities": [1]}': "facilities", '{"type": "x"}': "object", "[1]": "list", "7": "value", "null": "value", "{oops": "broken", "": "broken", None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.k for r in df.select("t", S.json_kind("t").alias("k")).collect()} == texts
+    assert {r.kind: r.n for r in S.json_shapes(df, "t").collect()} == {"feature": 1, "feature_collection": 1, "facilities": 1, "object": 1, "list": 1, "value": 2, "broken": 2}
 
 
 def test_cached_csv_json(spark, tmp_path):
@@ -127,18 +205,72 @@ def test_cached_csv_json(spark, tmp_path):
     assert S.parquet(spark, f"file://{tmp_path}/runs", ["id"], "run_id = 'r1'").count() == 2
 
 
-def test_json_shape(spark):
-    d = spark.createDataFrame([('{"features": []}',), ('{"a": 1}',), ("[1]",), ("x",)], "t string")
-    assert {r.shape: r.n for r in S.json_shape(d, "t").collect()} == {"feature_collection": 1, "object": 1, "array": 1, "other": 1}
+MESSAGE = "vehicle string, kind string, node string, ts timestamp"
+BEGIN = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+
+
+def write_files(spark, tmp_path, files, schema):
+    """One folder a micro-batch, in the order of their times."""
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/f={i}")
+        for f in (tmp_path / f"in/f={i}").iterdir():
+            os.utime(f, (1_700_000_000 + 10 * i,) * 2)
+    return schema + ", f int"
+
+
+def replayed(spark, tmp_path, files, idle=30.0, late="10 seconds"):
+    """Rows that the session stream gave, one micro-batch a file, in seconds from the first day; and what its state holds at the end."""
+    at = lambda x: x if x is None else BEGIN + datetime.timedelta(seconds=x)
+    schema = write_files(spark, tmp_path, [[(v, k, n, at(t)) for v, k, n, t in rows] for rows in files], MESSAGE)
+    stream = H.with_state_store(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    H.last_states(H.vehicles(stream, idle, late), f"file://{tmp_path}/out", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    zero = BEGIN.timestamp()
+    seen = [(r.vehicle, r.first_s - zero, r.elapsed_s - zero, *tuple(r)[3:]) for r in spark.read.parquet(f"file://{tmp_path}/out/*").collect()]
+    held = spark.read.format("statestore").option("stateVarName", "session").load(f"file://{tmp_path}/ck").count()
+    return seen, held
 
 
 def test_vehicle_sessions(spark, tmp_path):
-    rows = [("v1", "POSITION_UPDATE", "a", 1.0), ("v1", "ROUTE_UPDATE", "b", 5.0), ("v1", "POSITION_UPDATE", "old", 3.0), ("v2", "POSITION_UPDATE", "c", 2.0)]
-    spark.createDataFrame(rows, "vehicle string, kind string, node string, elapsed_s double").coalesce(1).write.parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema("vehicle string, kind string, node string, elapsed_s double").parquet(f"file://{tmp_path}/in")
-    q = H.vehicles(stream).writeStream.format("memory").queryName("vehicles_t").outputMode("update").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("vehicles_t").collect())) == [("v1", 3, "b", 5.0, 1), ("v2", 1, "c", 2.0, 0)]
+    """Late messages and those without a time are counted and move nothing; a pause ends a session; nobody's messages are left out."""
+    files = [[("v1", "POSITION", "a", 1.0), ("v1", "ROUTE_UPDATE", "b", 5.0), ("v2", "POSITION", "c", 2.0), (None, "POSITION", "x", 3.0)], [("v1", "POSITION", "old", 4.0), ("v1", "POSITION", "d", 9.0), ("v1", "POSITION", "none", None), ("v2", "ROUTE_UPDATE", "e", 50.0)]]
+    seen, _ = replayed(spark, tmp_path, files, late="1 hour")
+    last = {}
+    for v, first, elapsed, node, n, late, reroutes, ended in seen:
+        last[v, first] = max(last.get((v, first), (0,)), (n, elapsed, node, late, reroutes, ended))
+    assert last == {("v1", 1.0): (5, 9.0, "d", 2, 1, False), ("v2", 2.0): (1, 2.0, "c", 0, 0, True), ("v2", 50.0): (1, 50.0, "e", 0, 1, False)}
+
+
+def test_state_stays_bounded_over_a_long_replay(spark, tmp_path):
+    """A new vehicle every second, each for ten seconds: state holds those about the watermark, not all."""
+    every = [(f"v{i}", "POSITION", "n", float(t)) for i in range(600) for t in range(i, i + 10, 3)]
+    files = [[r for r in every if 60 * k <= r[3] < 60 * (k + 1)] for k in range(11)]
+    seen, held = replayed(spark, tmp_path, files, idle=20.0, late="5 seconds")
+    ended = {r[0] for r in seen if r[-1]}
+    assert {r[0] for r in seen} == {f"v{i}" for i in range(600)} and len(ended) >= 500 and held <= 100
+    assert all(r[4] == 4 for r in seen if r[-1])
+
+
+def test_latest_table_rewrites_touched_buckets(spark, tmp_path):
+    at = lambda x: BEGIN + datetime.timedelta(hours=x)
+    schema = write_files(spark, tmp_path, [[(i, at(i), i, "a", float(i), None) for i in range(50)], [(100, at(1), 3, "a", -1.0, None), (101, at(99), 4, "a", 7.5, None)]], H.SCHEMA)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    H.latest_table(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = {r.user_id: r.speed for r in H.read_latest(spark, f"file://{tmp_path}/t").collect()}
+    assert got == {i: float(i) for i in range(50)} | {4: 7.5}
+    parts = H._parts(spark, f"file://{tmp_path}/t")
+    assert 1 <= sum("epoch=1/" in p for p in parts.values()) <= 2 < sum("epoch=0/" in p for p in parts.values())
+
+
+def test_closed_hours_are_appended_once(spark, tmp_path):
+    at = lambda h, m: BEGIN + datetime.timedelta(hours=h, minutes=m)
+    files = [[(1, at(1, 5), 7, "a", 10.0, None), (2, at(1, 50), 7, "a", 20.0, None)], [(3, at(5, 0), 7, "a", 5.0, None)], [(4, at(1, 55), 7, "a", 99.0, None), (5, at(9, 30), 8, "a", 1.0, None)]]
+    schema = write_files(spark, tmp_path, files, H.SCHEMA)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    H.hourly_means(stream).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted((r.seg, r.hr.hour, r.speed, r.n) for r in closed.collect()) == [(7, 1, 15.0, 2), (7, 5, 5.0, 1)]
+    rest = H.open_hours(spark.read.parquet(f"file://{tmp_path}/in"), closed)
+    assert [(r.seg, r.hr.hour, r.speed) for r in rest.collect()] == [(8, 9, 1.0)]
 
 
 def test_free_distance(spark):
