@@ -12,7 +12,7 @@ from ..scratch import folder, materialize
 from . import road_queries as Q
 from .registry import query, rounded, table
 
-ROUNDS = 60
+ROUNDS = 30
 
 
 def prepared(spark, sf_dir):
