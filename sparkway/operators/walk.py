@@ -66,26 +66,30 @@ def lookahead_two(edges: DataFrame, weights: DataFrame, nodes: DataFrame, fanout
 def greedy_walk(requests: DataFrame, weights: DataFrame, nodes: DataFrame | None = None, alpha: float = 1.0) -> DataFrame:
     """All requests (id, source, target, max_hops) step together, a join a hop, until each has arrived, has no way on or has made its `max_hops`.
 
-    The cheapest edge on, plus alpha times the rest of the way if `nodes` are given.
+    The cheapest edge on, plus alpha times the rest of the way if `nodes` are given. A null
+    target is never reached, and a null source has no way on; without `max_hops` no step is made.
     """
-    state = requests.select("id", "source", "target", "max_hops", F.col("source").alias("at"), F.lit(None).cast("string").alias("prev"), F.array("source").alias("path"), F.lit(0.0).alias("cost"), F.lit(False).alias("stuck"))
+    state = materialize(requests.select("id", "source", "target", "max_hops", F.col("source").alias("at"), F.lit(None).cast("string").alias("prev"), F.array("source").alias("path"), F.lit(0.0).alias("cost"), F.lit(False).alias("stuck")))
     e = weights.select(F.col("u").alias("at"), "v", "key", "weight")
-    going = "at <> target and not stuck and size(path) - 1 < max_hops"
-    hop = 0
-    while hop % 4 or not state.where(going).isEmpty():
-        j = state.where(going).join(e, "at")
+    going, done = "coalesce(at <> target, true) and not stuck and size(path) - 1 < coalesce(max_hops, 0)", []
+    while True:
+        # Those that have come to an end are set apart, and not written again.
+        done.append(state.where(f"not ({going})"))
+        state = state.where(going)
+        if state.isEmpty():
+            break
+        j = state.select("id", "at", "prev", "path", "target").join(e, "at")
         base = F.col("weight")
         if nodes is not None:
             j = with_remaining(j, nodes)
             base = base + alpha * F.col("ahead_s")
         score = base + F.when(F.array_contains("path", F.col("v")), VISITED_PENALTY).otherwise(0.0) + F.when(F.col("v").eqNullSafe(F.col("prev")), REVERSAL_PENALTY).otherwise(0.0)
         pick = j.groupBy("id").agg(F.min(F.struct(score.alias("s"), "v", "key", "weight")).alias("_b"))
-        moved = state.join(pick, "id", "left")
-        go = F.col("_b").isNotNull()
-        state = moved.select("id", "source", "target", "max_hops", F.when(go, F.col("_b.v")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("at")).otherwise(F.col("prev")).alias("prev"), F.when(go, F.concat("path", F.array("_b.v"))).otherwise(F.col("path")).alias("path"), (F.col("cost") + F.coalesce("_b.weight", F.lit(0.0))).alias("cost"), (~go & F.expr(going) | F.col("stuck")).alias("stuck"))
-        hop += 1
-        if hop % 4 == 0:
-            state = materialize(state)
+        moved, go = state.join(pick, "id", "left"), F.col("_b").isNotNull()
+        state = materialize(moved.select("id", "source", "target", "max_hops", F.when(go, F.col("_b.v")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("at")).otherwise(F.col("prev")).alias("prev"), F.when(go, F.concat("path", F.array("_b.v"))).otherwise(F.col("path")).alias("path"), (F.col("cost") + F.coalesce("_b.weight", F.lit(0.0))).alias("cost"), (~go).alias("stuck")))
+    state = done[0]
+    for more in done[1:]:
+        state = state.unionByName(more)
     return state.select("id", "source", "target", "path", "cost", (F.size("path") - 1).alias("hops"), (F.col("at") == F.col("target")).alias("arrived"))
 
 

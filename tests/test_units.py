@@ -263,7 +263,7 @@ def test_latest_table_rewrites_touched_buckets(spark, tmp_path):
 
 def test_closed_hours_are_appended_once(spark, tmp_path):
     at = lambda h, m: BEGIN + datetime.timedelta(hours=h, minutes=m)
-    files = [[(1, at(1, 5), 7, "a", 10.0, None), (2, at(1, 50), 7, "a", 20.0, None)], [(3, at(5, 0), 7, "a", 5.0, None)], [(4, at(1, 55), 7, "a", 99.0, None), (5, at(9, 30), 8, "a", 1.0, None)]]
+    files = [[(1, at(1, 5), 7, "a", 10.0, None), (2, at(1, 50), 7, "a", 20.0, None)], [(3, at(5, 0), 7, "a", 5.0, None)], [(5, at(9, 30), 8, "a", 1.0, None)], [(4, at(1, 55), 7, "a", 99.0, None)]]
     schema = write_files(spark, tmp_path, files, H.SCHEMA)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
     H.hourly_means(stream).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
