@@ -100,6 +100,11 @@ def k_squared_p(n: Column, skew: Column, kurt: Column) -> Column:
     return F.when(n >= 8, F.exp(-(zs * zs + zk * zk) / 2))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation as an aggregate; null without spread, where Spark's own divides by zero."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def signed_rank_p(n: Column, w: Column, ties: Column) -> Column:
     """Two-sided p of the smaller rank sum: counted out up to 25 without ties, else by the normal approximation; 1 for none."""
     size = n * (n + 1) / 2

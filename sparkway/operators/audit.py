@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tails as K
 from . import ranks
 
 HOUR_S = 3600
@@ -142,7 +143,7 @@ def lag_correlation(sensor: DataFrame, lags: list[int], least: int = 3, key: str
         out = d if out is None else out.unionByName(d)
     n, x, y = F.count("*"), F.col("speed"), F.col("_v")
     good = (n >= least) & (F.stddev_pop(x) > 1e-9) & (F.stddev_pop(y) > 1e-9)
-    return out.groupBy(key, "lag").agg(n.alias("pairs"), F.when(good, F.corr(x, y)).alias("acf"))
+    return out.groupBy(key, "lag").agg(n.alias("pairs"), F.when(good, K.correlation(x, y)).alias("acf"))
 
 
 def pooled(acf: DataFrame) -> DataFrame:

@@ -14,14 +14,14 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson and Spearman in one row."""
     d = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = average_rank(average_rank(d, x, "_rx"), y, "_ry")
-    return r.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+    return r.agg(F.count("*").alias("n"), K.correlation(x, y).alias("pearson"), K.correlation("_rx", "_ry").alias("spearman"))
 
 
 def correlations_by(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, pearson, pearson_p, spearman, spearman_p of the complete pairs of each group."""
     d = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = average_rank(average_rank(d, x, "_rx", by), y, "_ry", by)
-    g = r.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+    g = r.groupBy(*by).agg(F.count("*").alias("n"), K.correlation(x, y).alias("pearson"), K.correlation("_rx", "_ry").alias("spearman"))
     p = {f"{c}_p": K.correlation_p(F.col(c), F.col("n")) for c in ("pearson", "spearman")}
     return g.withColumns(p).select(*by, "n", "pearson", "pearson_p", "spearman", "spearman_p")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tails as P
 from ..operators import audit as A
 from .registry import query, rnd, rounded, table
 
@@ -181,7 +182,7 @@ def grid_autocorrelation(spark, sf_dir):
     h = A.hourly(table(spark, sf_dir, "events"), "event_type").select("seg", "hr", "speed")
     lagged = h.select("seg", F.explode(F.array(*map(F.lit, LAGS))).alias("lag"), "hr", F.col("speed").alias("y")).withColumn("hr", F.expr("hr - make_interval(0, 0, 0, 0, lag, 0, 0)"))
     pairs = h.join(lagged, ["seg", "hr"])
-    return rounded(pairs.groupBy("seg", "lag").agg(F.count("*").alias("pairs"), F.corr("speed", "y").alias("acf")).where("pairs >= 30"), "acf", places=5)
+    return rounded(pairs.groupBy("seg", "lag").agg(F.count("*").alias("pairs"), P.correlation("speed", "y").alias("acf")).where("pairs >= 30"), "acf", places=5)
 
 
 @query(BY_TYPE + ", e AS (SELECT quantile_cont(speed, 0.95) AS edge FROM h), d AS (SELECT *, lag(speed) OVER w AS before, epoch(hr) - epoch(lag(hr) OVER w) AS d FROM h WINDOW w AS (PARTITION BY seg, CAST(hr AS DATE) ORDER BY hr)) SELECT seg, hr, round(speed, 4) AS speed, round(before, 4) AS before FROM d, e WHERE d = 3600 AND before > 0 AND speed > edge AND speed >= 3 * before AND hour(hr) <> 0 ORDER BY d.speed DESC, seg, hr LIMIT 100")
