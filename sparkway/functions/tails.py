@@ -114,8 +114,10 @@ def signed_rank_p(n: Column, w: Column, ties: Column) -> Column:
         lambda acc, k: F.transform(acc, lambda x, i: x + F.when(i >= k, F.get(acc, i - k)).otherwise(0.0)),
     )
     exact = F.least(F.lit(1.0), 2 * F.aggregate(F.slice(ways, 1, F.floor(w).cast("int") + 1), F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), n))
-    var = n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
-    return F.when(n == 0, 1.0).when((n <= 25) & (ties == 0), exact).otherwise(normal_tail((w - n * (n + 1) / 4.0) / F.sqrt(var)))
+    # In doubles: the product of three counts passes a long from some two million on.
+    m = n.cast("double")
+    var = m * (m + 1) * (2 * m + 1) / 24.0 - ties / 48.0
+    return F.when(n == 0, 1.0).when((n <= 25) & (ties == 0), exact).otherwise(normal_tail((w - m * (m + 1) / 4.0) / F.sqrt(var)))
 
 
 #: Samples that the test of Shapiro and Wilk is given, at most; others have the omnibus test.
