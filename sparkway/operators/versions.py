@@ -102,7 +102,7 @@ def rejudge(plans: DataFrame, changes: DataFrame, least_s: float, least_pct: flo
         rest = materialize(ahead.withColumns({"_d": F.min("i").over(first), "start_s": F.min("entry_s").over(first)}))
         judged = rest.groupBy("id", "target", "t").agg(F.min("_d").alias("leg"), F.min_by("u", "i").alias("at"), F.sum("weight").alias("remaining_s"))
         asked = judged.select(F.col("t").cast("string").alias("scenario"), "id", "t", F.col("at").alias("source"), "target", "leg", "remaining_s")
-        found = R.routes(asked, snapshots(versions, going.select("t").distinct(), width))
+        found = R.routes(asked, snapshots(versions, going.select("t").distinct(), width), counted=False)
         # A way that is blocked altogether stays.
         found = found.withColumn("best_s", F.coalesce("cost", "remaining_s")).withColumns(R.gate(F.col("remaining_s"), F.coalesce("cost", "remaining_s"), least_s, least_pct))
         found = materialize(found.select("id", "t", F.col("source").alias("at"), "leg", "remaining_s", "best_s", "saving_s", "saving_pct", "triggered", "edge_path"))

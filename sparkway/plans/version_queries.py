@@ -28,7 +28,7 @@ def changes(spark, sf_dir):
 
 
 def plans(spark, sf_dir):
-    found = R.routes(requests(spark, sf_dir).where("source <> target"), network(spark, sf_dir)).where("is_reached")
+    found = R.routes(requests(spark, sf_dir).where("source <> target"), network(spark, sf_dir), counted=False).where("is_reached")
     return found.select("id", "source", "target", (20.0 * (F.col("id") % 7)).alias("depart_s"), "edge_path")
 
 
