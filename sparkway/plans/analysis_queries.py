@@ -205,11 +205,9 @@ def set_operations(spark, sf_dir):
 @query(H + " SELECT seg, hr, round(speed, 4) AS speed, n FROM h")
 def stream_hourly_means(spark, sf_dir):
     """The stream run to its end over the events table: hours that the watermark closed, appended once each, and those still open."""
-    source, out = folder(spark), folder(spark)
+    out = folder(spark)
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartitionByRange(3, "ts").write.parquet(source)
-    stream = spark.readStream.schema(S.SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    S.hourly_means(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    S.hourly_means(S.replayed(e, folder(spark))).writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     closed = spark.read.schema("seg long, hr timestamp, speed double, n long").parquet(out)
     both = closed.unionByName(S.open_hours(e, closed))
     return rounded(both.withColumn("hr", F.col("hr").cast("timestamp_ntz")), "speed")

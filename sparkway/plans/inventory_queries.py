@@ -237,9 +237,7 @@ def json_shapes(spark, sf_dir):
 
 def event_stream(spark, sf_dir):
     """The events table as a stream of some files."""
-    path = folder(spark)
-    table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(3, "ts").write.parquet(path)
-    return spark.readStream.schema(ST.SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    return ST.replayed(table(spark, sf_dir, "events"), folder(spark))
 
 
 @query("SELECT user_id, arg_max(value, (ts, event_id)) AS speed FROM events GROUP BY 1")
@@ -258,7 +256,7 @@ def stream_latest_values(spark, sf_dir):
 def stream_vehicle_states(spark, sf_dir):
     """Sessions of each vehicle, twelve hours of silence apart, after all messages."""
     kind = F.when(F.col("event_type") == "purchase", "ROUTE_UPDATE").otherwise("POSITION")
-    m = event_stream(ST.with_state_store(spark), sf_dir).select(F.col("user_id").cast("string").alias("vehicle"), kind.alias("kind"), F.col("event_type").alias("node"), "ts")
+    m = event_stream(ST.with_state_store(spark), sf_dir).select(F.col("user_id").cast("string").alias("vehicle"), kind.alias("kind"), F.col("event_type").alias("node"), "ts", F.col("event_id").alias("seq"))
     path = folder(spark)
     ST.last_states(ST.vehicles(m, 12 * 3600.0), path, folder(spark)).trigger(availableNow=True).start().awaitTermination()
     fields = ["elapsed_s", "node", "updates", "late", "reroutes"]

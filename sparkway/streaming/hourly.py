@@ -12,6 +12,23 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
+def replayed(events: DataFrame, path: str, files: int = 3) -> DataFrame:
+    """A table of SCHEMA as a stream of some files, a range of time each, read in the order of time.
+
+    Sources take files by their times of change, and tasks that write side by side end in
+    any order: the files are given times in the order of their ranges.
+    """
+    spark = events.sparkSession
+    events.withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(files, "ts").write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    start = fs.getFileStatus(p).getModificationTime() - 10_000 * len(parts)
+    for i, part in enumerate(parts):
+        fs.setTimes(part, start + 10_000 * i, -1)
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def hourly_means(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     """Mean per segment and hour; an hour is final once the watermark passed it."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), F.col("user_id").alias("seg")).agg(F.avg("value").alias("speed"), F.count("*").alias("n")).select("seg", F.col("window.start").alias("hr"), "speed", "n")
@@ -42,7 +59,7 @@ def sessions_of(rows: pd.DataFrame, before: tuple | None, idle_s: float) -> pd.D
     late = rows["elapsed_s"].isna()
     if before is not None:
         late |= rows["elapsed_s"] < before[1]
-    new = rows[~late].sort_values("elapsed_s", kind="stable")
+    new = rows[~late].sort_values(["elapsed_s", "seq"] if "seq" in rows else "elapsed_s", kind="stable")
     last = new["elapsed_s"].shift(fill_value=before[1] if before is not None else float("inf"))
     run = (new["elapsed_s"] - last > idle_s).cumsum()
     g = new.groupby(run, sort=True)
@@ -100,7 +117,8 @@ class Sessions(StatefulProcessor):
 def vehicles(messages: DataFrame, idle: float = 1800.0, late: str = "2 hours") -> DataFrame:
     """Sessions of each vehicle from its messages (vehicle, kind, node, ts): a row for each that a micro-batch changed or ended; times in seconds of the epoch.
 
-    Messages without a vehicle are left out: they are nobody's. State holds the sessions
+    Messages of one time come in the order of `seq`, if they have such a column. Those
+    without a vehicle are left out: they are nobody's. State holds the sessions
     that are open by the watermark, and nothing else.
     """
     known = messages.where("vehicle is not null").withColumn("elapsed_s", F.unix_micros("ts") / 1e6).withWatermark("ts", late)
