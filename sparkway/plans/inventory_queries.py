@@ -192,14 +192,15 @@ def archived(spark, sf_dir):
     line = F.struct(F.lit("LineString").alias("type"), F.array(F.array(F.lit(85.0), F.lit(20.0)), F.array(F.lit(86.0), F.lit(21.0))).alias("coordinates"))
     q = F.struct(F.col("c_custkey").alias("segmentId"), (F.col("c_custkey") % 7).alias("frc"), F.col("c_name").alias("streetName"), F.lit(50).alias("speedLimit"), F.lit(10.5).alias("distance"), counts.alias("segmentProbeCounts"))
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), q.alias("properties")))
-    # A document is one text: its features are gathered.
-    text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ", "), F.lit("]}"))
+    # A member is many pieces, which are joined up where it is written.
     name = lambda ending: F.concat(F.col("n_nationkey").cast("string"), F.lit(ending)).alias("member")
-    docs = c.groupBy("archive", "n_nationkey").agg(text.alias("text")).select("archive", name(".geojson"), "text")
+    docs = c.select("archive", name(".geojson"), F.col("c_custkey").alias("place"), feature.alias("text"))
     s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    row = F.concat(F.col("s_suppkey").cast("string"), F.lit(',"'), F.col("s_name"), F.lit('\n",'), F.col("s_acctbal").cast("string"))
-    files = s.groupBy("archive", "n_nationkey").agg(F.concat(F.lit("key,name,balance\n"), F.array_join(F.collect_list(row), "\n")).alias("text")).select("archive", name(".csv"), "text")
-    IO.write_archives(docs.unionByName(files), path)
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = F.concat(some("s_suppkey"), F.lit(',"'), some("s_name"), F.lit('\n",'), some("s_acctbal"))
+    files = s.select("archive", name(".csv"), F.col("s_suppkey").alias("place"), row.alias("text"))
+    frames = {".geojson": ('{"type": "FeatureCollection", "features": [', ", ", "]}"), ".csv": ("key,name,balance\n", "\n", "")}
+    IO.write_archives(docs.unionByName(files), path, "place", frames)
     return path
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,27 +53,61 @@ def zipped_geojson(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("zip_features").load(path)
 
 
-def write_archives(members: DataFrame, path: str) -> int:
-    """Texts (archive, member, text) as ZIP files <path>/<archive>.zip, each written whole by a task; how many there are.
+def write_archives(members: DataFrame, path: str, place: str | None = None, frames: dict[str, tuple[str, str, str]] | None = None) -> int:
+    """Texts (archive, member, text) as ZIP files <path>/<archive>.zip, each written by a task as a stream; how many there are.
 
-    The members of an archive are gathered in its task. Names that are null are left out.
+    With `place`, rows of one member are its pieces, in that order. `frames`: ending of a
+    member's name -> what stands before its first piece, between two, and after the last.
+    A task holds a batch of rows; a file gets its name when it is done. Names that are null
+    are left out.
     """
-    def write(key, t):
-        name = key[0].as_py()
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for m, text in sorted(zip(t.column("member").to_pylist(), t.column("text").to_pylist(), strict=True)):
-                z.writestr(m, text or "")
+    from pyspark import TaskContext
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, inner = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-        store.create_dir(inner, recursive=True)
-        with store.open_output_stream(f"{inner}/{name}.zip") as f:
-            f.write(out.getvalue())
-        return pa.table({"archive": [name]})
-
-    named = members.where("archive is not null and member is not null").select("archive", "member", "text")
-    return named.groupBy("archive").applyInArrow(write, "archive string").count()
+        part = f".{TaskContext.get().taskAttemptId()}.part"
+        at, f, z, m, after = (None, None), None, None, None, ""
+
+        def close_member():
+            if m is not None:
+                m.write(after.encode())
+                m.close()
+
+        def close_archive() -> pa.RecordBatch:
+            z.close()
+            f.close()
+            done = f"{inner}/{at[0]}.zip"
+            if store.get_file_info(done).type != fs.FileType.NotFound:
+                store.delete_file(done)
+            store.move(f"{inner}/{at[0]}{part}", done)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]])], names=["archive"])
+
+        for batch in batches:
+            for archive, member, text in zip(*(batch.column(c).to_pylist() for c in ("archive", "member", "text")), strict=True):
+                text = text or ""
+                if (archive, member) == at and place:
+                    m.write((between + text).encode())
+                    continue
+                close_member()
+                if archive != at[0]:
+                    if z is not None:
+                        yield close_archive()
+                    store.create_dir(inner, recursive=True)
+                    f = store.open_output_stream(f"{inner}/{archive}{part}")
+                    z = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED)
+                at = (archive, member)
+                before, between, after = next((v for ending, v in (frames or {}).items() if member.endswith(ending)), ("", "", ""))
+                m = z.open(member, "w", force_zip64=True)
+                m.write((before + text).encode())
+        close_member()
+        if z is not None:
+            yield close_archive()
+
+    order = ["archive", "member", place or "text"]
+    named = members.where("archive is not null and member is not null").select(*order, *(["text"] if place else []))
+    return named.repartition("archive").sortWithinPartitions(*order).mapInArrow(write, "archive string").count()
 
 
 KINDS = ("feature", "feature_collection", "facilities", "object", "list", "value", "broken")
