@@ -149,54 +149,68 @@ def ball(g: Arrays, back: Back, target: int, width: float, most: int) -> tuple[n
     cost = np.full(len(g.first) - 1, np.inf)
     cost[target] = 0.0
     open_, bound, seen = np.array([target]), width, 0
-    while len(open_):
-        now = cost[open_]
-        near = now < bound
-        if not near.any():
-            if seen >= most:
-                return cost, bound
-            bound = max((np.floor(now.min() / width) + 1) * width, np.nextafter(now.min(), np.inf))
-            continue
-        at, n = out_edges(back, open_[near])
-        edges = back.edge[at]
-        to, c = back.tail[edges], np.repeat(now[near], n) + g.weight[edges]
-        seen += len(edges)
-        better = c < cost[to]
-        to, c = to[better], c[better]
-        np.minimum.at(cost, to, c)
-        open_ = np.unique(np.concatenate([open_[~near], to]))
-    return cost, np.inf
+    # Labels past the bound wait as they come; only those of a bucket are told apart.
+    later, when = np.empty(0, np.int32), np.empty(0)
+    while True:
+        while len(open_):
+            at, n = out_edges(back, open_)
+            edges = back.edge[at]
+            to, c = back.tail[edges], np.repeat(cost[open_], n) + g.weight[edges]
+            seen += len(edges)
+            better = c < cost[to]
+            to, c = to[better], c[better]
+            np.minimum.at(cost, to, c)
+            near = c < bound
+            later, when = np.concatenate([later, to[~near]]), np.concatenate([when, c[~near]])
+            open_ = np.unique(to[near])
+        still = when == cost[later]
+        later, when = later[still], when[still]
+        if not len(later):
+            return cost, np.inf
+        if seen >= most:
+            return cost, bound
+        bound = max((np.floor(when.min() / width) + 1) * width, np.nextafter(when.min(), np.inf))
+        near = when < bound
+        open_, later, when = np.unique(later[near]), later[~near], when[~near]
 
 
 def between(g: Arrays, back: Back, source: int, target: int, width: float, guide=None) -> np.ndarray:
     """Costs from the source, least for all nodes on best ways to the target; met from both ends.
 
     A ball around the target bounds from below what remains from every node, and guides the
-    search from the source; `guide(nodes)` may give another such bound. Nothing that cannot
-    lie on a best way goes on, so either side sees some multiple of the root of the edges.
+    search from the source; `guide(nodes)` may give another such bound. The cheapest way
+    that goes on through the ball is a bound from above: nothing that cannot lie on a best
+    way goes on, so either side sees some multiple of the root of the edges.
     """
     left, bound = ball(g, back, target, width, 2 * int(np.sqrt(len(g.head))) + 16)
     cost = np.full(len(g.first) - 1, np.inf)
     cost[source] = 0.0
-    open_ = np.array([source])
-    while len(open_):
-        ahead = np.minimum(left[open_], bound)
-        if guide is not None:
-            ahead = np.maximum(ahead, guide(open_))
-        now = cost[open_]
-        f = now + ahead
-        # Sums from either end may differ in their last digits.
-        keep = (f <= cost[target] * (1 + 1e-12)) & np.isfinite(f)
-        open_, now, f = open_[keep], now[keep], f[keep]
-        if not len(open_):
-            break
-        near = f < max((np.floor(f.min() / width) + 1) * width, np.nextafter(f.min(), np.inf))
-        edges, n = out_edges(g, open_[near])
-        to, c = g.head[edges], np.repeat(now[near], n) + g.weight[edges]
-        better = c < cost[to]
-        to, c = to[better], c[better]
-        np.minimum.at(cost, to, c)
-        open_ = np.unique(np.concatenate([open_[~near], to]))
+    least = left[source]
+    to, c, f = np.array([source]), np.zeros(1), np.minimum(left[[source]], bound)
+    if not np.isfinite(f[0]):
+        return cost
+    while len(to):
+        end = max((np.floor(f.min() / width) + 1) * width, np.nextafter(f.min(), np.inf))
+        near = f < end
+        open_, later = np.unique(to[near]), [(to[~near], c[~near], f[~near])]
+        while len(open_):
+            edges, n = out_edges(g, open_)
+            to, c = g.head[edges], np.repeat(cost[open_], n) + g.weight[edges]
+            ahead = left[to]
+            least = min(least, (c + ahead).min(initial=np.inf))
+            f = c + np.minimum(ahead, bound)
+            # Sums from either end may differ in their last digits.
+            some = (c < cost[to]) & (f <= least * (1 + 1e-12)) & np.isfinite(f)
+            to, c, f = to[some], c[some], f[some]
+            if guide is not None:
+                f = np.maximum(f, c + guide(to))
+            np.minimum.at(cost, to, c)
+            near = f < end
+            open_ = np.unique(to[near])
+            later.append((to[~near], c[~near], f[~near]))
+        to, c, f = (np.concatenate(x) for x in zip(*later, strict=True))
+        still = (c == cost[to]) & (f <= least * (1 + 1e-12))
+        to, c, f = to[still], c[still], f[still]
     return cost
 
 
