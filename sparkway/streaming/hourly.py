@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,27 +57,33 @@ def sessions_of(rows: pd.DataFrame, before: tuple | None, idle_s: float) -> pd.D
     Messages earlier than the state are counted as late and move nothing; of those without
     a time, the same. A pause of more than `idle_s` begins a session.
     """
-    late = rows["elapsed_s"].isna()
+    return pd.DataFrame(session_rows(rows, before, idle_s), columns=FIELDS)
+
+
+def session_rows(rows: pd.DataFrame, before: tuple | None, idle_s: float) -> list[tuple]:
+    """The rows of `sessions_of`, without a table: there is one call a vehicle and micro-batch."""
+    at = rows["elapsed_s"].to_numpy(dtype=float, na_value=np.nan)
+    late = np.isnan(at) if before is None else np.isnan(at) | (at < before[1])
+    new, n_late = np.flatnonzero(~late), int(late.sum())
+    by = (rows["seq"].to_numpy()[new], at[new]) if "seq" in rows else (at[new],)
+    new = new[np.lexsort(by)]
+    at, node, turned = at[new], rows["node"].to_numpy(dtype=object)[new], rows["kind"].to_numpy(dtype=object)[new] == "ROUTE_UPDATE"
+    out, start = [], 0
+    for end in [*(np.flatnonzero(np.diff(at) > idle_s) + 1).tolist(), len(at)] if len(at) else []:
+        # The last node that is known.
+        last = next((x for x in node[start:end][::-1] if not pd.isna(x)), None)
+        out.append((float(at[start]), float(at[end - 1]), last, end - start, 0, int(turned[start:end].sum())))
+        start = end
     if before is not None:
-        late |= rows["elapsed_s"] < before[1]
-    new = rows[~late].sort_values(["elapsed_s", "seq"] if "seq" in rows else "elapsed_s", kind="stable")
-    last = new["elapsed_s"].shift(fill_value=before[1] if before is not None else float("inf"))
-    run = (new["elapsed_s"] - last > idle_s).cumsum()
-    g = new.groupby(run, sort=True)
-    out = pd.DataFrame({"first_s": g["elapsed_s"].min(), "elapsed_s": g["elapsed_s"].max(), "node": g["node"].last(), "updates": g.size(), "late": 0, "reroutes": g["kind"].agg(lambda k: int((k == "ROUTE_UPDATE").sum()))})
-    if before is not None:
-        if 0 in out.index:  # the first run goes on from the state
-            out.loc[0, ["first_s", "updates", "reroutes"]] = before[0], out.loc[0, "updates"] + before[3], out.loc[0, "reroutes"] + before[5]
-            out.loc[0, "late"] = before[4]
+        if out and not out[0][0] - before[1] > idle_s:  # the first run goes on from the state
+            first = out[0]
+            out[0] = before[0], first[1], first[2], first[3] + before[3], before[4], first[5] + before[5]
         else:
-            out = pd.concat([pd.DataFrame([before], columns=FIELDS), out], ignore_index=True)
-    if late.any():
-        if out.empty:
-            out = pd.DataFrame([(None, None, None, 0, 0, 0)], columns=FIELDS)
-        at = out.index[0]
-        out.loc[at, "late"] = int(out.loc[at, "late"]) + int(late.sum())
-        out.loc[at, "updates"] = int(out.loc[at, "updates"]) + int(late.sum())
-    return out.reset_index(drop=True)
+            out.insert(0, tuple(before))
+    if n_late:
+        first = out[0] if out else (None, None, None, 0, 0, 0)
+        out[:1] = [(*first[:3], int(first[3]) + n_late, int(first[4]) + n_late, first[5])]
+    return out
 
 
 class Sessions(StatefulProcessor):
@@ -89,16 +96,22 @@ class Sessions(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("session", VALUE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = sessions_of(pd.concat(list(rows)), self.state.get() if self.state.exists() else None, self.idle_s)
-        for at in self.handle.listTimers():
-            self.handle.deleteTimer(at)
-        last = tuple(x.item() if hasattr(x, "item") else x for x in found.iloc[-1][FIELDS])
-        if last[1] is None or pd.isna(last[1]):  # only messages without a time so far
+        parts, before = list(rows), self.state.get() if self.state.exists() else None
+        found = session_rows(parts[0] if len(parts) == 1 else pd.concat(parts), before, self.idle_s)
+        last = found[-1]
+        old, new = (None if x is None or x[1] is None else self.timer(x[1]) for x in (before, last))
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if new is None:  # only messages without a time so far
             self.state.clear()
         else:
             self.state.update((last[0], last[1], last[2], int(last[3]), int(last[4]), int(last[5])))
-            self.handle.registerTimer(int((last[1] + self.idle_s) * 1000) + 1)
-        yield self.shown(key, found, [*[True] * (len(found) - 1), False])
+            if old != new:
+                self.handle.registerTimer(new)
+        yield self.shown(key, pd.DataFrame(found, columns=FIELDS), [*[True] * (len(found) - 1), False])
+
+    def timer(self, last_s: float) -> int:
+        return int((last_s + self.idle_s) * 1000) + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
